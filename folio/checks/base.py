@@ -19,9 +19,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT doc_id AS image_id, 64 AS w, CAST(ceil(length(text) / 64.0) AS INTEGER) AS h, text FROM documents"""),
     "f1": (("f1_image",), """
         SELECT image_id, w, h, CAST(i // 64 AS INTEGER) AS y, CAST(i % 64 AS INTEGER) AS x,
-               CAST(CASE WHEN i >= n OR cp <= 32 THEN 255 WHEN cp < 97 THEN 20 + cp % 60 ELSE 215 + cp % 30 END AS INTEGER) AS v
-        FROM (SELECT image_id, w, h, n, i, ascii(substr(text, CAST(i + 1 AS BIGINT), 1)) AS cp
-              FROM (SELECT image_id, w, h, text, length(text) AS n, unnest(range(h * 64)) AS i FROM f1_image))"""),
+               CAST(CASE WHEN cp <= 32 THEN 255 WHEN cp < 97 THEN 20 + cp % 60 ELSE 215 + cp % 30 END AS INTEGER) AS v
+        FROM (SELECT image_id, w, h, i, ascii(c) AS cp
+              FROM (SELECT image_id, w, h, unnest(range(h * 64)) AS i, unnest(string_split(rpad(text, h * 64, ' '), '')) AS c FROM f1_image))"""),
     "f2": ((), """
         SELECT vec_id AS image_id, 8 AS w, 8 AS h, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x,
                CAST(least(greatest(floor(128 + 200 * CAST(embedding[i + 1] AS DOUBLE)), 0), 255) AS INTEGER) AS v
