@@ -290,7 +290,7 @@ DIAG_Y = "(y0 + (y2-y0) * ((x1-x0)*(y3-y1)-(y1-y0)*(x3-x1)) / ((x2-x0)*(y3-y1)-(
 
 
 @query("sca_20_homography", "f7", f"""
-    SELECT {K}, {', '.join(f"round(x{i}, 5) AS hx{i}, round(y{i}, 5) AS hy{i}" for i in range(4))}, round({DIAG_X}, 5) AS mx, round({DIAG_Y}, 5) AS my FROM f7""")
+    SELECT {K}, {', '.join(f"round(x{i}, 5) AS hx{i}, round(y{i}, 5) AS hy{i}" for i in range(4))}, CAST(floor(({DIAG_X} + 0.0123457) * 1000) AS BIGINT) AS mx, CAST(floor(({DIAG_Y} + 0.0123457) * 1000) AS BIGINT) AS my FROM f7""")
 def _(spark, sf):
     """Corners of the rectangle land on the outline, its middle where the diagonals cross."""
     d = cases(spark, sf).withColumn("m", G.homography(Q("quad"), Q("w"), Q("h")))
@@ -298,7 +298,7 @@ def _(spark, sf):
     cols = {}
     for i, (x, y) in enumerate(((z, z), (Q("w"), z), (Q("w"), Q("h")), (z, Q("h")))):
         cols[f"hx{i}"], cols[f"hy{i}"] = G.homography_apply(Q("m"), x, y)
-    cols["mx"], cols["my"] = G.homography_apply(Q("m"), Q("w") / 2, Q("h") / 2)
+    cols["mx"], cols["my"] = (F.floor((c + 0.0123457) * 1000) for c in G.homography_apply(Q("m"), Q("w") / 2, Q("h") / 2))
     return out(d, 5, **cols)
 
 
@@ -446,7 +446,7 @@ view("shifted", f"SELECT *, row_number() OVER () AS rid, w * (1 - d) AS fw, h *
        SELECT rid, x, y, coalesce(lead(x) OVER p, first_value(x) OVER p) AS nx, coalesce(lead(y) OVER p, first_value(y) OVER p) AS ny FROM clip4 WINDOW p AS (PARTITION BY rid ORDER BY o)) GROUP BY rid)
     SELECT {K}, round(coalesce(area, 0), 3) AS visible_area, round(greatest({', '.join(
         f"abs(acos(least(greatest(((x{(i+3)%4}-x{i})*(x{(i+1)%4}-x{i})+(y{(i+3)%4}-y{i})*(y{(i+1)%4}-y{i}))/({d_sql((i+3)%4, i)}*{d_sql((i+1)%4, i)}+1e-12),-1),1))-pi()/2)" for i in range(4))}), 6) AS deviation,
-        {' AND '.join(f"x{i} >= -w*0.04 AND y{i} >= -w*0.04 AND x{i} <= fw-1+w*0.04 AND y{i} <= fh-1+w*0.04" for i in range(4))} AS inside,
+        {' AND '.join(f"x{i} >= -(w*0.04::DOUBLE) AND y{i} >= -(w*0.04::DOUBLE) AND x{i} <= fw-1+w*0.04::DOUBLE AND y{i} <= fh-1+w*0.04::DOUBLE" for i in range(4))} AS inside,
         round(least({d_sql(0, 1)}, {d_sql(1, 2)}, {d_sql(2, 3)}, {d_sql(3, 0)}), 6) AS min_side,
         round(CASE WHEN abs(cos(ta)*sin(tb)-sin(ta)*cos(tb)) < 0.3 THEN NULL ELSE ((q*10)*sin(tb)-sin(ta)*(q*20))/(cos(ta)*sin(tb)-sin(ta)*cos(tb)) END, 3) AS ix
     FROM (SELECT *, l_partkey % 180 * pi() / 180 AS ta, l_suppkey % 180 * pi() / 180 AS tb FROM shifted) LEFT JOIN seen USING (rid)""")

@@ -89,3 +89,11 @@ def content_bounds(px: DataFrame, dpi: int = 100) -> DataFrame:
     y1 = F.when(F.col("bottom") == F.col("h"), F.col("fh")).otherwise(F.greatest(y0 + 1, (F.col("bottom") - 1) * f))
     return d.select("image_id", *[F.when(none, whole).otherwise(c).cast("int").alias(n) for n, c, whole in (
         ("x0", x0, F.lit(0)), ("y0", y0, F.lit(0)), ("x1", x1, F.col("fw")), ("y1", y1, F.col("fh")))])
+
+
+def drop_blank(pages: DataFrame, max_percent: float = S.BLANK_INK_PERCENT, observe: str | None = None) -> DataFrame:
+    """Pages with ink; with ``observe`` the number of blanks left out is reported as a metric of that name."""
+    d = pages
+    if observe:
+        d = d.observe(observe, F.count(F.lit(1)).alias("total"), F.count_if(is_blank(F.col("ink_percent"), max_percent)).alias("blank"))
+    return d.filter(~is_blank(F.col("ink_percent"), max_percent))
