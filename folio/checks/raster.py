@@ -286,7 +286,7 @@ def _(spark, sf):
 @query("sca_46_crop_halves", "f1", """
     SELECT image_id, half, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(sum(CAST(v AS BIGINT) * ((y * 131 + x * 17) % 1009)) AS BIGINT) AS placed,
            count(*) FILTER (WHERE v <= 127) AS ink FROM (
-      SELECT image_id, 'left' AS half, y, x, v FROM f1 WHERE x < 37 UNION ALL SELECT image_id, 'right', y, x - 27, v FROM f1 WHERE x >= 27
+      SELECT image_id, 'left' AS half, y, x, v FROM f1 WHERE x < 37 UNION ALL SELECT image_id, 'right', y, x - 26, v FROM f1 WHERE x >= 26
       UNION ALL SELECT image_id, 'crop', y - h // 4, x - 8, v FROM f1 WHERE x >= 8 AND x < 56 AND y >= h // 4 AND y < h - h // 4)
     GROUP BY image_id, half""")
 def _(spark, sf):

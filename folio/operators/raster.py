@@ -63,45 +63,57 @@ def percentile_level(hist: DataFrame, p: float, name: str = "level") -> DataFram
         F.coalesce(F.min(F.when(target == 0, 0).when(F.col("acc") >= target, F.col("v"))), F.lit(255)).alias(name))
 
 
-def box_downscale(px: DataFrame, f: int, *values: str) -> DataFrame:
-    """Integer box mean; remainder rows and columns are left out."""
+def box_downscale(px: DataFrame, f: int | Column, *values: str) -> DataFrame:
+    """Integer box mean by ``f`` (a number, or a column constant per image); remainders are left out."""
     values = values or ("v",)
-    if f <= 1:
-        return px
-    w, h = F.floor(F.col("w") / f).cast("int"), F.floor(F.col("h") / f).cast("int")
-    cell = (px.withColumn("w", w).withColumn("h", h)
-            .withColumn("y", F.floor(F.col("y") / f).cast("int")).withColumn("x", F.floor(F.col("x") / f).cast("int"))
-            .filter((F.col("x") < F.col("w")) & (F.col("y") < F.col("h"))))
-    return cell.groupBy("image_id", "w", "h", "y", "x").agg(
-        *[F.floor(F.sum(c) / (f * f)).cast("int").alias(c) for c in values])
+    if isinstance(f, int):
+        if f <= 1:
+            return px
+        f = F.lit(f)
+    d = px.withColumn("_f", f)
+    f = F.col("_f")
+    cell = d.withColumns({"w": F.greatest(F.lit(1), F.floor(F.col("w") / f)).cast("int"), "h": F.greatest(F.lit(1), F.floor(F.col("h") / f)).cast("int"),
+                          "y": F.floor(F.col("y") / f).cast("int"), "x": F.floor(F.col("x") / f).cast("int")})
+    cell = cell.filter((F.col("x") < F.col("w")) & (F.col("y") < F.col("h")))
+    return cell.groupBy("image_id", "w", "h", "y", "x", "_f").agg(
+        *[F.floor(F.sum(c) / (f * f)).cast("int").alias(c) for c in values]).drop("_f")
 
 
 # --- sliding windows ---------------------------------------------------------------
 
-def _line_sum(df: DataFrame, over, half: int, cols: dict[str, Column]) -> DataFrame:
-    """Clipped sliding sums of ``cols`` along one axis, from running sums at both window ends."""
+def _line_sum(df: DataFrame, over, half: int | Column, cols: dict[str, Column], halves=()) -> DataFrame:
+    """Clipped sliding sums of ``cols`` along one axis, from running sums at both window ends.
+
+    ``half`` may be a column constant per image out of a few possible ``halves``: the look-ups
+    of every size share one sort.
+    """
     run, last = over.rowsBetween(*RUNNING), over.rowsBetween(*WHOLE)
     for name, c in cols.items():
         df = df.withColumn(f"_{name}", F.sum(c).over(run))
     for name in cols:
         c = F.col(f"_{name}")
-        df = df.withColumn(name, F.coalesce(F.lead(c, half).over(over), F.last(c).over(last))
-                           - F.coalesce(F.lag(c, half + 1).over(over), F.lit(0)))
+        ahead = _per_radius(half, halves, lambda k, c=c: F.lead(c, k).over(over))
+        behind = _per_radius(half, halves, lambda k, c=c: F.lag(c, k + 1).over(over))
+        df = df.withColumn(name, F.coalesce(ahead, F.last(c).over(last)) - F.coalesce(behind, F.lit(0)))
     return df.drop(*[f"_{n}" for n in cols])
 
 
-def local_stats(px: DataFrame, window: int) -> DataFrame:
+def local_stats(px: DataFrame, window: int | Column, windows=()) -> DataFrame:
     """Adds ``mean, variance`` of the clipped ``window x window`` square around each pixel."""
-    half = max(0, window // 2)
+    if isinstance(window, int):
+        half, halves = max(0, window // 2), ()
+    else:
+        px = px.withColumn("_half", F.floor(window / 2).cast("int"))
+        half, halves = F.col("_half"), tuple(k // 2 for k in windows)
     v = F.col("v").cast("bigint")
-    d = _line_sum(px, along_rows(), half, {"s1": v, "s2": v * v})
-    d = _line_sum(d, along_cols(), half, {"s1": F.col("s1"), "s2": F.col("s2")})
+    d = _line_sum(px, along_rows(), half, {"s1": v, "s2": v * v}, halves)
+    d = _line_sum(d, along_cols(), half, {"s1": F.col("s1"), "s2": F.col("s2")}, halves)
     nx = F.least(F.col("w") - 1, F.col("x") + half) - F.greatest(F.lit(0), F.col("x") - half) + 1
     ny = F.least(F.col("h") - 1, F.col("y") + half) - F.greatest(F.lit(0), F.col("y") - half) + 1
     n = (nx * ny).cast("double")
     mean = F.col("s1") / n
     return d.withColumn("mean", mean).withColumn(
-        "variance", F.greatest(F.lit(0.0), F.col("s2") / n - F.col("mean") * F.col("mean"))).drop("s1", "s2")
+        "variance", F.greatest(F.lit(0.0), F.col("s2") / n - F.col("mean") * F.col("mean"))).drop("s1", "s2", "_half")
 
 
 def shade(v: Column, t: Column, ramp: float = 0.0) -> Column:
@@ -117,24 +129,37 @@ def sauvola_threshold(mean: Column, dev: Column, k: float | Column, offset: floa
     return (mean + b) * (F.lit(1.0) + k * (dev / R_SAUVOLA - 1)) - b
 
 
-def sauvola(px: DataFrame, window: int, k: float = 0.34, offset: float = 0.0, ramp: float = 0.0) -> DataFrame:
+def sauvola(px: DataFrame, window: int | Column, k: float = 0.34, offset: float = 0.0, ramp: float = 0.0, windows=()) -> DataFrame:
     """Adaptive threshold: ``v`` becomes ink (0) or paper (255), or a soft edge with ``ramp``."""
-    s = local_stats(px, window)
+    s = local_stats(px, window, windows)
     t = sauvola_threshold(F.col("mean"), F.sqrt("variance"), k, offset)
     return s.withColumn("v", shade(F.col("v"), t, ramp)).drop("mean", "variance")
 
 
-def max_filter(px: DataFrame, r: int) -> DataFrame:
+def _per_radius(r: int | Column, radii, make) -> Column:
+    """``make(radius)``, or the one matching a per-image radius column out of a few possible ones."""
+    if isinstance(r, int):
+        return make(r)
+    out = F.when(r == radii[0], make(radii[0]))
+    for k in radii[1:]:
+        out = out.when(r == k, make(k))
+    return out
+
+
+def max_filter(px: DataFrame, r: int | Column, radii=()) -> DataFrame:
     """Square maximum, one axis after the other."""
-    d = px.withColumn("v", F.max("v").over(along_rows().rowsBetween(-r, r)))
-    return d.withColumn("v", F.max("v").over(along_cols().rowsBetween(-r, r)))
+    d = px.withColumn("v", _per_radius(r, radii, lambda k: F.max("v").over(along_rows().rowsBetween(-k, k))))
+    return d.withColumn("v", _per_radius(r, radii, lambda k: F.max("v").over(along_cols().rowsBetween(-k, k))))
 
 
-def box_blur(px: DataFrame, r: int) -> DataFrame:
+def box_blur(px: DataFrame, r: int | Column, radii=()) -> DataFrame:
     """Square mean with clipped borders; each pass truncates to whole levels."""
     d = px
     for over, pos, size in ((along_rows(), "x", "w"), (along_cols(), "y", "h")):
-        d = _line_sum(d, over, r, {"s1": F.col("v").cast("bigint")})
+        if isinstance(r, int):
+            d = _line_sum(d, over, r, {"s1": F.col("v").cast("bigint")})
+        else:
+            d = d.withColumn("s1", _per_radius(r, radii, lambda k, o=over: F.sum("v").over(o.rowsBetween(-k, k))))
         n = F.least(F.col(size) - 1, F.col(pos) + r) - F.greatest(F.lit(0), F.col(pos) - r) + 1
         d = d.withColumn("v", F.floor(F.col("s1") / n).cast("int")).drop("s1")
     return d
@@ -174,16 +199,13 @@ def shifted(over, c: str, k: int) -> Column:
     return F.coalesce((F.lag(c, -k) if k < 0 else F.lead(c, k)).over(over), edge)
 
 
-def binomial_blur(px: DataFrame, *cols: str, round_half: bool = True) -> DataFrame:
-    """1-4-6-4-1 along rows (kept unrounded), then columns: sums of 256 parts."""
+def binomial_blur(px: DataFrame, *cols: str) -> DataFrame:
+    """1-4-6-4-1 along rows, then columns, edge pixels repeated; levels in exact 256ths."""
     cols = cols or ("v",)
     d = px
-    for over, shift in ((along_rows(), False), (along_cols(), True)):
-        new = {}
-        for c in cols:
-            s = (shifted(over, c, -2) + shifted(over, c, 2) + 4 * (shifted(over, c, -1) + shifted(over, c, 1)) + 6 * F.col(c))
-            new[c] = F.shiftright((s + 128).cast("int"), 8) if shift else s
-        d = d.withColumns(new)
+    for over in (along_rows(), along_cols()):
+        d = d.withColumns({c: shifted(over, c, -2) + shifted(over, c, 2) + 4 * (shifted(over, c, -1) + shifted(over, c, 1)) + 6 * F.col(c)
+                           for c in cols})
     return d
 
 
@@ -211,14 +233,15 @@ def crop(px: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataF
                              "w": (x1 - x0).cast("int"), "h": (y1 - y0).cast("int")})
 
 
-def book_halves(px: DataFrame, overlap: float = 0.08) -> DataFrame:
-    """Two page images per spread, each reaching ``overlap`` of the width past the middle."""
-    reach = F.least(F.col("w"), F.floor(F.col("w") * (0.5 + overlap)).cast("int"))
-    halves = px.withColumn("half", F.explode(F.array(F.lit("left"), F.lit("right"))))
-    x0 = F.when(F.col("half") == "left", 0).otherwise(F.col("w") - reach)
-    return (halves.withColumn("x0", x0).withColumn("reach", reach)
-            .filter((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + F.col("reach")))
-            .withColumns({"x": F.col("x") - F.col("x0"), "w": F.col("reach")}).drop("x0", "reach"))
+def book_halves(px: DataFrame, margin: float = 0.08) -> DataFrame:
+    """Two page images per spread, each keeping ``margin`` of the width past the middle."""
+    left_end = F.floor(F.col("w") * F.lit(0.5 + margin)).cast("int")
+    right_start = F.floor(F.col("w") * F.lit(0.5 - margin)).cast("int")
+    d = px.withColumns({"_l": left_end, "_r": right_start})
+    halves = F.array(F.struct(F.lit("left").alias("half"), F.lit(0).alias("x0"), F.col("_l").alias("hw")),
+                     F.struct(F.lit("right").alias("half"), F.col("_r").alias("x0"), (F.col("w") - F.col("_r")).alias("hw")))
+    d = d.withColumn("_h", F.explode(halves)).filter((F.col("x") >= F.col("_h.x0")) & (F.col("x") < F.col("_h.x0") + F.col("_h.hw")))
+    return d.withColumns({"half": F.col("_h.half"), "x": F.col("x") - F.col("_h.x0"), "w": F.col("_h.hw")}).drop("_h", "_l", "_r")
 
 
 # --- connected ink -----------------------------------------------------------------

@@ -19,6 +19,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def duck(sf: str):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
+    con.execute("SET memory_limit='10GB'")
+    con.execute("SET max_temp_directory_size='4GB'")
+    con.execute("SET temp_directory='/tmp/folio-duck'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     return con
