@@ -248,16 +248,21 @@ def _(spark, sf):
     return d.select("image_id", F.round("skew", 6).alias("skew"))
 
 
+def long_edge(spark, sf) -> int:
+    """Largest page side of the batch: one small aggregate that sizes the job."""
+    return T.text_images(spark, sf).agg(F.max(F.greatest("w", "h"))).first()[0]
+
+
 @query("agg_11_band_angles")
 def _(spark, sf):
     """Lean and contrast per band and direction; checked against numpy in the tests."""
-    d = PR.band_angles(PR.band_points(T.text_pixels(spark, sf)))
+    d = PR.band_angles(PR.band_points(T.text_pixels(spark, sf), long_edge(spark, sf)))
     return d.select("image_id", "dir", "band", F.round("angle", 6).alias("angle"), F.round("contrast", 6).alias("contrast"), "n")
 
 
 @query("agg_12_line_tilt")
 def _(spark, sf):
-    d = PR.line_tilts(PR.band_angles(PR.band_points(T.text_pixels(spark, sf))))
+    d = PR.line_tilts(PR.band_angles(PR.band_points(T.text_pixels(spark, sf), long_edge(spark, sf))))
     return d.select("image_id", F.round("angle", 6).alias("angle"), F.round("slope", 6).alias("slope"), "bands")
 
 
@@ -265,7 +270,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Pages with leaning text turned back row by row; others unchanged."""
     px = T.text_pixels(spark, sf)
-    tilts = PR.line_tilts(PR.band_angles(PR.band_points(px))).join(T.text_images(spark, sf), "image_id")
+    tilts = PR.line_tilts(PR.band_angles(PR.band_points(px, long_edge(spark, sf)))).join(T.text_images(spark, sf), "image_id")
     return by(RS.level_rows(px, tilts.select("image_id", "w", "h", "angle", "slope")))
 
 

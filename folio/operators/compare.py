@@ -17,7 +17,7 @@ def mismatch(found: DataFrame, truth: DataFrame) -> DataFrame:
         truth.select("image_id", "y", "x", F.lit(0).alias("f"), F.when(F.col("v") == 0, 1).otherwise(0).alias("t")))
     px = both.groupBy("image_id", "y", "x").agg(F.max("f").alias("f"), F.max("t").alias("t"))
     n = px.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("f") != F.col("t")).alias("bad"),
-                                   F.count_if("t = 1").alias("ink"), F.count_if("t = 1 AND f = 0").alias("lost"))
+                                   F.count_if(F.col("t") == 1).alias("ink"), F.count_if((F.col("t") == 1) & (F.col("f") == 0)).alias("lost"))
     return n.select("image_id", F.round(F.col("bad") / F.col("n"), 6).alias("mismatch"),
                     F.round(F.col("lost") / F.greatest(F.lit(1), F.col("ink")), 6).alias("lost_ink"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import settings as S
 from folio.operators import raster as R
+from folio.session import checkpointed
 
 MAX_LEAN = 8.0        # fixed values of the levelling step
 MIN_LEAN = 0.15
@@ -98,12 +99,19 @@ def detect_skew(images: DataFrame, px: DataFrame, dpi: int = 100, max_angle: flo
 
 # --- lean of text lines ------------------------------------------------------------
 
-def band_points(px: DataFrame) -> DataFrame:
-    """Ink of the four bands of a page, for lines across it and (transposed) down it."""
+def lean_window(long_edge: int) -> int:
+    return min(max((long_edge // 40) | 1, 15), 61)
+
+
+def band_points(px: DataFrame, long_edge: int = 1200) -> DataFrame:
+    """Ink of the four bands of a page, for lines across it and (transposed) down it.
+
+    ``long_edge`` bounds the page sizes of the job (pages are measured at most 1200 pixels long).
+    The ink is read twice (coarse and fine angles), so it is cut off from the raster work.
+    """
     big = px.filter((F.col("w") >= 64) & (F.col("h") >= 64))
     win = F.least(F.greatest(F.floor(F.greatest("w", "h") / 40).cast("int").bitwiseOR(F.lit(1)), F.lit(15)), F.lit(61))
-    # pages are measured at most 1200 pixels long, so these are all the windows there can be
-    binary = R.sauvola(big.withColumn("win", win), F.col("win"), S.SAUVOLA_K, windows=tuple(range(15, 62, 2)))
+    binary = R.sauvola(big.withColumn("win", win), F.col("win"), S.SAUVOLA_K, windows=tuple(range(15, lean_window(long_edge) + 1, 2)))
     ink = binary.filter("v = 0")
     both = ink.select("image_id", F.explode(F.array(
         F.struct(F.lit("rows").alias("dir"), F.col("w").alias("w"), F.col("h").alias("h"), F.col("x").alias("x"), F.col("y").alias("y")),
@@ -116,7 +124,8 @@ def band_points(px: DataFrame) -> DataFrame:
     both = both.withColumns({"n": F.count(F.lit(1)).over(w), "min_y": F.min("y").over(w), "max_y": F.max("y").over(w)})
     area = F.col("bh").cast("bigint") * (F.col("w") - 2 * F.col("mx"))
     both = both.filter((F.col("n") >= 150) & (F.col("n") <= area * F.lit(0.45)))
-    return strided(both, ["image_id", "dir", "band"], F.col("n"), 40000)
+    keep = ["image_id", "dir", "band", "w", "h", "x", "y", "my", "bh", "n", "min_y", "max_y"]
+    return checkpointed(strided(both.select(*keep), ["image_id", "dir", "band"], F.col("n"), 40000))
 
 
 def band_angles(points: DataFrame) -> DataFrame:
@@ -140,21 +149,22 @@ def band_angles(points: DataFrame) -> DataFrame:
 def line_tilts(bands: DataFrame) -> DataFrame:
     """``image_id, angle, slope, bands`` of pages whose text visibly leans; at most four bands per page and direction."""
     key = ["image_id", "dir"]
-    quality = bands.groupBy(*key).agg(F.avg(F.least(F.col("contrast"), F.lit(50.0))).alias("quality"))
-    good = bands.filter("contrast >= 1.15").withColumn("wt", F.col("n") * F.least(F.col("contrast"), F.lit(3.0)))
     w = Window.partitionBy(*key)
-    good = good.withColumn("_k", F.row_number().over(w.orderBy("angle", "band"))).withColumn("_c", F.count(F.lit(1)).over(w))
-    mid = F.max(F.when(F.col("_k") == F.floor(F.col("_c") / 2) + 1, F.col("angle"))).over(w)
-    good = good.withColumn("_mid", mid).filter(F.abs(F.col("angle") - F.col("_mid")) <= 1.5)
+    d = bands.withColumns({"quality": F.avg(F.least(F.col("contrast"), F.lit(50.0))).over(w), "good": F.col("contrast") >= 1.15})
+    # the angle in the middle of the clear bands; bands far from it (a picture, a stamp) do not count
+    g = Window.partitionBy(*key, "good")
+    d = d.withColumn("_k", F.row_number().over(g.orderBy("angle", "band"))).withColumn("_c", F.count(F.lit(1)).over(g))
+    d = d.withColumn("_mid", F.max(F.when(F.col("good") & (F.col("_k") == F.floor(F.col("_c") / 2) + 1), F.col("angle"))).over(w))
+    near = F.col("good") & (F.abs(F.col("angle") - F.col("_mid")) <= 1.5)
+    d = d.withColumn("wt", F.when(near, F.col("n") * F.least(F.col("contrast"), F.lit(3.0))))
     sw = F.sum("wt").over(w)
-    good = good.withColumns({"mv": F.sum(F.col("wt") * F.col("v")).over(w) / sw, "ma": F.sum(F.col("wt") * F.col("angle")).over(w) / sw})
-    fit = good.groupBy(*key, "mv", "ma").agg(
-        F.count(F.lit(1)).alias("bands"), F.sum(F.col("wt") * (F.col("v") - F.col("mv")) * (F.col("v") - F.col("mv"))).alias("svv"),
+    d = d.withColumns({"mv": F.sum(F.col("wt") * F.col("v")).over(w) / sw, "ma": F.sum(F.col("wt") * F.col("angle")).over(w) / sw})
+    both = d.groupBy(*key, "quality", "mv", "ma").agg(
+        F.count("wt").alias("bands"), F.sum(F.col("wt") * (F.col("v") - F.col("mv")) * (F.col("v") - F.col("mv"))).alias("svv"),
         F.sum(F.col("wt") * (F.col("v") - F.col("mv")) * (F.col("angle") - F.col("ma"))).alias("sva"))
     slope = F.when((F.col("bands") >= 2) & (F.col("svv") > 1e-6), F.col("sva") / F.when(F.col("svv") > 1e-6, F.col("svv"))).otherwise(0.0)
-    fit = fit.withColumn("slope", F.least(F.greatest(slope, F.lit(-3.0)), F.lit(3.0)))
-    fit = fit.withColumn("angle", F.col("ma") + F.col("slope") * (0.5 - F.col("mv")))
-    both = quality.join(fit.select(*key, "angle", "slope", "bands"), key, "left")
+    both = both.withColumn("slope", F.least(F.greatest(slope, F.lit(-3.0)), F.lit(3.0)))
+    both = both.withColumn("angle", F.col("ma") + F.col("slope") * (0.5 - F.col("mv")))
     page = both.groupBy("image_id").agg(*[F.max(F.when(F.col("dir") == d, F.struct("quality", "angle", "slope", "bands"))).alias(d) for d in ("rows", "cols")])
     across = F.coalesce(F.col("cols.quality"), F.lit(0.0)) > F.coalesce(F.col("rows.quality"), F.lit(0.0))
     page = page.select("image_id", F.when(across, -F.col("cols.angle")).otherwise(F.col("rows.angle")).alias("angle"),

@@ -63,8 +63,11 @@ def percentile_level(hist: DataFrame, p: float, name: str = "level") -> DataFram
         F.coalesce(F.min(F.when(target == 0, 0).when(F.col("acc") >= target, F.col("v"))), F.lit(255)).alias(name))
 
 
-def box_downscale(px: DataFrame, f: int | Column, *values: str) -> DataFrame:
-    """Integer box mean by ``f`` (a number, or a column constant per image); remainders are left out."""
+def box_downscale(px: DataFrame, f: int | Column, *values: str, keep: str = "_f") -> DataFrame:
+    """Integer box mean by ``f`` (a number, or a column constant per image); remainders are left out.
+
+    ``keep`` names a column to hold the factor in the result.
+    """
     values = values or ("v",)
     if isinstance(f, int):
         if f <= 1:
@@ -76,7 +79,7 @@ def box_downscale(px: DataFrame, f: int | Column, *values: str) -> DataFrame:
                           "y": F.floor(F.col("y") / f).cast("int"), "x": F.floor(F.col("x") / f).cast("int")})
     cell = cell.filter((F.col("x") < F.col("w")) & (F.col("y") < F.col("h")))
     return cell.groupBy("image_id", "w", "h", "y", "x", "_f").agg(
-        *[F.floor(F.sum(c) / (f * f)).cast("int").alias(c) for c in values]).drop("_f")
+        *[F.floor(F.sum(c) / (f * f)).cast("int").alias(c) for c in values]).withColumnRenamed("_f", keep).drop("_f")
 
 
 # --- sliding windows ---------------------------------------------------------------

@@ -128,8 +128,7 @@ ESTIMATE_EDGE = 256
 def background(px: DataFrame) -> DataFrame:
     """Paper brightness on a small copy: local maximum, blur, floor. Adds ``f``, the shrink factor."""
     f = F.greatest(F.lit(1), F.ceil(F.greatest("w", "h") / ESTIMATE_EDGE)).cast("int")
-    d = px.withColumn("f", f)
-    small = R.box_downscale(d, F.col("f")).join(d.groupBy("image_id").agg(F.first("f").alias("f")), "image_id")
+    small = R.box_downscale(px, f, keep="f")
     level = R.percentile_level(R.histogram(small), 0.95, "level")
     r = F.greatest(F.lit(2), F.floor(F.greatest("w", "h") / 40)).cast("int")
     s = small.withColumn("r", r)

@@ -14,7 +14,7 @@ from folio.operators import resample as RS
 
 
 def apply_tone(px: DataFrame, brightness, contrast, *values: str) -> DataFrame:
-    s, o = TN.tone_scale(brightness), TN.tone_offset(brightness, contrast)
+    s, o = TN.tone_scale(contrast), TN.tone_offset(brightness, contrast)
     return px.withColumns({c: TN.tone_level(F.col(c), s, o) for c in values or ("v",)})
 
 
