@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import geometry as G
@@ -32,3 +33,168 @@ def corner_error(found: Column, truth: Column, w: Column, h: Column) -> Column:
     d = G.corners(found)
     worst = [F.greatest(*[G.dist(t[(i + s) % 4], d[i]) for i in range(4)]) for s in range(4)]
     return reduce(F.least, worst) / G.diagonal(w, h)
+
+
+# --- from lines to outlines --------------------------------------------------------
+
+# fixed values
+MAX_OPPOSITE = math.radians(50)
+MIN_CROSSING = math.radians(30)
+MIN_AREA = 0.04
+NEAR_MARGIN = 0.04
+NEAR_BEST = 0.8
+MUCH_STRONGER = 2.0
+SCORED = 3000
+
+
+def border_lines(images: DataFrame) -> DataFrame:
+    """The four frame edges as lines, for sheets that run out of the picture."""
+    w, h = F.col("w") - 1.0, F.col("h") - 1.0
+    edge = lambda t, r, n: F.struct(F.lit(t).alias("theta"), r.alias("rho"), F.lit(n).alias("line_id"))
+    sides = F.array(edge(math.pi / 2, F.lit(0.0), "~top"), edge(math.pi / 2, h, "~bottom"), edge(0.0, F.lit(0.0), "~left"), edge(0.0, w, "~right"))
+    return images.select("image_id", "w", "h", F.explode(sides).alias("s")).select(
+        "image_id", "w", "h", "s.line_id", "s.theta", "s.rho", F.lit(0.0).alias("votes"), F.lit(True).alias("is_border"), F.lit(30.0).alias("strength"))
+
+
+def line_pairs(lines: DataFrame) -> DataFrame:
+    """Possible opposite sides: near parallel, clearly apart, not both frame edges.
+
+    ``lines``: ``image_id, w, h, line_id, theta (radians), rho, votes, is_border, strength``.
+    The join is on the picture, whose line count is capped by the line search.
+    """
+    cols = ["line_id", "theta", "rho", "votes", "is_border", "strength"]
+    a = lines.select("image_id", "w", "h", F.struct(*cols).alias("a"))
+    b = lines.select(F.col("image_id").alias("_i"), F.struct(*cols).alias("b"))
+    cx, cy = (F.col("w") - 1) / 2.0, (F.col("h") - 1) / 2.0
+    d = a.join(b, (F.col("image_id") == F.col("_i")) & (F.col("a.line_id") < F.col("b.line_id"))
+               & ~(F.col("a.is_border") & F.col("b.is_border"))).drop("_i")
+    off = lambda s: F.cos(f"{s}.theta") * cx + F.sin(f"{s}.theta") * cy - F.col(f"{s}.rho")
+    same = F.cos("a.theta") * F.cos("b.theta") + F.sin("a.theta") * F.sin("b.theta") >= 0
+    apart = F.abs(off("a") - F.when(same, 1.0).otherwise(-1.0) * off("b")) >= 0.15 * F.least("w", "h")
+    return d.filter((G.angle_diff(F.col("a.theta"), F.col("b.theta")) <= MAX_OPPOSITE) & apart)
+
+
+def outline_candidates(pairs: DataFrame, margin: float = NEAR_MARGIN) -> DataFrame:
+    """``image_id, w, h, quad, sides, pre``: convex outlines from two pairs of opposite sides.
+
+    Angles are compared before corners are computed, so hopeless combinations drop early.
+    """
+    p = pairs.select("image_id", "w", "h", F.col("a").alias("pa"), F.col("b").alias("pb"))
+    q = pairs.select(F.col("image_id").alias("_i"), F.col("a").alias("qa"), F.col("b").alias("qb"))
+    key = lambda s: F.struct(F.col(f"{s}a.line_id"), F.col(f"{s}b.line_id"))
+    d = p.join(q, (F.col("image_id") == F.col("_i")) & (key("p") < key("q"))).drop("_i")
+    crossing = [G.angle_diff(F.col(f"{a}.theta"), F.col(f"{b}.theta")) >= MIN_CROSSING for a in ("pa", "pb") for b in ("qa", "qb")]
+    other = [F.col(f"{a}.line_id") != F.col(f"{b}.line_id") for a in ("pa", "pb") for b in ("qa", "qb")]
+    borders = sum((F.col(f"{s}.is_border").cast("int") for s in ("pb", "qa", "qb")), F.col("pa.is_border").cast("int"))
+    d = d.filter(reduce(lambda x, y: x & y, crossing + other + [borders <= 2]))
+    points = []
+    for a, b in (("pa", "qa"), ("pa", "qb"), ("pb", "qb"), ("pb", "qa")):
+        points += list(G.intersect(F.col(f"{a}.theta"), F.col(f"{a}.rho"), F.col(f"{b}.theta"), F.col(f"{b}.rho")))
+    d = d.withColumn("quad", F.array(*points)).filter(~F.exists("quad", lambda v: v.isNull()))
+    quad = F.col("quad")
+    reach = (F.least if margin > NEAR_MARGIN else F.greatest)("w", "h") * margin
+    d = d.filter(plausible_outline(quad, F.col("w"), F.col("h"), reach))
+    d = d.withColumn("sides", F.array("pa", "qb", "pb", "qa"))
+    d = G.with_visible_area(d, "quad", "w", "h", "visible")
+    pre = F.lit(0.0)
+    for i, (a, b) in enumerate(G.sides(quad)):
+        s = F.col("sides")[i]
+        support = F.least(F.lit(1.0), s["votes"] / F.greatest(F.lit(1.0), G.dist(a, b))) * (0.55 + 0.45 * clamp(s["strength"] / 30, 0.2, 1.0))
+        pre = pre + F.when(s["is_border"], 0.55).otherwise(support)
+    share = F.col("visible") / (F.col("w").cast("double") * F.col("h"))
+    return d.withColumn("pre", pre * (0.6 + 0.4 * F.sqrt(share))).select("image_id", "w", "h", "quad", "sides", "visible", "pre")
+
+
+def plausible_outline(quad: Column, w: Column, h: Column, reach: Column) -> Column:
+    """Convex, big enough, inside the frame, no short side, corners near right angles."""
+    return (G.quad_is_convex(quad) & (G.quad_area(quad) >= MIN_AREA * w * h) & G.inside_frame(quad, w, h, reach)
+            & (G.min_side(quad) >= 0.10 * F.least(w, h)) & (G.max_angle_deviation(quad) <= math.radians(45)))
+
+
+def best_ranked(cands: DataFrame, most: int = SCORED) -> DataFrame:
+    """The best candidates per picture by the cheap rank; the costly score is paid for these only."""
+    w = Window.partitionBy("image_id").orderBy(F.desc("pre"), "quad")
+    return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+
+
+def quad_score(quad: Column, visible: Column, w: Column, h: Column, mean: Column, least: Column) -> Column:
+    """Final score from side supports: mean^1.5, weakest side, size, angles, share outside; 0 when a side has no edge."""
+    area = visible / (w.cast("double") * h)
+    outside = 1 - visible / F.greatest(F.lit(1.0), G.quad_area(quad))
+    angle = 1 - clamp((F.degrees(G.max_angle_deviation(quad)) - 15) / 45, 0.0, 0.6)
+    shape = (0.35 + 0.65 * F.sqrt(area)) * angle * (1 - 0.3 * outside)
+    return F.when(least < 0.15, 0.0).otherwise(F.pow(mean, F.lit(1.5)) * (0.5 + 0.5 * least) * shape)
+
+
+def pick_outline(scored: DataFrame, w: int, h: int) -> DataFrame:
+    """One outline per picture: the best score, unless a near-identical rival has far stronger edges.
+
+    ``scored``: ``image_id, cand_id, quad, score, strength`` with positive scores.
+    """
+    best = scored.groupBy("image_id").agg(F.max(F.struct("score", (-F.col("cand_id")).alias("o"), "cand_id", "quad", "strength")).alias("best"))
+    d = scored.join(best, "image_id")
+    rival = d.filter((F.col("score") >= NEAR_BEST * F.col("best.score")) & (F.col("strength") >= MUCH_STRONGER * F.col("best.strength")))
+    rival = rival.select("image_id", "cand_id", "quad", "score", "strength", F.col("best.quad").alias("quad2"),
+                         F.struct("image_id", "cand_id").alias("case_id"))
+    near = quad_iou(rival, w, h).filter(F.col("iou") >= 0.8).select("case_id")
+    strong = rival.join(near, "case_id", "left_semi").groupBy("image_id").agg(F.max(F.struct("strength", (-F.col("cand_id")).alias("o"), "cand_id", "score")).alias("r"))
+    d = best.join(strong, "image_id", "left")
+    return d.select("image_id", F.coalesce("r.cand_id", "best.cand_id").alias("cand_id"), F.coalesce("r.score", "best.score").alias("score"))
+
+
+def consensus_lines(samples: DataFrame, tol: float) -> DataFrame:
+    """``side_id, a, b, score``: the line through two samples that most (weighted) samples lie on.
+
+    ``samples``: ``side_id, k (sample id), t, e, s``, at most 64 per side by construction of the
+    side scan, so the pairs of a side are bounded; scores combine before they are compared.
+    """
+    p = samples.select("side_id", F.col("k").alias("k1"), F.col("t").alias("t1"), F.col("e").alias("e1"))
+    q = samples.select(F.col("side_id").alias("_s"), F.col("k").alias("k2"), F.col("t").alias("t2"), F.col("e").alias("e2"))
+    pairs = p.join(q, (F.col("side_id") == F.col("_s")) & (F.col("t2") - F.col("t1") >= 0.1)).drop("_s")
+    dt = F.col("t2") - F.col("t1")
+    pairs = pairs.withColumn("b", (F.col("e2") - F.col("e1")) / F.when(dt >= 0.1, dt)).withColumn("a", F.col("e1") - F.col("b") * F.col("t1"))
+    k = samples.select(F.col("side_id").alias("_s"), "t", "e", "s")
+    gap = F.abs(F.col("e") - (F.col("a") + F.col("b") * F.col("t")))
+    near = pairs.join(k, F.col("side_id") == F.col("_s")).withColumn("gap", gap).filter(F.col("gap") <= tol)
+    score = near.groupBy("side_id", "k1", "k2", "t1", "t2", "a", "b").agg(F.sum(F.sqrt("s") * (1 - 0.5 * F.col("gap") / tol)).alias("score"))
+    best = score.groupBy("side_id").agg(F.max(F.struct(F.round("score", 9).alias("r"), (-F.col("t1")).alias("o1"), (-F.col("t2")).alias("o2"), "a", "b")).alias("m"))
+    return best.select("side_id", "m.a", "m.b", F.col("m.r").alias("score"))
+
+
+def outermost_runs(profile: DataFrame) -> DataFrame:
+    """``side_id, s, step``: steepest point of the outermost run of passing positions on a side profile.
+
+    ``profile``: ``side_id, s, step, passes``; runs are islands of consecutive passing positions.
+    """
+    w = Window.partitionBy("side_id").orderBy("s")
+    d = profile.withColumn("_new", F.when(F.col("passes") & ~F.coalesce(F.lag("passes").over(w), F.lit(False)), 1).otherwise(0))
+    d = d.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("passes")
+    runs = d.groupBy("side_id", "_run").agg(F.max(F.struct("step", (-F.col("s")).alias("o"))).alias("m"))
+    last = runs.groupBy("side_id").agg(F.max_by("m", "_run").alias("m"))
+    return last.select("side_id", (-F.col("m.o")).alias("s"), F.col("m.step").alias("step"))
+
+
+def robust_lines(samples: DataFrame, rounds: int = 6) -> DataFrame:
+    """``side_id, p0, p1``: straight side offsets with far points reweighted away (Tukey), per side.
+
+    Each round is one set of weighted sums per side; the median residual ranks at most the
+    samples of one side.
+    """
+    side = Window.partitionBy("side_id")
+    d = samples.withColumn("wt", F.sqrt("s"))
+    for i in range(rounds):
+        w, t, e = F.col("wt"), F.col("t"), F.col("e")
+        d = d.withColumns({"_w": F.sum(w).over(side), "_t": F.sum(w * t).over(side), "_tt": F.sum(w * t * t).over(side),
+                           "_e": F.sum(w * e).over(side), "_te": F.sum(w * t * e).over(side), "_n": F.count(F.lit(1)).over(side)})
+        det = F.col("_w") * F.col("_tt") - F.col("_t") * F.col("_t")
+        safe = F.when(F.abs(det) >= 1e-9, det)
+        d = d.withColumns({"p0": (F.col("_e") * F.col("_tt") - F.col("_t") * F.col("_te")) / safe, "p1": (F.col("_w") * F.col("_te") - F.col("_t") * F.col("_e")) / safe})
+        if i == rounds - 1:
+            break
+        d = d.withColumn("_r", F.abs(e - (F.col("p0") + F.col("p1") * t)))
+        d = d.withColumn("_k", F.row_number().over(side.orderBy("_r")))
+        mid = (F.col("_k") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_k") == F.floor(F.col("_n") / 2) + 1)
+        d = d.withColumn("_mad", F.avg(F.when(mid, F.col("_r"))).over(side))
+        u = F.col("_r") / (F.greatest(F.lit(1.0), 1.4826 * F.col("_mad")) * 4.685)
+        d = d.withColumn("wt", F.when(u >= 1, 0.0).otherwise(F.sqrt("s") * (1 - u * u) * (1 - u * u)))
+    return d.groupBy("side_id").agg(F.first("p0").alias("p0"), F.first("p1").alias("p1"))

@@ -97,3 +97,27 @@ def drop_blank(pages: DataFrame, max_percent: float = S.BLANK_INK_PERCENT, obser
     if observe:
         d = d.observe(observe, F.count(F.lit(1)).alias("total"), F.count_if(is_blank(F.col("ink_percent"), max_percent)).alias("blank"))
     return d.filter(~is_blank(F.col("ink_percent"), max_percent))
+
+
+def analyze_pages(images: DataFrame, px: DataFrame, dpi: int = 100, max_percent: float = S.BLANK_INK_PERCENT) -> DataFrame:
+    """``image_id, is_blank, crop (x, y, w, h as shares, null when whole), skew, summary``.
+
+    Steps see what earlier ones decided: blank pages get no crop, the lean is measured on the
+    cropped page. Nothing is rewritten, the decisions are columns to apply later.
+    """
+    from folio.operators.projection import detect_skew
+
+    blank = ink_percent(images, px, dpi).select("image_id", is_blank(F.col("ink_percent"), max_percent).alias("is_blank"))
+    box = content_bounds(px, dpi)
+    inked = px.join(blank.filter("NOT is_blank"), "image_id", "left_semi").join(box, "image_id")
+    page = R.crop(inked, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).select("image_id", "w", "h", "y", "x", "v")
+    lean = detect_skew(images, page, dpi)
+    d = images.join(blank, "image_id").join(box, "image_id", "left").join(lean, "image_id", "left")
+    w, h = F.col("w").cast("double"), F.col("h").cast("double")
+    cut = ~F.col("is_blank") & ((F.col("x1") - F.col("x0") < F.col("w")) | (F.col("y1") - F.col("y0") < F.col("h")))
+    crop = F.when(cut, F.struct((F.col("x0") / w).alias("x"), (F.col("y0") / F.when(h > 0, h)).alias("y"), ((F.col("x1") - F.col("x0")) / w).alias("w"),
+                                ((F.col("y1") - F.col("y0")) / F.when(h > 0, h)).alias("h")))
+    skew = F.when(F.col("is_blank"), 0.0).otherwise(F.coalesce("skew", F.lit(0.0)))
+    notes = F.concat_ws(", ", F.when(F.col("is_blank"), "blank"), F.when(cut, "border cropped"),
+                        F.when(skew != 0, F.concat(F.lit("straightened "), F.format_string("%.1f", skew))))
+    return d.select("image_id", "is_blank", crop.alias("crop"), skew.alias("skew"), notes.alias("summary"))
