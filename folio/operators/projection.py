@@ -89,7 +89,7 @@ def _finer(points: DataFrame, coarse: DataFrame, keys: list[str], half: float, s
 
 def detect_skew(images: DataFrame, px: DataFrame, dpi: int = 100, max_angle: float = 15.0) -> DataFrame:
     """``image_id, skew`` in degrees, 0 without a confident estimate."""
-    pts = skew_points(px, dpi)
+    pts = checkpointed(skew_points(px, dpi))  # read for the coarse and again for the fine angles
     coarse = best_angle(scores(with_angles(pts, F.lit(-max_angle), 0.5, round(4 * max_angle) + 1), ["image_id"], _page_bin()), ["image_id"])
     d = _finer(pts, coarse, ["image_id"], 0.5, 0.05, _page_bin())
     sure = (F.col("best_score") >= F.col("zero") * F.lit(1.05)) & (F.abs("best") >= 0.1)
