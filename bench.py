@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINES = ["agg_01_histogram", "agg_02_otsu", "agg_06_is_blank", "agg_08_content_bounds", "agg_10_detect_skew", "win_01_local_stats", "win_02_sauvola",
-             "img_02_flatten_background", "img_04_look_grid", "img_14_thumbs", "agg_13_hough_votes", "join_09_warp", "sca_18_crop_plan", "fil_05_search",
+             "img_04_look_grid", "agg_13_hough_votes", "join_09_warp", "sca_18_crop_plan", "fil_05_search",
              "fil_03_needs_render", "win_10_document_groups", "win_12_unique_names", "win_14_latest_page", "win_16_trial_countdown", "join_14_guarded_update",
              "edt_02_set_filter", "agg_22_import_status", "img_12_export_plan", "str_01_capture_cues"]
 

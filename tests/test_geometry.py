@@ -71,13 +71,13 @@ def test_a4_like(spark, w, h):
 
 
 def test_front_view_keeps_its_shape(spark):
-    d = spark.range(1).select(quad(500, 500, 1500, 500, 1500, 1900, 500, 1900).alias("quad"), F.lit(2000).alias("w"), F.lit(2400).alias("h"))
+    d = spark.createDataFrame([([500.0, 500, 1500, 500, 1500, 1900, 500, 1900], 2000, 2400)], "quad array<double>, w int, h int")
     r = G.with_output_aspect(G.with_output_aspect(d, a4=False, name="free"), a4=True).first()
     assert r.free == pytest.approx(1000 / 1400, rel=1e-6) and r.aspect == pytest.approx(1 / math.sqrt(2), rel=1e-6)
 
 
 def test_crop_plan_uses_a_coarser_decode_for_huge_photos(spark):
-    d = spark.range(1).select(quad(0, 0, 8000, 0, 8000, 11314, 0, 11314).alias("quad"), F.lit(8000).alias("w"), F.lit(11314).alias("h"))
+    d = spark.createDataFrame([([0.0, 0, 8000, 0, 8000, 11314, 0, 11314], 8000, 11314)], "quad array<double>, w int, h int")
     r = G.with_crop_plan(d).first()
     assert r.sample in (2, 4) and max(r.out_w, r.out_h) <= 3508 and r.region_w == 8000
 
