@@ -64,7 +64,8 @@ def percentile_level(hist: DataFrame, p: float, name: str = "level") -> DataFram
 
 
 def box_downscale(px: DataFrame, f: int | Column, *values: str, keep: str = "_f") -> DataFrame:
-    """Integer box mean by ``f`` (a number, or a column constant per image); remainders are left out.
+    """Integer box mean by ``f`` (a number, or a column constant per image); remainders are left out,
+    and so are pictures smaller than one box.
 
     ``keep`` names a column to hold the factor in the result.
     """
@@ -75,7 +76,7 @@ def box_downscale(px: DataFrame, f: int | Column, *values: str, keep: str = "_f"
         f = F.lit(f)
     d = px.withColumn("_f", f)
     f = F.col("_f")
-    cell = d.withColumns({"w": F.greatest(F.lit(1), F.floor(F.col("w") / f)).cast("int"), "h": F.greatest(F.lit(1), F.floor(F.col("h") / f)).cast("int"),
+    cell = d.withColumns({"w": F.floor(F.col("w") / f).cast("int"), "h": F.floor(F.col("h") / f).cast("int"),
                           "y": F.floor(F.col("y") / f).cast("int"), "x": F.floor(F.col("x") / f).cast("int")})
     cell = cell.filter((F.col("x") < F.col("w")) & (F.col("y") < F.col("h")))
     return cell.groupBy("image_id", "w", "h", "y", "x", "_f").agg(
