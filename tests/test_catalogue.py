@@ -182,3 +182,19 @@ def test_ingest_writes_each_batch_once(spark, sf, tmp_path):
     q = PG.incremental_ingest(src, lambda b: b.withColumn("long", F.col("n_chars") > 500), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == d.count()
+
+
+def test_folders_signatures_and_renders(spark, tmp_path):
+    (tmp_path / "folders.json").write_text(json.dumps([{"id": "f1", "name": "One"}, {"id": "f2", "name": "Two"}]))
+    (tmp_path / "broken.json").write_text("[{")
+    assert FS.read_folders(spark, str(tmp_path / "folders.json")).count() == 2
+    assert FS.read_folders(spark, str(tmp_path / "broken.json")).count() == 0
+    (tmp_path / "ink.json").write_text(json.dumps([{"id": "a", "color": 255, "width": 4, "height": 2, "createdUtc": "2024-01-01T00:00:00Z"},
+                                                  {"id": "b", "color": 1, "width": 4, "height": 2, "createdUtc": "2024-02-01T00:00:00Z"}]))
+    assert [r.id for r in FS.read_signatures(spark, str(tmp_path / "ink.json")).collect()] == ["b", "a"]
+    rows = [("d1", 1, rev, y, [0, 255]) for rev in (1, 2) for y in range(3)]
+    d = spark.createDataFrame(rows, "doc_id string, image_id long, revision int, y int, vals array<int>")
+    FS.write_pages(d, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    newest = C.latest(back.select("image_id", "revision").distinct(), "image_id", ["revision"]).first()
+    assert back.count() == 6 and newest.revision == 2
