@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontam, exact, langid, mixing, simhash
+from folio.llm import decontam, exact, htmltext, langid, licenses, lmscore, mixing, simhash, toxicity, warc
 from folio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,40 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
 @query("op9_decontamination", DECONTAM_SQL)
 def op9(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_html_text")
+def op3(spark, sf_dir):
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+WARC_SQL = """
+WITH page AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+grouped AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM page)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(h, CAST(j // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (j % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM grouped"""
+
+
+@query("op6_warc", WARC_SQL)
+def op6(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op8_lm_score")
+def op8(spark, sf_dir):
+    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_license_scan")
+def op10(spark, sf_dir):
+    return licenses.licensed(table(spark, sf_dir, "documents"))

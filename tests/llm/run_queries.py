@@ -15,7 +15,7 @@ def main(argv):
 
     from folio.session import local_session
     sf = f"/root/testdata/{argv[0] if argv else 'sf0.001'}"
-    spark, con = local_session(8), duck(sf)
+    spark, con = local_session(os.environ.get("CORES", "8")), duck(sf)
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     for n in queries:
         if (n.startswith("op") or n == "pipeline") and (not argv[1:] or any(n.startswith(p) for p in argv[1:])):
