@@ -11,7 +11,8 @@ The templates are a fixed set, so the index a task holds does not grow with the
 documents are read once, nothing is shuffled, and a document of any length is hashed as an array.
 
 Defined results: null, empty and wordless texts have no matches; repeated rows match alike; of
-several matches all are reported, in order of place, license and coverage.
+matches that overlap the one with the most words stays (then the higher coverage, then the
+first name); all others are reported in order of place.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def aligned(template: list[str], words: list[str], diagonal: int, band: int = BA
 
 
 def scan(text: str | None, index: Index, hashes: Hashes, band: int = BAND, least: float = LEAST) -> list[dict]:
-    """All matches of one text, in order of place; of overlapping ones of a license the best."""
+    """All matches of one text, in order of place; of overlapping ones the best."""
     if not text:
         return []
     lowered = text.lower()
@@ -158,13 +159,12 @@ def scan(text: str | None, index: Index, hashes: Hashes, band: int = BAND, least
     spots = [m.span() for m in WORDS.finditer(lowered)]
     if len(spots) != len(words):
         spots = [(0, len(text))] * len(words)
-    out = []
-    for name, ways in found.items():
-        taken: list[tuple[int, int]] = []
-        for coverage, first, last, n in sorted(ways, key=lambda x: (-x[3], -x[0], x[1])):
-            if all(last < a or first > b for a, b in taken):
-                taken.append((first, last))
-                out.append({"license": name, "coverage": round(coverage, 6), "start": spots[first][0], "end": spots[last][1]})
+    out, taken = [], []
+    ways = [(-n, -coverage, name, first, last) for name, some in found.items() for coverage, first, last, n in some]
+    for _, coverage, name, first, last in sorted(ways):
+        if all(last < a or first > b for a, b in taken):
+            taken.append((first, last))
+            out.append({"license": name, "coverage": round(-coverage, 6), "start": spots[first][0], "end": spots[last][1]})
     return sorted(out, key=lambda m: (m["start"], m["license"], -m["coverage"]))
 
 

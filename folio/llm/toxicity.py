@@ -9,7 +9,7 @@ logistic function, fitted on the document labels, of what the marginals add up t
 tokens that are more likely toxic than not give the offending offsets.
 
 Fitting reads a bounded sample (``SAMPLE`` labelled rows, those with the smallest hash of the
-id) in ``SHARDS`` tasks whose weights are averaged. Scoring streams over batches; documents of a
+id) in tasks of about ``SHARD`` rows, whose weights are averaged. Scoring streams over batches; documents of a
 batch step through the chain together, longest first.
 
 Defined results: a text that is null or has no letters gets the score of a text without any
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import column, crc_bucket, staged
 
-#: Labelled rows that are fitted on, and tasks that fit.
-SAMPLE, SHARDS = 6000, 8
-EPOCHS, RATE, RIDGE = 60, 0.5, 1e-3
-#: A word is a feature from this many labelled documents on, and if its share of toxic ones is so many standard errors off.
-LEAST_DOCS, LEAST_Z = 3, 3.0
+#: Labelled rows that are fitted on, and about how many of them a task fits.
+SAMPLE, SHARD = 6000, 1000
+EPOCHS, RATE, RIDGE = 60, 0.5, 0.02
+#: A word can be a feature from this many labelled documents on; the likelihood ratio of its share of toxic ones decides.
+LEAST_DOCS = 3
 #: A feature marks toxic tokens if so large a share of its documents is toxic.
 SEED_SHARE = 0.6
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -138,7 +138,7 @@ def fit_chain(docs: list[np.ndarray], truth: list[np.ndarray], n_words: int, epo
             "fixed": np.array([off.sum(), (here - here * was).sum() - (there - both).sum(),
                                (was * (1 - gold)).sum() - (earlier - both).sum(), (here * was).sum() - both.sum()])}
         for k in w:
-            grad = step[k] - RIDGE * len(docs) * w[k]
+            grad = step[k] - RIDGE * w[k]
             speed[k] += grad ** 2
             w[k] += RATE * grad / np.sqrt(speed[k])
     return w
@@ -230,15 +230,23 @@ def _fitter(words: list[str], seeds: set[str], epochs: int):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """``(id, text, toxic)``: at most ``most`` labelled rows, by the smallest hash of the id."""
+    """``(id, text, toxic)``: at most ``most`` labelled rows, by the smallest hash of the id.
+
+    Of texts with the same least shingle hash one is left: copies of a document would make its words tell
+    more than they do."""
     rows = labels.select(column(labels, "doc_id", "long").alias("id"), column(labels, "toxic", "int").alias("toxic")).dropna()
     rows = rows.groupBy("id").agg(F.max("toxic").alias("toxic"))
     some = rows.orderBy(F.xxhash64(F.col("id"), F.lit(5))).limit(most)
     texts = docs.select(column(docs, "doc_id", "long").alias("id"), column(docs, "text", "string").alias("text"))
-    return texts.join(F.broadcast(some), "id").filter("text is not null")  # at most `most` narrow rows
+    found = texts.join(F.broadcast(some), "id").filter("text is not null")  # at most `most` narrow rows are sent
+    words = F.split(F.lower("text"), r"\P{L}+")
+    shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 3)),
+                           lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(3)]))
+    found = found.withColumn("words", words).withColumn("family", F.array_min(shingles)).drop("words")
+    return found.groupBy("family").agg(F.min(F.struct("id", "text", "toxic")).alias("r")).select("r.*")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, shards: int = SHARDS, epochs: int = EPOCHS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, per_task: int = SHARD, epochs: int = EPOCHS) -> Model:
     """Learn from ``labels`` of ``docs``; give only rows that may be learned from. What reaches the driver is
     bounded by the sample: its words that tell toxic from other documents, the weights, and a few numbers for each row."""
     picked = staged(labelled(docs, labels, most), "labelled")
@@ -251,11 +259,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, shards: int = SH
     share = n_toxic / n
     words = picked.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))).alias("word"))
     seen = words.groupBy("word").agg(F.count(F.lit(1)).alias("docs"), F.sum("toxic").alias("toxic")).filter(F.col("docs") >= LEAST_DOCS)
-    z = (F.col("toxic") - F.col("docs") * share) / F.sqrt(F.col("docs") * (share * (1 - share)))
-    telling = seen.withColumn("z", z).filter(F.abs("z") >= LEAST_Z).orderBy("word").collect()
+    seen = staged(seen, "words")
+    part = lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(F.lit(0.0))
+    clean = F.col("docs") - F.col("toxic")
+    ratio = 2 * (part(F.col("toxic"), F.col("docs") * share) + part(clean, F.col("docs") * (1 - share)))
+    bar = 2 * math.log(max(2, seen.count()))  # so that hardly any word gets over it by chance, however many are tested
+    telling = seen.withColumn("ratio", ratio).filter(F.col("ratio") >= bar).orderBy("word").collect()
     names = [r["word"] for r in telling]
-    seeds = {r["word"] for r in telling if r["z"] >= LEAST_Z and r["toxic"] / r["docs"] >= SEED_SHARE}
-    shard = F.pmod(F.xxhash64(F.col("id"), F.lit(9)), F.lit(shards)).alias("shard")
+    seeds = {r["word"] for r in telling if r["toxic"] / r["docs"] >= SEED_SHARE}
+    shard = F.pmod(F.xxhash64(F.col("id"), F.lit(9)), F.lit(max(1, round(n / per_task)))).alias("shard")
     parts = picked.select(shard, "text", "toxic").groupBy("shard").applyInPandas(_fitter(names, seeds, epochs), "part string, at long, value double")
     got = parts.groupBy("part", "at").agg(F.avg("value").alias("value")).toPandas()
     weights = {k: np.zeros(len(names) + 1) for k in ("word", "before", "after")} | {"fixed": np.array([-30.0, 0, 0, 0])}
