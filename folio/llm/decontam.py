@@ -137,7 +137,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
     rows = _split(_keyed(docs, id_col, text_col), "id", "mark").select(
-        F.col("id").alias("doc_id"), F.col("mark").alias("own"), (F.col("last") - F.col("first") + 1).cast("long").alias("n_words"))
+        F.col("id").alias("doc_id"), F.col("mark").alias("own"), F.greatest(F.lit(0), F.col("last") - F.col("first") + 1).cast("long").alias("n_words"))
     met = overlaps(docs, benchmark, window, block, id_col, text_col)
     if met is None:
         rows = rows.withColumns({"n_hit": F.lit(None).cast("long"), "found": F.lit(None).cast("array<string>")})

@@ -3,9 +3,9 @@
 Templates are cut into shingles of ``K`` words; of every ``W`` neighbouring shingle hashes the
 least is a fingerprint, and an inverted index maps fingerprints to templates and positions. The
 same is done with every document. Any stretch of ``K + W - 1`` common words shares a
-fingerprint, so no such stretch is missed. Hits of a template on near diagonals form a
-candidate, and a local alignment within ``BAND`` words of that diagonal gives the share of the
-template that is matched, and the characters it spans.
+fingerprint, so no such stretch is missed. Each diagonal on which a template is hit is a
+candidate, and a local alignment within ``BAND`` words of it gives the share of the template
+that is matched, and the characters it spans.
 
 The templates are a fixed set, so the index a task holds does not grow with the documents;
 documents are read once, nothing is shuffled, and a document of any length is hashed as an array.
@@ -34,7 +34,7 @@ from folio.llm.templates import TEMPLATES
 K, W = 3, 3
 #: Words an alignment may stray from its candidate's diagonal, and the least share of a template that counts.
 BAND, LEAST = 12, 0.8
-WORDS = re.compile(r"[a-z0-9]+")
+WORDS = re.compile(r"[A-Za-z0-9]+")
 CACHE = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MATCH = "array<struct<license:string,coverage:double,start:int,end:int>>"
@@ -48,6 +48,10 @@ class Hashes(dict):
         return found
 
 
+def words_of(text: str) -> list[str]:
+    return " ".join(WORDS.findall(text)).lower().split()
+
+
 def shingle_hashes(words: list[str], hashes: Hashes, k: int = K) -> np.ndarray:
     ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = len(ids) - k + 1
@@ -78,7 +82,7 @@ class Index:
         hashes = Hashes()
         for name, texts in templates.items():
             for text in texts:
-                words = WORDS.findall(text.lower())
+                words = words_of(text)
                 t = len(self.names)
                 self.names.append(name)
                 self.words.append(words)
@@ -101,15 +105,6 @@ class Index:
         return out
 
 
-def candidates(hits: list[tuple[int, int]], size: int, band: int = BAND) -> list[int]:
-    """Diagonals to align on: hits in order, joined while they stay within half the band of the first."""
-    out = []
-    for diagonal in sorted({d for d, _ in hits}):
-        if not out or diagonal - out[-1] > band // 2:
-            out.append(diagonal)
-    return out
-
-
 def aligned(template: list[str], words: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """Best local alignment near a diagonal: words matched, first and last document word (2 for a match, -1 for a gap or a difference)."""
     best, wide = (0, 0, 0, -1), 2 * band + 1
@@ -142,23 +137,19 @@ def scan(text: str | None, index: Index, hashes: Hashes, band: int = BAND, least
     """All matches of one text, in order of place; of overlapping ones the best."""
     if not text:
         return []
-    lowered = text.lower()
-    words = WORDS.findall(lowered)
+    words = words_of(text)
     hits = index.hits(shingle_hashes(words, hashes, index.k))
     found = {}
     for t, places in hits.items():
-        own = index.words[t]
-        for diagonal in candidates(places, len(own), band):
-            n, first, last = aligned(own, words, diagonal, band)
+        own, free = index.words[t], list(words)
+        for diagonal in sorted({d for d, _ in places}):
+            n, first, last = aligned(own, free, diagonal, band)
             if n >= least * len(own):
                 found.setdefault(index.names[t], set()).add((n / len(own), first, last, n))
+                free[first:last + 1] = [""] * (last + 1 - first)  # the next diagonal looks for another place
     if not found:
         return []
-    if len(lowered) != len(text):  # a few letters get longer in lower case
-        lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    spots = [m.span() for m in WORDS.finditer(lowered)]
-    if len(spots) != len(words):
-        spots = [(0, len(text))] * len(words)
+    spots = [m.span() for m in WORDS.finditer(text)]
     out, taken = [], []
     ways = [(-n, -coverage, name, first, last) for name, some in found.items() for coverage, first, last, n in some]
     for _, coverage, name, first, last in sorted(ways):

@@ -123,17 +123,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """The document with the smallest id of each class, with the columns of ``docs``.
 
-    The same id on rows of different texts counts as one document, so the row with the smaller
-    fingerprint, then the smaller hash of the text, stays. A class without ids keeps one row likewise.
+    The same id on rows of different texts counts as one document: of its rows in the class
+    that with the smallest fingerprint, then hash, stays; of repeated rows one. A class
+    without ids keeps one row of each fingerprint.
     """
-    text = column(docs, text_col, "string")
-    rows = docs.select(column(docs, id_col, "long").alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("__text"))
+    text, ident = column(docs, text_col, "string"), column(docs, id_col, "long")
+    rows = docs.select(ident.alias("id"), F.xxhash64(ident, text).alias("h"), text.cast("binary").alias("__text"))
     marks = staged(rows.mapInArrow(_fingerprints, "id long, h long, __fp long").withColumnRenamed("__fp", "fp"), "marks")
     found = marks.join(classes(marks, crowd), "fp").filter(same(F.col("id"), F.col("component_id")))
-    stays = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("__k")).agg(
-        F.min(F.struct("fp", "h")).alias("m")).select(F.col("component_id").alias("id"), F.col("m.h").alias("h"))
-    own = wrapped(docs).select(
-        "__row", F.col("__row").getField(id_col).cast("long").alias("__id"),
-        F.xxhash64(F.col("__row").getField(text_col).cast("string")).alias("__h"))
-    kept = own.join(stays, same(F.col("__id"), F.col("id")) & (F.col("__h") == F.col("h")), "left_semi")
-    return unwrapped(kept, docs.columns)
+    stays = found.groupBy("id", F.when(F.col("id").isNull(), F.col("fp")).alias("__k")).agg(F.min(F.struct("fp", "h")).alias("m"))
+    stays = stays.select(F.col("id").alias("__stays"), F.col("m.h").alias("__its"))
+    own = wrapped(docs)
+    field = lambda c, kind: F.col("__row").getField(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)
+    own = own.withColumn("__id", field(id_col, "long")).withColumn("__h", F.xxhash64("__id", field(text_col, "string")))
+    met = own.join(stays, F.col("__h") == F.col("__its")).filter(same(F.col("__id"), F.col("__stays")))
+    return unwrapped(met.groupBy("__h", "__id").agg(F.first("__row").alias("__row")), docs.columns)
