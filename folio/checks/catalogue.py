@@ -194,6 +194,18 @@ def _(spark, sf):
     return C.insert_at(p, ins).select("page_id", "new_index")
 
 
+@query("win_15_insert_many", "b_pages", """
+    , ins AS (SELECT doc_id, page_id || '-new' AS page_id, row_number() OVER (PARTITION BY doc_id ORDER BY (index * 3) % 7, page_id || '-new') - 1 AS j, (index * 3) % 7 AS spot, n FROM b_pages),
+    placed AS (SELECT doc_id, page_id, j + max(least(spot, n + j) - j) OVER (PARTITION BY doc_id ORDER BY j) AS f FROM ins),
+    free AS (SELECT doc_id, slot, row_number() OVER (PARTITION BY doc_id ORDER BY slot) - 1 AS k
+             FROM (SELECT doc_id, unnest(range(2 * max(n))) AS slot FROM b_pages GROUP BY doc_id) s WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.doc_id = s.doc_id AND p.f = s.slot))
+    SELECT page_id, slot AS new_index FROM b_pages b JOIN free ON free.doc_id = b.doc_id AND free.k = b.index UNION ALL SELECT page_id, f FROM placed""")
+def _(spark, sf):
+    p = indexed(spark, sf)
+    ins = p.select("doc_id", F.concat("page_id", F.lit("-new")).alias("page_id"), (Q("index") * 3 % 7).alias("at"))
+    return C.insert_at(p, ins).select("page_id", "new_index")
+
+
 @query("win_15_set_order", "b_pages", """
     SELECT page_id, row_number() OVER (PARTITION BY doc_id ORDER BY index % 2 = 0, CASE WHEN index % 2 = 1 THEN -index ELSE index END) - 1 AS new_index FROM b_pages""")
 def _(spark, sf):
@@ -330,6 +342,13 @@ def _(spark, sf):
     return ingest_summary(T.pages(spark, sf).withColumn("is_blank", Q("q") % 7 == 0), "doc_id")
 
 
+@query("agg_22_failures", "f10", """
+    SELECT doc_id, page_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_id) AS nth FROM f10 WHERE state = 'Failed'""")
+def _(spark, sf):
+    from folio.operators.counters import failures
+    return failures(T.pages(spark, sf))
+
+
 @query("agg_22_import_status", "f10", """
     SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE state <> 'Importing') AS done, count(*) FILTER (WHERE state = 'Importing') AS remaining,
            count(*) FILTER (WHERE state = 'Importing') > 0 AS running, count(*) FILTER (WHERE state = 'Failed') AS failures,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folio.checks.base import query
 from folio.checks.naming import full_pages, record
 from folio.functions import pages as P
+from folio.operators import ordered as O
 from folio.sources import tables as T
 from folio.streaming import capture as CP
 from folio.streaming import progress as PG
@@ -50,8 +51,8 @@ def _(spark, sf):
 
 @query("str_02_page_progress")
 def _(spark, sf):
-    e = T.pages(spark, sf).select(Q("l_partkey").cast("string").alias("page_id"), F.xxhash64("ts", "page_id").alias("_h"), "ts", "state")
-    e = e.withColumn("seq", F.unix_timestamp("ts") * 1000 + F.pmod("_h", F.lit(1000)))
+    e = T.pages(spark, sf).select(Q("l_partkey").cast("string").alias("file_id"), "ts", "page_id", "state")
+    e = O.numbered(e, "file_id", O.day("ts"), ["ts", "page_id", "state"], "seq").select(Q("file_id").alias("page_id"), "seq", "state")
     return PG.page_progress(e).select("page_id", "seq", "state", "before", "applied")
 
 

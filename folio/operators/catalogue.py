@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import naming as N
 from folio.operators.ordered import block, numbered, running_sums
+from folio.session import checkpointed
 
 
 # --- splitting a batch -------------------------------------------------------------
@@ -40,41 +41,62 @@ def batch_counter(docs: DataFrame) -> DataFrame:
         "counter", F.col("doc_no"))
 
 
+def _used_numbers(taken: DataFrame, pattern: str) -> DataFrame:
+    """``_stem, _u``: the number of a stem that an existing name uses up, as itself (1) and as a suffixed form."""
+    t = F.lower("name")
+    own = taken.select(t.alias("_stem"), F.lit(1).cast("bigint").alias("_u"))
+    more = taken.select(F.regexp_extract(t, pattern, 1).alias("_stem"), F.regexp_extract(t, pattern, 2).try_cast("bigint").alias("_u")).filter("_u >= 2")
+    return own.unionByName(more).distinct()
+
+
+def _numbered_past(d: DataFrame, used: DataFrame) -> DataFrame:
+    """Adds ``_n``: the ``_k``-th number of the row's stem that ``used`` leaves free."""
+    free = numbered(used, "_stem", block("_u"), ["_u"], "_r")
+    marks = free.select("_stem", (F.col("_u") - F.col("_r")).alias("_v"), F.lit(1).alias("_used"))
+    both = marks.unionByName(d.select("_stem", F.col("_k").alias("_v"), F.lit(0).alias("_used")))
+    run = running_sums(both, "_stem", block("_v"), ["_v", "_used"], {"_shift": F.col("_used").cast("bigint")})
+    shift = run.filter("_used = 0").select(F.col("_stem").alias("_s"), F.col("_v").alias("_kk"), "_shift")
+    return (d.join(shift, (F.col("_stem") == F.col("_s")) & (F.col("_k") == F.col("_kk")))
+            .withColumn("_n", F.col("_k") + F.col("_shift")).drop("_s", "_kk", "_shift"))
+
+
 def unique_names(names: DataFrame, taken: DataFrame | None, chunk: Column, order: list[str], style: str = "_{}") -> DataFrame:
     """Adds ``unique_name``: the first taker of a name keeps it, later ones get suffix 2, 3, ...
 
-    ``names`` has ``name`` and the ``order`` columns (``chunk`` cuts that order), ``taken`` has
-    existing ``name`` values. The k-th new holder of a stem gets the k-th number still free
-    there: k plus the used numbers with fewer than k free ones before them, a running count.
-    Names compare without case, as the file system does.
+    ``names`` has ``name`` and the ``order`` columns (``chunk`` cuts that order and ends with a
+    unique one), ``taken`` has existing ``name`` values. The k-th new holder of a stem gets the
+    k-th number still free there. A suffixed name may equal a new name of another stem
+    (``Scan_2``): the row that comes first keeps it, and the number counts as used for the
+    other's stem; this repeats until all names differ. Names compare without case, as the
+    file system does.
     """
-    d = numbered(names.withColumn("_stem", F.lower("name")), "_stem", chunk, order, "_k")
-    if taken is None:
-        d = d.withColumn("_n", F.col("_k"))
-    else:
-        t = F.lower("name")
-        pat = r"^(.*)_([0-9]+)$" if style == "_{}" else r"^(.*) \(([0-9]+)\)$"
-        own = taken.select(t.alias("_stem"), F.lit(1).cast("bigint").alias("_u"))
-        more = taken.select(F.regexp_extract(t, pat, 1).alias("_stem"), F.regexp_extract(t, pat, 2).try_cast("bigint").alias("_u")).filter("_u >= 2")
-        used = numbered(own.unionByName(more).distinct(), "_stem", block("_u"), ["_u"], "_r")
-        marks = used.select("_stem", (F.col("_u") - F.col("_r")).alias("_v"), F.lit(1).alias("_used"))
-        both = marks.unionByName(d.select("_stem", F.col("_k").alias("_v"), F.lit(0).alias("_used")))
-        run = running_sums(both, "_stem", block("_v"), ["_v", "_used"], {"_shift": F.col("_used").cast("bigint")})
-        shift = run.filter("_used = 0").select(F.col("_stem").alias("_s"), F.col("_v").alias("_kk"), "_shift")
-        d = (d.join(shift, (F.col("_stem") == F.col("_s")) & (F.col("_k") == F.col("_kk")))
-             .withColumn("_n", F.col("_k") + F.col("_shift")).drop("_s", "_kk", "_shift"))
+    pattern = r"^(.*)_([0-9]+)$" if style == "_{}" else r"^(.*) \(([0-9]+)\)$"
     before, after = style.split("{}")
-    name = F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat("name", F.lit(before), F.col("_n").cast("string"), F.lit(after)))
-    return d.withColumn("unique_name", name).drop("_stem", "_k", "_n")
+    d = checkpointed(numbered(names.withColumn("_stem", F.lower("name")), "_stem", chunk, order, "_k"))
+    used = None if taken is None else checkpointed(_used_numbers(taken, pattern))
+    # only a new name that reads like a suffixed form of another new one can clash
+    forms = d.select(F.regexp_extract("_stem", pattern, 1).alias("_stem")).filter("_stem <> ''").distinct()
+    risky = bool(forms.join(d.select("_stem"), "_stem", "left_semi").take(1))
+    while True:
+        out = d.withColumn("_n", F.col("_k")) if used is None else _numbered_past(d, used)
+        name = F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat("name", F.lit(before), F.col("_n").cast("string"), F.lit(after)))
+        out = out.withColumn("unique_name", name)
+        if not risky:
+            break
+        out = checkpointed(out)
+        place = F.struct(*order)
+        first = out.groupBy(F.lower("unique_name").alias("_u_name")).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+        late = out.withColumn("_u_name", F.lower("unique_name")).join(first, "_u_name").filter(place > F.col("_first"))
+        late = late.groupBy("_stem").agg(F.min("_n").alias("_u"))  # later numbers of the stem move along
+        if not late.take(1):
+            break
+        used = checkpointed(late if used is None else used.unionByName(late).distinct())
+    return out.drop("_stem", "_k", "_n")
 
 
 # --- order inside a document -------------------------------------------------------
 
-def move_pages(pages: DataFrame, moves: DataFrame) -> DataFrame:
-    """Adds ``new_index`` after moving one page per document to a (clamped) index.
-
-    ``pages``: ``doc_id, page_id, index`` (0-based); ``moves``: ``doc_id, page_id, to``.
-    """
+def _moved_once(pages: DataFrame, moves: DataFrame) -> DataFrame:
     m = moves.select(F.col("doc_id").alias("_doc"), F.col("page_id").alias("_moved"), F.col("to").alias("_to"))
     size = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
     src = pages.join(m, (F.col("doc_id") == F.col("_doc")) & (F.col("page_id") == F.col("_moved"))).select(
@@ -87,17 +109,40 @@ def move_pages(pages: DataFrame, moves: DataFrame) -> DataFrame:
     return d.withColumn("new_index", new).drop("_n", "_doc", "_from", "_to")
 
 
+def move_pages(pages: DataFrame, moves: DataFrame) -> DataFrame:
+    """Adds ``new_index`` after moving pages to (clamped) indices, one move after the other.
+
+    ``pages``: ``doc_id, page_id, index`` (0-based); ``moves``: ``doc_id, page_id, to`` and, where a
+    document has several, ``seq``, their order. The n-th moves of all documents are one round.
+    """
+    if "seq" not in moves.columns:
+        return _moved_once(pages, moves)
+    m = checkpointed(numbered(moves, "doc_id", block("seq"), ["seq"], "_nth"))
+    rounds = m.agg(F.coalesce(F.max("_nth"), F.lit(0))).first()[0]
+    d = pages.withColumn("_old", F.col("index"))
+    for nth in range(1, rounds + 1):
+        d = checkpointed(_moved_once(d, m.filter(F.col("_nth") == nth)).withColumn("index", F.col("new_index")).drop("new_index"))
+    return d.withColumnsRenamed({"index": "new_index", "_old": "index"})
+
+
 def insert_at(pages: DataFrame, inserts: DataFrame) -> DataFrame:
     """Existing and inserted pages with ``new_index``: each insert goes before its (clamped) index.
 
-    ``inserts``: ``doc_id, page_id, at`` (one page per document here).
+    ``inserts``: ``doc_id, page_id, at``, any number for a document. They go in by ascending
+    index (then id): the j-th stands behind ``m`` existing pages, ``m`` being the largest of
+    ``min(at_i, n + i) - i`` up to it; an existing page moves up by the inserts at or before it.
     """
     size = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    ins = inserts.join(size, "doc_id", "left").select(
-        "doc_id", "page_id", F.least(F.greatest(F.coalesce("at", "_n"), F.lit(0)), F.coalesce("_n", F.lit(0))).alias("_at"))
-    d = pages.join(ins.select("doc_id", "_at"), "doc_id", "left").select(
-        "doc_id", "page_id", F.when(F.col("index") >= F.col("_at"), F.col("index") + 1).otherwise(F.col("index")).alias("new_index"))
-    return d.unionByName(ins.select("doc_id", "page_id", F.col("_at").alias("new_index")))
+    n = F.coalesce("_n", F.lit(0))
+    w = Window.partitionBy("doc_id").orderBy("_at", "page_id")
+    ins = inserts.join(size, "doc_id", "left").select("doc_id", "page_id", n.alias("_n"), F.greatest(F.coalesce("at", F.lit(1 << 40)), F.lit(0)).alias("_at"))
+    ins = ins.withColumn("_j", (F.row_number().over(w) - 1).cast("bigint"))
+    kept = F.least(F.col("_at"), F.col("_n") + F.col("_j")) - F.col("_j")
+    ins = ins.withColumn("_m", F.max(kept).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    both = ins.select("doc_id", "page_id", F.col("_m").cast("bigint").alias("_at"), F.lit(0).alias("_old"), (F.col("_m") + F.col("_j")).alias("_f")).unionByName(
+        pages.select("doc_id", "page_id", F.col("index").cast("bigint").alias("_at"), F.lit(1).alias("_old"), F.lit(None).cast("bigint").alias("_f")))
+    run = running_sums(both, "doc_id", block("_at"), ["_at", "_old"], {"_before": (1 - F.col("_old")).cast("bigint")})
+    return run.select("doc_id", "page_id", F.when(F.col("_old") == 1, F.col("_at") + F.col("_before")).otherwise(F.col("_f")).alias("new_index"))
 
 
 def set_order(pages: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -141,8 +186,11 @@ def with_valid_folder(docs: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def move_to_folder(docs: DataFrame, moves: DataFrame, folders: DataFrame) -> DataFrame:
-    """Documents filed elsewhere; moves into unknown folders are ignored, null is the top level."""
-    m = moves.dropDuplicates(["doc_id"]).select("doc_id", F.col("target").alias("_t"), F.lit(True).alias("_m"))
+    """Documents filed elsewhere; moves into unknown folders are ignored, null is the top level.
+
+    Of several moves of a document the one with the latest ``ts`` counts (without ``ts``, the last folder by name)."""
+    last = F.max_by("target", "ts") if "ts" in moves.columns else F.max("target")
+    m = moves.groupBy("doc_id").agg(last.alias("_t")).withColumn("_m", F.lit(True))
     f = folders.select(F.col("folder_id").alias("_f")).distinct()
     m = m.join(f, F.col("_t") == F.col("_f"), "left").filter(F.col("_t").isNull() | F.col("_f").isNotNull()).drop("_f")
     d = docs.join(m, "doc_id", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FAILURES_SHOWN = 8  # fixed value: how many failed items a status lists
+FAILURES_SHOWN = 8  # fixed value: how many failed items a status line names; ``failures`` has all
 
 
 def ingest_summary(pages: DataFrame, key: str) -> DataFrame:
@@ -29,6 +29,12 @@ def import_status(pages: DataFrame) -> DataFrame:
     return counts.join(shown, "doc_id", "left").withColumn("shown", F.coalesce("shown", F.lit("")))
 
 
+def failures(pages: DataFrame) -> DataFrame:
+    """``doc_id, page_id, nth``: every failed page, numbered within its document."""
+    bad = pages.filter(F.col("state") == "Failed").select("doc_id", "page_id")
+    return bad.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_id")))
+
+
 def folder_counts(folders: DataFrame, docs: DataFrame, pages: DataFrame) -> DataFrame:
     """``folder_id, docs, pages, busy``; busy pages are still being prepared."""
     per_doc = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("state").isin("Pending", "Preview")).alias("_b"))

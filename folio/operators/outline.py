@@ -44,7 +44,6 @@ MIN_AREA = 0.04
 NEAR_MARGIN = 0.04
 NEAR_BEST = 0.8
 MUCH_STRONGER = 2.0
-SCORED = 3000
 
 
 def border_lines(images: DataFrame) -> DataFrame:
@@ -111,10 +110,11 @@ def plausible_outline(quad: Column, w: Column, h: Column, reach: Column) -> Colu
             & (G.min_side(quad) >= 0.10 * F.least(w, h)) & (G.max_angle_deviation(quad) <= math.radians(45)))
 
 
-def best_ranked(cands: DataFrame, most: int = SCORED) -> DataFrame:
-    """The best candidates per picture by the cheap rank; the costly score is paid for these only."""
+def best_ranked(cands: DataFrame, most: int | None = None) -> DataFrame:
+    """Candidates with their ``rank`` by the cheap score; with ``most`` only the best of each picture."""
     w = Window.partitionBy("image_id").orderBy(F.desc("pre"), "quad")
-    return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    d = cands.withColumn("rank", F.row_number().over(w))
+    return d if most is None else d.filter(F.col("rank") <= most)
 
 
 def quad_score(quad: Column, visible: Column, w: Column, h: Column, mean: Column, least: Column) -> Column:
@@ -174,27 +174,51 @@ def outermost_runs(profile: DataFrame) -> DataFrame:
     return last.select("side_id", (-F.col("m.o")).alias("s"), F.col("m.step").alias("step"))
 
 
-def robust_lines(samples: DataFrame, rounds: int = 6) -> DataFrame:
-    """``side_id, p0, p1``: straight side offsets with far points reweighted away (Tukey), per side.
+def _basis(terms: int) -> list[Column]:
+    t = F.col("t")
+    return [F.lit(1.0), t] if terms == 2 else [F.lit(1.0), t, t * (1 - t), t * t * (1 - t)]
 
-    Each round is one set of weighted sums per side; the median residual ranks at most the
-    samples of one side.
+
+def _solved(terms: int) -> list[Column]:
+    """The normal equations ``_m{i}{j}`` p = ``_b{i}`` by elimination on the diagonal; null where it is singular."""
+    m = [[F.col(f"_m{min(i, j)}{max(i, j)}") for j in range(terms)] + [F.col(f"_b{i}")] for i in range(terms)]
+    for k in range(terms):
+        pivot = F.when(F.abs(m[k][k]) >= 1e-9, m[k][k])
+        m[k] = [c / pivot for c in m[k]]
+        for i in range(terms):
+            if i != k:
+                factor = m[i][k]
+                m[i] = [a - factor * b for a, b in zip(m[i], m[k])]
+    return [row[terms] for row in m]
+
+
+def robust_lines(samples: DataFrame, rounds: int = 6, terms: int = 2) -> DataFrame:
+    """``side_id, p0, p1 (, p2, p3)``: side offsets ``p0 + p1 t + t (1 - t) (p2 + p3 t)`` with far points reweighted away (Tukey).
+
+    Each round is one set of weighted sums per side. A side gives up (nulls) when after a
+    round fewer than ``max(8, 3 * terms)`` samples keep weight; where the sums cannot be
+    solved, the fit of the round before stays. The median residual ranks the samples of one side.
     """
-    side = Window.partitionBy("side_id")
-    d = samples.withColumn("wt", F.sqrt("s"))
-    for i in range(rounds):
-        w, t, e = F.col("wt"), F.col("t"), F.col("e")
-        d = d.withColumns({"_w": F.sum(w).over(side), "_t": F.sum(w * t).over(side), "_tt": F.sum(w * t * t).over(side),
-                           "_e": F.sum(w * e).over(side), "_te": F.sum(w * t * e).over(side), "_n": F.count(F.lit(1)).over(side)})
-        det = F.col("_w") * F.col("_tt") - F.col("_t") * F.col("_t")
-        safe = F.when(F.abs(det) >= 1e-9, det)
-        d = d.withColumns({"p0": (F.col("_e") * F.col("_tt") - F.col("_t") * F.col("_te")) / safe, "p1": (F.col("_w") * F.col("_te") - F.col("_t") * F.col("_e")) / safe})
-        if i == rounds - 1:
-            break
-        d = d.withColumn("_r", F.abs(e - (F.col("p0") + F.col("p1") * t)))
-        d = d.withColumn("_k", F.row_number().over(side.orderBy("_r")))
+    side, least = Window.partitionBy("side_id"), max(8, 3 * terms)
+    names = [f"p{i}" for i in range(terms)]
+    d = samples.withColumn("wt", F.sqrt("s")).withColumns({n: F.lit(None).cast("double") for n in names})
+    d = d.withColumns({"_done": F.lit(False), "_lost": F.lit(False)})
+    for _ in range(rounds):
+        basis, w, e = _basis(terms), F.col("wt"), F.col("e")
+        sums = {f"_m{i}{j}": F.sum(w * basis[i] * basis[j]).over(side) for i in range(terms) for j in range(i, terms)}
+        sums |= {f"_b{i}": F.sum(w * basis[i] * e).over(side) for i in range(terms)}
+        d = d.withColumns(sums | {"_n": F.count(F.lit(1)).over(side)})
+        d = d.withColumns({f"_{n}": x for n, x in zip(names, _solved(terms))})
+        fits = reduce(lambda a, b: a & b, [F.col(f"_{n}").isNotNull() for n in names])
+        d = d.withColumn("_done", F.col("_done") | ~fits)
+        d = d.withColumns({n: F.when(F.col("_done"), F.col(n)).otherwise(F.col(f"_{n}")) for n in names})
+        fit = reduce(lambda a, b: a + b, [F.col(n) * x for n, x in zip(names, basis)])
+        d = d.withColumn("_r", F.abs(e - fit)).withColumn("_k", F.row_number().over(side.orderBy("_r")))
         mid = (F.col("_k") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_k") == F.floor(F.col("_n") / 2) + 1)
         d = d.withColumn("_mad", F.avg(F.when(mid, F.col("_r"))).over(side))
         u = F.col("_r") / (F.greatest(F.lit(1.0), 1.4826 * F.col("_mad")) * 4.685)
-        d = d.withColumn("wt", F.when(u >= 1, 0.0).otherwise(F.sqrt("s") * (1 - u * u) * (1 - u * u)))
-    return d.groupBy("side_id").agg(F.first("p0").alias("p0"), F.first("p1").alias("p1"))
+        d = d.withColumn("_keeps", ~F.col("_done") & (u < 1))
+        d = d.withColumn("wt", F.when(F.col("_done"), F.col("wt")).when(F.col("_keeps"), F.sqrt("s") * (1 - u * u) * (1 - u * u)).otherwise(0.0))
+        few = ~F.col("_done") & (F.sum(F.col("_keeps").cast("int")).over(side) < least)
+        d = d.withColumn("_lost", F.col("_lost") | few).withColumn("_done", F.col("_done") | F.col("_lost"))
+    return d.groupBy("side_id").agg(*[F.first(F.when(~F.col("_lost"), F.col(n))).alias(n) for n in names])

@@ -21,15 +21,6 @@ MIN_LEAN = 0.15
 BANDS = 4
 
 
-def strided(points: DataFrame, keys: list[str], n: Column, most: int) -> DataFrame:
-    """Every ``n div most``-th point in reading order; small sets are kept whole without sorting."""
-    d = points.withColumn("_step", F.greatest(F.lit(1), F.floor(n / most)))
-    small = d.filter("_step = 1")
-    big = d.filter("_step > 1").withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("y", "x")))
-    big = big.filter((F.col("_i") - 1) % F.col("_step") == 0).drop("_i")
-    return small.unionByName(big).drop("_step")
-
-
 def scores(points: DataFrame, keys: list[str], bin_: Column, lo: Column | None = None, hi: Column | None = None) -> DataFrame:
     """``keys, angle, score``: sum of squared differences of neighbouring bins.
 
@@ -66,7 +57,7 @@ def skew_points(px: DataFrame, dpi: int = 100) -> DataFrame:
         (F.col("v") <= F.col("threshold")) & (F.col("x") >= mx) & (F.col("x") < F.col("w") - mx) & (F.col("y") >= my) & (F.col("y") < F.col("h") - my))
     n = F.count(F.lit(1)).over(Window.partitionBy("image_id"))
     ink = ink.withColumn("n", n).filter((F.col("n") >= 200) & (F.col("n") <= F.floor(F.col("w").cast("bigint") * F.col("h") / 2)))
-    return strided(ink.select("image_id", "y", "x", "n"), ["image_id"], F.col("n"), 60000).drop("n")
+    return ink.select("image_id", "y", "x")
 
 
 def best_angle(s: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,19 +90,30 @@ def detect_skew(images: DataFrame, px: DataFrame, dpi: int = 100, max_angle: flo
 
 # --- lean of text lines ------------------------------------------------------------
 
-def lean_window(long_edge: int) -> int:
-    return min(max((long_edge // 40) | 1, 15), 61)
+LONG_EDGE = 1200      # fixed value: lean is measured on pages of at most this length
+WINDOWS = tuple(range(15, 62, 2))  # every local window that a page within that length can ask for
+
+
+def measured(px: DataFrame, long_edge: int = LONG_EDGE) -> DataFrame:
+    """Pages shrunk to ``long_edge``; shorter ones as they are."""
+    from folio.operators import resample as RS
+    big = px.filter(F.greatest("w", "h") > long_edge)
+    images = big.select("image_id", "w", "h").distinct()
+    scale = F.lit(float(long_edge)) / F.greatest("w", "h")
+    side = lambda c: F.greatest(F.lit(1), F.floor(F.col(c) * scale)).cast("int")
+    small = RS.resize(big, images, side("w"), side("h"))
+    keep = ["image_id", "w", "h", "y", "x", "v"]
+    return px.filter(F.greatest("w", "h") <= long_edge).select(*keep).unionByName(small.select(*keep))
 
 
-def band_points(px: DataFrame, long_edge: int = 1200) -> DataFrame:
+def band_points(px: DataFrame, long_edge: int = LONG_EDGE) -> DataFrame:
     """Ink of the four bands of a page, for lines across it and (transposed) down it.
 
-    ``long_edge`` bounds the page sizes of the job (pages are measured at most 1200 pixels long).
     The ink is read twice (coarse and fine angles), so it is cut off from the raster work.
     """
-    big = px.filter((F.col("w") >= 64) & (F.col("h") >= 64))
+    big = measured(px, long_edge).filter((F.col("w") >= 64) & (F.col("h") >= 64))
     win = F.least(F.greatest(F.floor(F.greatest("w", "h") / 40).cast("int").bitwiseOR(F.lit(1)), F.lit(15)), F.lit(61))
-    binary = R.sauvola(big.withColumn("win", win), F.col("win"), S.SAUVOLA_K, windows=tuple(range(15, lean_window(long_edge) + 1, 2)))
+    binary = R.sauvola(big.withColumn("win", win), F.col("win"), S.SAUVOLA_K, windows=WINDOWS)
     ink = binary.filter("v = 0")
     both = ink.select("image_id", F.explode(F.array(
         F.struct(F.lit("rows").alias("dir"), F.col("w").alias("w"), F.col("h").alias("h"), F.col("x").alias("x"), F.col("y").alias("y")),
@@ -125,7 +127,7 @@ def band_points(px: DataFrame, long_edge: int = 1200) -> DataFrame:
     area = F.col("bh").cast("bigint") * (F.col("w") - 2 * F.col("mx"))
     both = both.filter((F.col("n") >= 150) & (F.col("n") <= area * F.lit(0.45)))
     keep = ["image_id", "dir", "band", "w", "h", "x", "y", "my", "bh", "n", "min_y", "max_y"]
-    return checkpointed(strided(both.select(*keep), ["image_id", "dir", "band"], F.col("n"), 40000))
+    return checkpointed(both.select(*keep))
 
 
 def band_angles(points: DataFrame) -> DataFrame:

@@ -141,13 +141,13 @@ def sauvola(px: DataFrame, window: int | Column, k: float = 0.34, offset: float
 
 
 def _per_radius(r: int | Column, radii, make) -> Column:
-    """``make(radius)``, or the one matching a per-image radius column out of a few possible ones."""
+    """``make(radius)``, or the one matching a per-image radius column out of the possible ones; any other radius is an error."""
     if isinstance(r, int):
         return make(r)
     out = F.when(r == radii[0], make(radii[0]))
     for k in radii[1:]:
         out = out.when(r == k, make(k))
-    return out
+    return out.when(r.isNotNull(), F.raise_error(F.concat(F.lit("window or radius not in the list of the job: "), r.cast("string"))))
 
 
 def max_filter(px: DataFrame, r: int | Column, radii=()) -> DataFrame:

@@ -56,6 +56,32 @@ def test_unique_names_skip_taken_ones(spark):
     assert got == ["scan_2", "scan_4", "scan_5", "scan_6", "other"]
 
 
+def test_unique_names_differ_from_suffixed_ones(spark):
+    given = ["Scan", "Scan", "Scan_2", "scan_2", "Scan_2_2", "a_3", "a", "a", "a"]
+    names = spark.createDataFrame(list(enumerate(given)), "id long, name string")
+    for taken in (None, spark.createDataFrame([("A",)], "name string")):
+        got = [r.unique_name for r in C.unique_names(names, taken, O.block("id"), ["id"]).orderBy("id").collect()]
+        assert len({n.lower() for n in got}) == len(given) and got[:2] == ["Scan", "Scan_2"] and got[2].startswith("Scan_2_") and got[5] == "a_3"
+
+
+def test_several_moves_and_restores_of_a_document(spark):
+    pages = spark.createDataFrame([(d, f"{d}{c}", i) for d in (1, 2) for i, c in enumerate("abcde")], "doc_id long, page_id string, index long")
+    moves = [(1, "1e", 0, 1), (1, "1a", 9, 2), (1, "1c", 1, 3), (2, "2b", 3, 1)]
+    want = {d: [f"{d}{c}" for c in "abcde"] for d in (1, 2)}
+    for d, p, to, _ in moves:
+        want[d].remove(p)
+        want[d].insert(max(0, min(to, 4)), p)
+    got = C.move_pages(pages, spark.createDataFrame(moves, "doc_id long, page_id string, to long, seq long")).orderBy("doc_id", "new_index").collect()
+    assert [r.page_id for r in got] == want[1] + want[2]
+    left = pages.filter("page_id NOT IN ('1b', '1d', '1e', '2a')").withColumn("state", F.lit("Ready"))
+    from pyspark.sql import Window
+    left = left.withColumn("index", (F.row_number().over(Window.partitionBy("doc_id").orderBy("index")) - 1).cast("long"))
+    trash = spark.createDataFrame([(1, "1d", 3, "Ready"), (1, "1b", 1, "Importing"), (1, "1e", 4, "Ready"), (2, "2a", 0, "Ready")], "doc_id long, page_id string, index long, state string")
+    back = C.restore_pages(left, trash).orderBy("doc_id", "new_index").collect()
+    assert [(r.page_id, r.new_index) for r in back] == [(f"{d}{c}", i) for d in (1, 2) for i, c in enumerate("abcde")]
+    assert {r.page_id: r.state for r in back}["1b"] == "Failed"
+
+
 # --- files -------------------------------------------------------------------------
 
 def png(path, rows, dpi=None):

@@ -100,3 +100,42 @@ def test_robust_line_ignores_outliers(spark):
     rows = [(1, i / 40, 3 + 2 * i / 40 if i % 9 else 60.0, 30.0) for i in range(40)]
     r = OL.robust_lines(spark.createDataFrame(rows, "side_id long, t double, e double, s double")).first()
     assert r.p0 == pytest.approx(3, abs=0.05) and r.p1 == pytest.approx(2, abs=0.1)
+
+
+def plain_fit(t, e, s, terms):
+    """The same fit for one side in numpy."""
+    import numpy as np
+    t, e, s = map(np.asarray, (t, e, s))
+    basis = np.column_stack([np.ones_like(t), t] if terms == 2 else [np.ones_like(t), t, t * (1 - t), t * t * (1 - t)])
+    w, p = np.sqrt(s), None
+    for _ in range(6):
+        m = (basis * w[:, None]).T @ basis
+        if abs(np.linalg.det(m)) < 1e-9:
+            return p
+        p = np.linalg.solve(m, (basis * w[:, None]).T @ e)
+        r = np.abs(e - basis @ p)
+        u = r / (max(1.0, 1.4826 * float(np.median(r))) * 4.685)
+        w = np.where(u < 1, np.sqrt(s) * (1 - u * u) ** 2, 0.0)
+        if (u < 1).sum() < max(8, 3 * terms):
+            return None
+    return p
+
+
+@pytest.mark.parametrize("terms", [2, 4])
+def test_side_fits_equal_numpy_and_give_up_below_the_least_samples(spark, terms):
+    import random
+    from folio.operators import outline as OL
+    rng, rows, want = random.Random(3), [], {}
+    for side, n in enumerate((5, 7, 8, 11, 12, 40, 40)):
+        t = [(i + 0.5) / n for i in range(n)]
+        e = [5 + 8 * x + (6 * x * (1 - x) if side == 6 else 0) + rng.uniform(-1, 1) + (70 if i % 13 == 5 and n == 40 else 0) for i, x in enumerate(t)]
+        s = [rng.uniform(14, 60) for _ in t]
+        rows += [(side, a, b, c) for a, b, c in zip(t, e, s)]
+        want[side] = plain_fit(t, e, s, terms)
+    got = OL.robust_lines(spark.createDataFrame(rows, "side_id long, t double, e double, s double"), terms=terms).collect()
+    for r in got:
+        p = want[r.side_id]
+        assert (r.p0 is None) == (p is None)
+        if p is not None:
+            assert [r[f"p{i}"] for i in range(terms)] == pytest.approx(list(p), abs=1e-6)
+    assert want[0] is None and want[5] is not None
