@@ -23,12 +23,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import column, crc_bucket, staged
+from folio.llm.common import column, crc_bucket
 
 VOCAB, PAIRS = 18, 21
 A, B = 8.0, 1.0
@@ -111,36 +112,41 @@ def counted(docs: DataFrame, target: DataFrame, vocab: int = VOCAB, pairs: int =
     return parts.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-def losses(slots: np.ndarray, counts: np.ndarray, scale: float, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unigram probabilities, context denominators and pair counts of one model as arrays over their slots."""
-    word, context = 1 << vocab, 2 << vocab
-    flat = counts * scale
-    uni = np.zeros(word)
-    inside = slots < word
-    uni[slots[inside]] = flat[inside]
-    uni = (uni + B / word) / (uni.sum() + B)
-    ctx = np.zeros(word)
-    inside = (slots >= word) & (slots < context)
-    ctx[slots[inside] - word] = flat[inside]
-    return uni.astype(np.float32), ctx.astype(np.float32), flat
+#: Slots of a packed block of counts.
+BLOCK = 1 << 14
+
+
+def packed(counts: DataFrame) -> DataFrame:
+    """``(block, target, background)``: counts as arrays of 32-bit numbers, ``BLOCK`` slots each."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        block = int(rows["slot"].iloc[0]) // BLOCK
+        out = {"block": [block]}
+        for kind in ("target", "background"):
+            dense = np.zeros(BLOCK, np.float32)
+            dense[rows["slot"].to_numpy() - block * BLOCK] = rows[kind].to_numpy()
+            out[kind] = [dense.tobytes()]
+        return pd.DataFrame(out)
+
+    by_block = counts.groupBy(F.floor(F.col("slot") / BLOCK).alias("block"))
+    return by_block.applyInPandas(pack, "block long, target binary, background binary")
 
 
 class Model:
-    """Both models over the shared slots."""
+    """Both models over the shared slots, from dense counts."""
 
-    def __init__(self, slots: np.ndarray, target: np.ndarray, background: np.ndarray, vocab: int, pairs: int):
+    def __init__(self, target: np.ndarray, background: np.ndarray, vocab: int, pairs: int):
         self.vocab, self.pairs = vocab, pairs
-        words = slots < (1 << vocab)
-        n_target, n_all = target[words].sum(), background[words].sum()
+        word = 1 << vocab
+        n_target, n_all = float(target[:word].sum(dtype=float)), float(background[:word].sum(dtype=float))
         if not n_target:
             target, n_target = background, n_all
         self.parts = []
-        for counts, scale in ((target, 1.0), (background, n_target / max(1, n_all))):
-            uni, ctx, flat = losses(slots, counts, scale, vocab)
-            pair = np.zeros(1 << pairs, np.float32)
-            inside = slots >= (2 << vocab)
-            pair[slots[inside] - (2 << vocab)] = flat[inside]
-            self.parts.append((uni, ctx, pair))
+        for counts, scale in ((target, 1.0), (background, n_target / max(1.0, n_all))):
+            uni = counts[:word].astype(float) * scale
+            uni = (uni + B / word) / (uni.sum() + B)
+            ctx, pair = counts[word:2 * word] * np.float32(scale), counts[2 * word:] * np.float32(scale)
+            self.parts.append((uni.astype(np.float32), ctx, pair))
 
     def entropies(self, words: np.ndarray) -> tuple[float, float]:
         """Mean loss of a text under target and background."""
@@ -155,11 +161,14 @@ class Model:
 
 
 def model(docs: DataFrame, target: DataFrame, vocab: int = VOCAB, pairs: int = PAIRS, **columns) -> Model:
-    """Both models. At most ``2 * 2**vocab + 2**pairs`` rows of three numbers reach the driver, however large the corpus."""
-    found = staged(counted(docs, target, vocab, pairs, **columns), "counts")
-    got = found.toPandas() if found.take(1) else None
-    arrays = [got[c].to_numpy(np.int64) for c in ("slot", "target", "background")] if got is not None else [np.zeros(0, np.int64)] * 3
-    return Model(*arrays, vocab, pairs)
+    """Both models. However large the corpus, ``2 * 2**vocab + 2**pairs`` pairs of 32-bit numbers reach the driver, packed."""
+    size = -(-((2 << vocab) + (1 << pairs)) // BLOCK) * BLOCK
+    dense = {kind: np.zeros(size, np.float32) for kind in ("target", "background")}
+    for row in packed(counted(docs, target, vocab, pairs, **columns)).toLocalIterator():
+        at = row["block"] * BLOCK
+        for kind, whole in dense.items():
+            whole[at:at + BLOCK] = np.frombuffer(row[kind], np.float32)
+    return Model(dense["target"], dense["background"], vocab, pairs)
 
 
 def _scorer(shared):
