@@ -164,7 +164,7 @@ def model(docs: DataFrame, target: DataFrame, vocab: int = VOCAB, pairs: int = P
     """Both models. However large the corpus, ``2 * 2**vocab + 2**pairs`` pairs of 32-bit numbers reach the driver, packed."""
     size = -(-((2 << vocab) + (1 << pairs)) // BLOCK) * BLOCK
     dense = {kind: np.zeros(size, np.float32) for kind in ("target", "background")}
-    for row in packed(counted(docs, target, vocab, pairs, **columns)).toLocalIterator():
+    for row in packed(counted(docs, target, vocab, pairs, **columns)).collect():
         at = row["block"] * BLOCK
         for kind, whole in dense.items():
             whole[at:at + BLOCK] = np.frombuffer(row[kind], np.float32)
