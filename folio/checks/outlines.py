@@ -11,6 +11,7 @@ from folio.functions import geometry as G
 from folio.operators import edges as E
 from folio.operators import outline as OL
 from folio.operators import raster as R
+from folio.operators import support as SU
 from folio.session import checkpointed
 from folio.sources import tables as T
 
@@ -251,3 +252,83 @@ def _(spark, sf):
 def _(spark, sf):
     p = T.tile_pixels(spark, sf).select((Q("image_id") * 8 + Q("y")).alias("side_id"), Q("x").alias("s"), Q("v").alias("step"), (Q("v") >= 120).alias("passes"))
     return OL.outermost_runs(p)
+
+
+# --- sides against the picture -----------------------------------------------------
+
+# one outline per mosaic picture; every fourth has its left side on the frame
+view("sd_cand", """
+    SELECT image_id, 64 AS w, 64 AS h, CAST(CASE WHEN image_id % 4 = 0 THEN 0 ELSE 5 + image_id % 7 END AS DOUBLE) AS x0, 6.0 + image_id % 5 AS y0, 57.0 - image_id % 6 AS x1, 8.0 - image_id % 4 AS y1,
+           55.0 + image_id % 3 AS x2, 58.0 - image_id % 5 AS y2, CAST(CASE WHEN image_id % 4 = 0 THEN 0 ELSE 7 - image_id % 3 END AS DOUBLE) AS x3, 55.0 + image_id % 4 AS y3
+    FROM (SELECT DISTINCT image_id FROM f2_mosaic)""", ("f2_mosaic",))
+
+
+def side_cands(spark, sf):
+    i = Q("image_id")
+    d = lambda c: c.cast("double")
+    left = i % 4 == 0
+    quad = F.array(d(F.when(left, 0).otherwise(5 + i % 7)), d(6 + i % 5), d(57 - i % 6), d(8 - i % 4), d(55 + i % 3), d(58 - i % 5), d(F.when(left, 0).otherwise(7 - i % 3)), d(55 + i % 4))
+    images = T.mosaic_pixels(spark, sf).select("image_id", "w", "h").distinct()
+    return images.select("image_id", "w", "h", F.lit(0).cast("bigint").alias("cand_id"), quad.alias("quad"), F.array(F.lit(False), F.lit(False), F.lit(False), left).alias("border"),
+                         G.quad_area(quad).alias("visible"))
+
+
+_SD = " UNION ALL ".join(f"SELECT image_id, {i} AS side, x{i} AS ax, y{i} AS ay, x{(i + 1) % 4} - x{i} AS dx, y{(i + 1) % 4} - y{i} AS dy, (x0+x1+x2+x3)/4 AS cx, (y0+y1+y2+y3)/4 AS cy, {'image_id % 4 = 0' if i == 3 else 'false'} AS is_border FROM sd_cand"
+                        for i in range(4))
+view("sd_sample", f"""
+    SELECT image_id, side, is_border, k, len, ax + dx * (k + 0.5) / n AS px, ay + dy * (k + 0.5) / n AS py, -dy / len * s AS nx, dx / len * s AS ny
+    FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT *, sqrt(dx * dx + dy * dy) AS len, greatest(8, CAST(floor(sqrt(dx * dx + dy * dy) / 2) AS INTEGER)) AS n,
+            CASE WHEN -dy * (cx - ax) + dx * (cy - ay) < 0 THEN -1 ELSE 1 END AS s FROM ({_SD})))""", ("sd_cand",))
+
+
+@query("join_17_side_samples", "epx sd_sample", """
+    SELECT s.image_id, s.side, count(*) AS samples, count(i.v) AS inner_seen, count(o.v) AS outer_seen, CAST(sum(i.v) AS BIGINT) AS inner_sum, CAST(sum(o.v) AS BIGINT) AS outer_sum
+    FROM sd_sample s
+    LEFT JOIN (SELECT p.image_id, p.y, p.x, sum(n.r) AS v FROM epx p JOIN epx n ON n.image_id = p.image_id AND n.y BETWEEN p.y - 4 AND p.y + 4 AND n.x BETWEEN p.x - 4 AND p.x + 4
+               WHERE p.x >= 4 AND p.y >= 4 AND p.x < 60 AND p.y < 60 GROUP BY ALL) i
+      ON i.image_id = s.image_id AND i.y = CAST(round_even(py + ny * 7, 0) AS INTEGER) AND i.x = CAST(round_even(px + nx * 7, 0) AS INTEGER)
+    LEFT JOIN (SELECT p.image_id, p.y, p.x, sum(n.r) AS v FROM epx p JOIN epx n ON n.image_id = p.image_id AND n.y BETWEEN p.y - 4 AND p.y + 4 AND n.x BETWEEN p.x - 4 AND p.x + 4
+               WHERE p.x >= 4 AND p.y >= 4 AND p.x < 60 AND p.y < 60 GROUP BY ALL) o
+      ON o.image_id = s.image_id AND o.y = CAST(round_even(py - ny * 7, 0) AS INTEGER) AND o.x = CAST(round_even(px - nx * 7, 0) AS INTEGER)
+    WHERE NOT is_border GROUP BY s.image_id, s.side""")
+def _(spark, sf):
+    rgb = epx(spark, sf)
+    edges = E.linked_edges(E.thin(E.gradients(rgb)))
+    d = SU.probed(SU.side_samples(side_cands(spark, sf)), SU.look_up(edges, rgb)).filter("NOT is_border")
+    level = lambda c: F.sum(F.round(Q(f"{c}.r") * 81).cast("bigint"))
+    return d.groupBy("image_id", "side").agg(F.count(F.lit(1)).alias("samples"), F.count("inner").alias("inner_seen"), F.count("outer").alias("outer_seen"),
+                                             level("inner").alias("inner_sum"), level("outer").alias("outer_sum"))
+
+
+_ROW = " UNION ALL ".join(f"""SELECT image_id, y, CASE WHEN NOT ((y < y{i} AND y < y{j}) OR (y > y{i} AND y > y{j}) OR y{i} = y{j}) THEN x{i} + (x{j} - x{i}) * (y - y{i}) / CASE WHEN y{i} <> y{j} THEN y{j} - y{i} END END AS x
+    FROM sd_row""" for i, j in ((0, 1), (1, 2), (2, 3), (3, 0)))
+
+
+@query("agg_15_interior_colors", "epx sd_cand", f"""
+    , sd_row AS (SELECT *, unnest(range(CAST(floor(least(y0, y1, y2, y3)) AS BIGINT), CAST(least(63, ceil(greatest(y0, y1, y2, y3))) AS BIGINT) + 1, 3)) AS y FROM sd_cand),
+    ext AS (SELECT image_id, y, greatest(0, CAST(ceil(min(x)) AS BIGINT)) AS xs, least(63, CAST(floor(max(x)) AS BIGINT)) AS xe FROM ({_ROW}) GROUP BY image_id, y HAVING min(x) IS NOT NULL),
+    pt AS (SELECT p.*, (p.r * 299 + p.g * 587 + p.b * 114) // 1000 AS lum FROM ext e JOIN epx p ON p.image_id = e.image_id AND p.y = e.y AND p.x BETWEEN e.xs AND e.xe AND (p.x - e.xs) % 3 = 0),
+    hist AS (SELECT image_id, lum, count(*) AS n, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM pt GROUP BY image_id, lum),
+    run AS (SELECT *, sum(n) OVER (PARTITION BY image_id ORDER BY lum) AS till, sum(n) OVER (PARTITION BY image_id) AS total FROM hist)
+    SELECT image_id, round(sum(CASE WHEN b_ THEN r END) / CAST(sum(CASE WHEN b_ THEN n END) AS DOUBLE), 6) AS paper_r, round(sum(CASE WHEN b_ THEN g END) / CAST(sum(CASE WHEN b_ THEN n END) AS DOUBLE), 6) AS paper_g,
+           round(sum(r) / CAST(sum(n) AS DOUBLE), 6) AS mean_r, round(sum(b) / CAST(sum(n) AS DOUBLE), 6) AS mean_b
+    FROM (SELECT *, till > floor(total * CAST(0.7 AS DOUBLE)) AND till - n < floor(total * CAST(0.8 AS DOUBLE)) AS b_ FROM run) GROUP BY image_id""")
+def _(spark, sf):
+    d = SU.interior_colors(side_cands(spark, sf), epx(spark, sf))
+    return d.select("image_id", F.round("paper.r", 6).alias("paper_r"), F.round("paper.g", 6).alias("paper_g"), F.round("mean.r", 6).alias("mean_r"), F.round("mean.b", 6).alias("mean_b"))
+
+
+@query("agg_16_side_support")
+def _(spark, sf):
+    """Edge fraction, support and strength of each side; checked on drawn sheets in the tests."""
+    rgb = epx(spark, sf)
+    edges = E.linked_edges(E.thin(E.gradients(rgb)))
+    d = SU.side_supports(side_cands(spark, sf), edges, rgb)
+    return d.select("image_id", "side", "is_border", *[F.round(c, 6).alias(c) for c in ("edge_fraction", "support", "edge_strength")])
+
+
+@query("img_08_detect_outline")
+def _(spark, sf):
+    """The sheet in every mosaic picture with the settings of the live camera; photos are checked on drawn sheets in the tests."""
+    d = SU.detect_outline(epx(spark, sf), frame_borders=False, edge=320, most_lines=40, most_scored=200)
+    return d.select("image_id", F.transform("quad", lambda v: F.round(v, 6)).alias("quad"), F.round("confidence", 6).alias("confidence"), "found")

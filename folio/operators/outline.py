@@ -12,14 +12,15 @@ from folio.functions import geometry as G
 from folio.functions.arith import clamp
 
 
-def quad_iou(df: DataFrame, w: int, h: int, step: int = 4, a: str = "quad", b: str = "quad2", key: str = "case_id") -> DataFrame:
+def quad_iou(df: DataFrame, w: int | Column, h: int | Column, step: int = 4, a: str = "quad", b: str = "quad2", key: str = "case_id") -> DataFrame:
     """``key, inter, uni, iou``: overlap of two outlines counted on a coarse grid over the frame.
 
     The grid is bounded by the frame; counts combine before the exchange, so only one row per
     outline pair and task is shuffled.
     """
-    grid = df.select(key, a, b, F.explode(F.sequence(F.lit(0), F.lit(h - 1), F.lit(step))).alias("gy")).select(
-        key, a, b, F.col("gy").cast("double").alias("gy"), F.explode(F.sequence(F.lit(0), F.lit(w - 1), F.lit(step))).alias("gx"))
+    w, h = (F.lit(x) if isinstance(x, int) else x for x in (w, h))
+    grid = df.select(key, a, b, w.alias("_w"), F.explode(F.sequence(F.lit(0), h - 1, F.lit(step))).alias("gy")).select(
+        key, a, b, F.col("gy").cast("double").alias("gy"), F.explode(F.sequence(F.lit(0), F.col("_w") - 1, F.lit(step))).alias("gx"))
     grid = grid.withColumn("gx", F.col("gx").cast("double"))
     hit = grid.select(key, G.quad_contains(F.col(a), F.col("gx"), F.col("gy")).alias("ia"),
                       G.quad_contains(F.col(b), F.col("gx"), F.col("gy")).alias("ib"))
@@ -126,7 +127,7 @@ def quad_score(quad: Column, visible: Column, w: Column, h: Column, mean: Column
     return F.when(least < 0.15, 0.0).otherwise(F.pow(mean, F.lit(1.5)) * (0.5 + 0.5 * least) * shape)
 
 
-def pick_outline(scored: DataFrame, w: int, h: int) -> DataFrame:
+def pick_outline(scored: DataFrame, w: int | Column, h: int | Column) -> DataFrame:
     """One outline per picture: the best score, unless a near-identical rival has far stronger edges.
 
     ``scored``: ``image_id, cand_id, quad, score, strength`` with positive scores.
@@ -134,9 +135,10 @@ def pick_outline(scored: DataFrame, w: int, h: int) -> DataFrame:
     best = scored.groupBy("image_id").agg(F.max(F.struct("score", (-F.col("cand_id")).alias("o"), "cand_id", "quad", "strength")).alias("best"))
     d = scored.join(best, "image_id")
     rival = d.filter((F.col("score") >= NEAR_BEST * F.col("best.score")) & (F.col("strength") >= MUCH_STRONGER * F.col("best.strength")))
-    rival = rival.select("image_id", "cand_id", "quad", "score", "strength", F.col("best.quad").alias("quad2"),
+    size = [F.lit(x) if isinstance(x, int) else x for x in (w, h)]
+    rival = rival.select("image_id", "cand_id", "quad", "score", "strength", F.col("best.quad").alias("quad2"), size[0].alias("_iw"), size[1].alias("_ih"),
                          F.struct("image_id", "cand_id").alias("case_id"))
-    near = quad_iou(rival, w, h).filter(F.col("iou") >= 0.8).select("case_id")
+    near = quad_iou(rival, F.col("_iw"), F.col("_ih")).filter(F.col("iou") >= 0.8).select("case_id")
     strong = rival.join(near, "case_id", "left_semi").groupBy("image_id").agg(F.max(F.struct("strength", (-F.col("cand_id")).alias("o"), "cand_id", "score")).alias("r"))
     d = best.join(strong, "image_id", "left")
     return d.select("image_id", F.coalesce("r.cand_id", "best.cand_id").alias("cand_id"), F.coalesce("r.score", "best.score").alias("score"))
