@@ -361,9 +361,13 @@ def with_crop_plan(df: DataFrame, quad: str = "quad", w: str = "w", h: str = "h"
     y1 = F.least(F.col(h), F.ceil(hi(ys)) + REGION_MARGIN)
     d = d.withColumns({"region_x": x0, "region_y": y0, "region_w": F.greatest(F.lit(1), x1 - x0), "region_h": F.greatest(F.lit(1), y1 - y0)})
     # the coarsest power of two that still resolves enough, or the first that fits the decode budget
-    need = when_chain([(F.lit(1.0 / 2 ** k) >= F.col("_wanted"), 2 ** k) for k in range(14, 0, -1)], 1)
-    area = F.col("region_w").cast("double") * F.col("region_h").cast("double")
-    fits = when_chain([(area <= float(4 ** k) * MAX_DECODE_PIXELS, 2 ** k) for k in range(14)], 2 ** 14)
+    bits = lambda n: F.length(F.bin(n.cast("bigint")))
+    most = F.least(F.lit(14), bits(F.floor(1.0 / F.col("_wanted"))) - 1)
+    d = d.withColumn("_need", F.pow(F.lit(2.0), most))
+    need = F.when(1.0 / F.col("_need") >= F.col("_wanted"), F.col("_need")).otherwise(F.col("_need") / 2).cast("int")
+    over = F.ceil(F.col("region_w").cast("double") * F.col("region_h").cast("double") / float(MAX_DECODE_PIXELS))
+    twice = F.when(over <= 1, 0).otherwise(bits(over - 1))
+    fits = F.pow(F.lit(2.0), F.least(F.lit(14), F.floor((twice + 1) / 2))).cast("int")
     d = d.withColumn("sample", F.greatest(need, fits))
     k = F.least(F.lit(1.0), (1.0 / F.col("sample")) / F.col("_wanted"))
     long_ = F.greatest(F.lit(23), F.rint(F.greatest("_cw", "_ch") * k).cast("bigint"))
@@ -372,7 +376,7 @@ def with_crop_plan(df: DataFrame, quad: str = "quad", w: str = "w", h: str = "h"
     d = d.withColumns({
         "out_w": F.when(sheet, F.when(wide, long_).otherwise(short)).otherwise(F.greatest(F.lit(16), F.rint(F.col("_cw") * k).cast("bigint"))),
         "out_h": F.when(sheet, F.when(wide, short).otherwise(long_)).otherwise(F.greatest(F.lit(16), F.rint(F.col("_ch") * k).cast("bigint")))})
-    return d.drop("_shape", "_fw", "_fh", "_cw", "_ch", "_wanted", "_xs", "_ys")
+    return d.drop("_shape", "_fw", "_fh", "_cw", "_ch", "_wanted", "_need", "_xs", "_ys")
 
 
 # --- projective maps ---------------------------------------------------------------

@@ -20,6 +20,8 @@ def local_session(cores: str | int = "*", app: str = "folio", **conf: str) -> Sp
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # stages whose one generated method the JIT would refuse run with split expressions instead
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators.counters import FAILURES_SHOWN  # noqa: F401  (re-exported for callers)
-from folio.operators.catalogue import latest
+from folio.operators.catalogue import document_groups, latest
+from folio.operators.ordered import block, running_sums
 from folio.streaming import state as ST
 
 # fixed values
@@ -77,10 +77,18 @@ EXPORT_OUT = "install long, event_id long, finished boolean, remaining int, due
 
 
 def export_gates(events: DataFrame, live: bool = False) -> DataFrame:
-    """Remaining free exports and whether a break is due, after each export attempt."""
-    run = ST.stream if live else ST.batch
-    return run(events.select("install", "event_id", "finished", "is_pro"), "install", "event_id", ["event_id", "finished"], _export_step,
-               {"used": 0, "n": 0}, EXPORT_OUT, ["remaining", "due"])
+    """Remaining free exports and whether a break is due, after each export attempt.
+
+    A table needs no state: both follow from running counts, so a hot install spans many tasks.
+    """
+    rows = events.select("install", "event_id", "finished", "is_pro")
+    if live:
+        return ST.stream(rows, "install", "event_id", ["event_id", "finished"], _export_step, {"used": 0, "n": 0}, EXPORT_OUT, ["remaining", "due"])
+    one = lambda c: F.when(c, 1).otherwise(0).cast("bigint")
+    done = F.col("finished")
+    d = running_sums(rows, "install", block("event_id"), ["event_id", "finished"], {"_used": one(done & ~F.col("is_pro")), "_n": one(done)})
+    return d.select("install", "event_id", "finished", F.greatest(F.lit(0), 5 - F.col("_used")).cast("int").alias("remaining"),
+                    (done & ~F.col("is_pro") & (F.col("_n") % 5 == 0)).alias("due"))
 
 
 # --- bursts and timings ------------------------------------------------------------
@@ -114,10 +122,12 @@ def _split_step(s: dict, r) -> tuple[dict, tuple]:
 
 def stream_split(pages: DataFrame, prefix: str = "", live: bool = False) -> DataFrame:
     """Separator sheets (barcode with ``prefix``) start a document; numbers follow pages as they arrive."""
+    if not live:
+        d = document_groups(pages, "barcode", prefix)
+        return d.select("batch_id", "page_id", F.col("doc_no").cast("bigint").alias("doc_no"), "doc_barcode")
     sep = F.col("barcode").isNotNull() & F.startswith(F.lower("barcode"), F.lit(prefix.lower()))
-    run = ST.stream if live else ST.batch
-    d = run(pages.select("batch_id", "pos", "page_id", "barcode", sep.alias("sep")), "batch_id", "pos", ["page_id"], _split_step,
-            {"no": 0, "open": False, "code": None}, SPLIT_OUT, ["doc_no", "doc_barcode", "kept"])
+    d = ST.stream(pages.select("batch_id", "pos", "page_id", "barcode", sep.alias("sep")), "batch_id", "pos", ["page_id"], _split_step,
+                  {"no": 0, "open": False, "code": None}, SPLIT_OUT, ["doc_no", "doc_barcode", "kept"])
     return d.filter("kept").drop("kept")
 
 
