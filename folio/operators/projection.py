@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,11 +80,38 @@ def _finer(points: DataFrame, coarse: DataFrame, keys: list[str], half: float, s
                           "best_score": F.when(better, F.col("_fs")).otherwise(F.col("best_score"))}).drop("_f", "_fs")
 
 
+SKEW_OUT = "best double, best_score long, zero long, worst long"
+
+
+def _profile_score(y: np.ndarray, x: np.ndarray, angle: float) -> int:
+    """Sum of squared differences of neighbouring bins of one page's ink at one angle."""
+    a = angle * math.pi / 180
+    bins = np.rint(y * math.cos(a) - x * math.sin(a)).astype(np.int64)
+    steps = np.diff(np.bincount(bins - bins.min()), prepend=0, append=0)
+    return int((steps * steps).sum())
+
+
+def _sharpest(max_angle: float):
+    """Coarse angles in steps of half a degree, then twentieths around the best; the smaller angle wins ties."""
+
+    def search(ink: pd.DataFrame) -> pd.DataFrame:
+        y, x = ink["y"].to_numpy(np.float64), ink["x"].to_numpy(np.float64)
+        coarse = [(_profile_score(y, x, angle), -angle) for angle in (-max_angle + k * 0.5 for k in range(round(4 * max_angle) + 1))]
+        best, zero, worst = max(coarse), next((s for s, a in coarse if a == 0), 0), min(coarse)[0]
+        start = -best[1] - 0.5
+        fine = max((_profile_score(y, x, angle), -angle) for angle in (start + k * 0.05 for k in range(21)))
+        won = fine if fine[0] > best[0] else best
+        return pd.DataFrame({"image_id": [ink["image_id"].iloc[0]], "best": [-won[1]], "best_score": [won[0]], "zero": [zero], "worst": [worst]})
+
+    return search
+
+
 def detect_skew(images: DataFrame, px: DataFrame, dpi: int = 100, max_angle: float = 15.0) -> DataFrame:
-    """``image_id, skew`` in degrees, 0 without a confident estimate."""
-    pts = checkpointed(skew_points(px, dpi))  # read for the coarse and again for the fine angles
-    coarse = best_angle(scores(with_angles(pts, F.lit(-max_angle), 0.5, round(4 * max_angle) + 1), ["image_id"], _page_bin()), ["image_id"])
-    d = _finer(pts, coarse, ["image_id"], 0.5, 0.05, _page_bin())
+    """``image_id, skew`` in degrees, 0 without a confident estimate.
+
+    Only ink travels to the profiles, one page at a time; a page at analysis size bounds what one call holds.
+    """
+    d = skew_points(px, dpi).groupBy("image_id").applyInPandas(_sharpest(max_angle), f"image_id {px.schema['image_id'].dataType.simpleString()}, {SKEW_OUT}")
     sure = (F.col("best_score") >= F.col("zero") * F.lit(1.05)) & (F.abs("best") >= 0.1)
     return images.select("image_id").join(d, "image_id", "left").select(
         "image_id", F.when(sure, F.col("best")).otherwise(0.0).alias("skew"))
