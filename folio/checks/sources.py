@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folio.checks.base import query
 from folio.functions import pages as P
 from folio.sources import files as FS
+from folio.session import checkpoint_dir
 from folio.sources import tables as T
 
 Q = F.col
@@ -52,3 +55,40 @@ def _(spark, sf):
     SELECT path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS name, length FROM f6_export WHERE lower(path) LIKE '%.pdf'""")
 def _(spark, sf):
     return FS.list_exports(T.export_files(spark, sf)).select("path", "name", "length")
+
+
+def scratch(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/folio-checks/{name}-{uuid.uuid4().hex}"
+
+
+@query("src_07_project", "f10", """
+    SELECT page_id, path, CASE WHEN state IN ('Ready', 'Failed') THEN state WHEN state = 'Pending' THEN 'Failed' ELSE 'Ready' END AS state,
+           CASE WHEN state = 'Pending' THEN 'interrupted' END AS error, rotation AS rotate, CAST(-1 AS INTEGER) AS pdf_page FROM f10""")
+def _(spark, sf):
+    p = T.pages(spark, sf).select(Q("page_id").alias("_Id"), Q("path").alias("_File"), Q("state").alias("_State"), Q("rotation").alias("_Rotate"))
+    at = scratch(spark, "project")
+    p.write.format("xml").option("rootTag", "ScanProject").option("rowTag", "Page").save(at)
+    return FS.read_project(spark, at).select("page_id", "path", "state", "error", "rotate", "pdf_page")
+
+
+@query("src_12_versioned_save", "f8", "SELECT doc_id, folder_id, n_chars FROM f8 WHERE n_chars % 2 = 0")
+def _(spark, sf):
+    """Three saves, the last cut off before its marker: the second is what a reader sees."""
+    d, at = T.documents(spark, sf).select("doc_id", "folder_id", "n_chars"), scratch(spark, "catalogue")
+    FS.write_catalogue(d, at, 1)
+    FS.write_catalogue(d.filter("n_chars % 2 = 0"), at, 2)
+    d.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{at}/v={3:012d}")
+    return FS.read_latest_version(spark, at)
+
+
+@query("src_15_page_store", "f2", """
+    SELECT image_id // 16 AS doc_id, image_id, CAST(CASE WHEN image_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS revision, y,
+           CAST(sum(CASE WHEN image_id % 3 = 0 THEN 255 - v ELSE v END) AS BIGINT) AS total FROM f2 GROUP BY image_id, y""")
+def _(spark, sf):
+    rows = T.tile_pixels(spark, sf).groupBy("image_id", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("vals"))
+    rows = rows.withColumns({"doc_id": F.floor(Q("image_id") / 16), "revision": F.lit(1)})
+    at = scratch(spark, "pages")
+    FS.write_pages(rows, at, 8)
+    FS.write_pages(rows.filter("image_id % 3 = 0").withColumns({"vals": F.transform("vals", lambda v: 255 - v), "revision": F.lit(2)}), at, 8)
+    total = F.aggregate("vals", F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return FS.read_pages(spark, at).select("doc_id", "image_id", "revision", "y", total.alias("total"))

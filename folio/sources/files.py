@@ -35,7 +35,9 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """``image_id (path), w, h, y, vals``: decoded rows, gray or R, G, B interleaved, spread by picture."""
+    """``image_id (path), w, h, y, vals``: decoded rows, gray or R, G, B interleaved, spread by picture.
+
+    Pictures without rows are those that :func:`image_states` reports as failed."""
     d = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,6 +52,14 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
         shuffle_partitions(spark), "image_id")
 
 
+def image_states(spark: SparkSession, path: str) -> DataFrame:
+    """``image_id, w, h, state`` of every picture file: ``Ready``, or ``Failed`` (without a size) where it can't be decoded."""
+    d = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    ok = F.col("width") > 0
+    return d.select(F.col("origin").alias("image_id"), F.when(ok, F.col("width")).alias("w"), F.when(ok, F.col("height")).alias("h"),
+                    F.when(ok, "Ready").otherwise("Failed").alias("state"))
+
+
 def _be(data: Column, start: int, size: int) -> Column:
     return F.conv(F.hex(F.substring(data, start, size)), 16, 10).cast("int")
 
@@ -181,9 +191,25 @@ def read_latest_version(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(max(p.toString() for p in done))
 
 
-def write_pages(scanlines: DataFrame, path: str) -> None:
-    """Rendered rows by document, each with its ``revision``; older revisions stay until cleaned up."""
-    scanlines.repartition("doc_id", "image_id").sortWithinPartitions("doc_id", "image_id", "y").write.mode("append").partitionBy("doc_id").parquet(path)
+PAGE_BUCKETS = 64  # folders of a page store; a document's rows lie together in one of them
+
+
+def write_pages(scanlines: DataFrame, path: str, buckets: int = PAGE_BUCKETS) -> None:
+    """Rendered rows by document, each with its ``revision``; older revisions stay until cleaned up.
+
+    Documents are spread over a fixed number of folders by a hash of their id and sorted within files, so
+    the number of files follows the bytes and not the documents.
+    """
+    d = scanlines.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    d = d.repartition("bucket", "doc_id", "image_id").sortWithinPartitions("bucket", "doc_id", "image_id", "y")
+    d.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the newest revision of each page."""
+    d = spark.read.parquet(path).drop("bucket")
+    newest = d.groupBy("image_id").agg(F.max("revision").alias("_r")).withColumnRenamed("image_id", "_i")
+    return d.join(newest, (F.col("image_id") == F.col("_i")) & (F.col("revision") == F.col("_r"))).drop("_i", "_r")
 
 
 def frame_source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:

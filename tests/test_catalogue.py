@@ -104,6 +104,9 @@ def test_pictures(spark, tmp_path):
     assert (info.w, info.h, info.dpi_x) == (3, 2, 150)
     rows = {r.y: list(r.vals) for r in FS.read_images(spark, str(tmp_path)).collect()}
     assert rows == {0: [0, 50, 255], 1: [10, 20, 30]}
+    (tmp_path / "cut.png").write_bytes(b"\x89PNG\r\n\x1a\nxx")
+    states = {r.image_id.rsplit("/", 1)[1]: (r.w, r.h, r.state) for r in FS.image_states(spark, str(tmp_path / "*.png")).collect()}
+    assert states == {"a.png": (3, 2, "Ready"), "cut.png": (None, None, "Failed")}
 
 
 def test_catalogue_and_defaults(spark, tmp_path):
@@ -221,6 +224,7 @@ def test_folders_signatures_and_renders(spark, tmp_path):
     rows = [("d1", 1, rev, y, [0, 255]) for rev in (1, 2) for y in range(3)]
     d = spark.createDataFrame(rows, "doc_id string, image_id long, revision int, y int, vals array<int>")
     FS.write_pages(d, str(tmp_path / "out"))
+    assert FS.read_pages(spark, str(tmp_path / "out")).filter("revision = 2").count() == 3
     back = spark.read.parquet(str(tmp_path / "out"))
     newest = C.latest(back.select("image_id", "revision").distinct(), "image_id", ["revision"]).first()
     assert back.count() == 6 and newest.revision == 2
