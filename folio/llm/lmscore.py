@@ -20,12 +20,13 @@ every score is 0 or near it; repeated rows count and score again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,9 +67,27 @@ def pair_slots(words: np.ndarray, vocab: int, pairs: int) -> np.ndarray:
     return ((code * MULTIPLIER) >> np.uint64(64 - pairs)).astype(np.int64)
 
 
+#: Slots of a block of counts, and tasks whose blocks are added up before all are.
+BLOCK, NEAR = 1 << 14, 64
+COUNTS = "block long, task long, target binary, background binary"
+
+
+def _shrunk(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.astype(np.int64).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.int64)
+
+
+def _rows(blocks: Iterable[tuple[int, np.ndarray, np.ndarray]], task: int) -> Iterator[pa.RecordBatch]:
+    for block, target, background in blocks:
+        yield pa.RecordBatch.from_pylist([{"block": block, "task": task, "target": _shrunk(target), "background": _shrunk(background)}])
+
+
 def _counter(vocab: int, pairs: int):
-    """Counts of a task's words, contexts and pairs: rows ``(slot, target, background)``; slots of words, then contexts, then pairs."""
-    wide = (2 << vocab) + (1 << pairs)
+    """A task's counts of words, contexts and pairs (in slots one after the other), in dense blocks."""
+    wide = -(-((2 << vocab) + (1 << pairs)) // BLOCK) * BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, totals = Ids(vocab), [np.zeros(wide, np.int64), np.zeros(wide, np.int64)]
@@ -95,41 +114,38 @@ def _counter(vocab: int, pairs: int):
                     settle()
                     held = 0
         settle()
-        some = np.flatnonzero(totals[1])
-        for at in range(0, len(some), 1 << 16):
-            part = some[at:at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(totals[0][part]), pa.array(totals[1][part])], names=["slot", "target", "background"])
+        cut = [t.reshape(-1, BLOCK) for t in totals]
+        yield from _rows(((k, t, b) for k, (t, b) in enumerate(zip(*cut)) if b.any()), TaskContext.get().partitionId())
 
     return run
 
 
-def counted(docs: DataFrame, target: DataFrame, vocab: int = VOCAB, pairs: int = PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(slot, target, background)`` over all documents; ``target(id)`` has the ids of the target rows, each once."""
-    rows = docs.select(column(docs, id_col, "long").alias("id"), column(docs, text_col, "string").cast("binary").alias("text"))
-    wanted = target.select(F.col("id").alias("wanted"))
-    marked = rows.join(wanted, F.col("id") == F.col("wanted"), "left").select("text", F.col("wanted").isNotNull().alias("mark"))
-    parts = marked.mapInArrow(_counter(vocab, pairs), "slot long, target long, background long")
-    return parts.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-#: Slots of a packed block of counts.
-BLOCK = 1 << 14
+def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the blocks that come to a task, one row at a time."""
+    sums: dict[tuple[int, int], list[np.ndarray]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = sums.setdefault((row["block"], row["task"]), [np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)])
+            own[0] += unpacked(row["target"])
+            own[1] += unpacked(row["background"])
+    for (block, task), (target, background) in sums.items():
+        yield from _rows([(block, target, background)], task)
 
 
-def packed(counts: DataFrame) -> DataFrame:
-    """``(block, target, background)``: counts as arrays of 32-bit numbers, ``BLOCK`` slots each."""
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        block = int(rows["slot"].iloc[0]) // BLOCK
-        out = {"block": [block]}
-        for kind in ("target", "background"):
-            dense = np.zeros(BLOCK, np.float32)
-            dense[rows["slot"].to_numpy() - block * BLOCK] = rows[kind].to_numpy()
-            out[kind] = [dense.tobytes()]
-        return pd.DataFrame(out)
+def counted(docs: DataFrame, target: DataFrame, vocab: int = VOCAB, pairs: int = PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(block, target, background)`` over all documents: one row for each ``BLOCK`` slots that occur.
 
-    by_block = counts.groupBy(F.floor(F.col("slot") / BLOCK).alias("block"))
-    return by_block.applyInPandas(pack, "block long, target binary, background binary")
+    ``target(id)`` has the ids of the target rows, each once. Blocks of counts are far smaller than
+    rows of them; they are added up among groups of tasks first and then among the groups, as they stream in.
+    """
+    rows = docs.select(column(docs, id_col, "long").alias("id"), column(docs, text_col, "string").cast("binary").alias("text"))
+    wanted = target.select(F.col("id").alias("wanted"))
+    # the same plan at every size: target ids grow with the labels, so they are never broadcast
+    marked = rows.join(wanted.hint("merge"), F.col("id") == F.col("wanted"), "left").select("text", F.col("wanted").isNotNull().alias("mark"))
+    parts = marked.mapInArrow(_counter(vocab, pairs), COUNTS)
+    for group in (F.floor(F.col("task") / NEAR), F.lit(0).cast("long")):
+        parts = parts.withColumn("task", group).repartition("block", "task").mapInArrow(_adder, COUNTS)
+    return parts.drop("task")
 
 
 class Model:
@@ -161,13 +177,12 @@ class Model:
 
 
 def model(docs: DataFrame, target: DataFrame, vocab: int = VOCAB, pairs: int = PAIRS, **columns) -> Model:
-    """Both models. However large the corpus, ``2 * 2**vocab + 2**pairs`` pairs of 32-bit numbers reach the driver, packed."""
+    """Both models. However large the corpus, ``2 * 2**vocab + 2**pairs`` pairs of numbers reach the driver, compressed."""
     size = -(-((2 << vocab) + (1 << pairs)) // BLOCK) * BLOCK
     dense = {kind: np.zeros(size, np.float32) for kind in ("target", "background")}
-    for row in packed(counted(docs, target, vocab, pairs, **columns)).collect():
-        at = row["block"] * BLOCK
+    for row in counted(docs, target, vocab, pairs, **columns).collect():
         for kind, whole in dense.items():
-            whole[at:at + BLOCK] = np.frombuffer(row[kind], np.float32)
+            whole[row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = unpacked(row[kind])
     return Model(dense["target"], dense["background"], vocab, pairs)
 
 
