@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import reduce
 
@@ -45,32 +44,47 @@ def document_file_name(c: Column) -> Column:
     return F.concat(F.when(s == "", DEFAULT_FILE).otherwise(s), F.lit(".pdf"))
 
 
+def _pieces(pattern: str) -> list[tuple[str, str | None]]:
+    """``(text, None)`` for plain text and ``(name, format)`` for each ``{name}`` or ``{name:format}``, in order."""
+    out, rest = [], pattern
+    while rest:
+        text, opened, tail = rest.partition("{")
+        inner, closed, after = tail.partition("}")
+        name, _, fmt = inner.partition(":")
+        if opened and closed and name and all(c == "_" or c.isalnum() for c in name):
+            out += [(text, None), (name, fmt)]
+            rest = after
+        else:
+            out.append((text + opened, None))
+            rest = tail
+    return out
+
+
+def _stamp_time(ts: Column, default: str, free: bool):
+    return lambda fmt: F.date_format(ts, fmt if fmt and free else default)
+
+
+def _padded(counter: Column):
+    digits = counter.cast("string")
+    return lambda fmt: F.lpad(digits, F.greatest(F.lit(len(fmt or "000")), F.length(digits)), F.lit("0"))
+
+
 def build_name(pattern: str, ts: Column, counter: Column, barcode: Column | None = None, profile: Column | None = None) -> Column:
     """Name from a pattern known to the job, e.g. ``Scan_{date}_{counter:0000}``; unknown tokens stay."""
-    empty = F.lit("")
-    parts, last = [], 0
-    for m in re.finditer(r"\{(\w+)(?::([^}]*))?\}", pattern):
-        parts.append(F.lit(pattern[last:m.start()]))
-        last = m.end()
-        token, fmt = m.group(1), m.group(2) or ""
-        low = token.lower()
-        if token == "MM":
-            parts.append(F.date_format(ts, "MM"))
-        elif low == "mm":
-            parts.append(F.date_format(ts, "mm"))
-        elif low in TIME_TOKENS:
-            parts.append(F.date_format(ts, fmt if fmt and low in ("date", "time") else TIME_TOKENS[low]))
-        elif low == "counter":
-            width = len(fmt or "000")
-            digits = counter.cast("string")
-            parts.append(F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")))
-        elif low == "barcode":
-            parts.append(F.coalesce(barcode, empty) if barcode is not None else empty)
-        elif low == "profile":
-            parts.append(F.coalesce(profile, empty) if profile is not None else empty)
+    known = {name: _stamp_time(ts, default, name in ("date", "time")) for name, default in TIME_TOKENS.items()}
+    known["counter"] = _padded(counter)
+    for name, value in (("barcode", barcode), ("profile", profile)):
+        known[name] = lambda fmt, v=value: F.lit("") if v is None else F.coalesce(v, F.lit(""))
+    parts = []
+    for name, fmt in _pieces(pattern):
+        if fmt is None:
+            parts.append(F.lit(name))
+        elif name.lower() == "mm":  # months and minutes differ by case only
+            parts.append(F.date_format(ts, "MM" if name == "MM" else "mm"))
+        elif name.lower() in known:
+            parts.append(known[name.lower()](fmt))
         else:
-            parts.append(F.lit(m.group(0)))
-    parts.append(F.lit(pattern[last:]))
+            parts.append(F.lit("{" + name + (f":{fmt}" if fmt else "") + "}"))
     return sanitize_name(F.concat(*parts))
 
 

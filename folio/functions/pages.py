@@ -18,12 +18,16 @@ PHOTO_EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp", ".heic", ".heif", ".bmp",
 RAW_JPEG = (".jpg", ".jpeg", ".jpe")
 
 
+def _visible_look(look: Column) -> Column:
+    """A look without the settings its mode ignores, so that equal pictures have equal values."""
+    mode = look["mode"]
+    matters = {"darkness": mode == "BlackWhite", "clean": mode != "Color", "brightness": F.lit(True), "contrast": mode != "BlackWhite"}
+    return F.struct(mode.alias("mode"), *[F.when(used, look[name]).alias(name) for name, used in matters.items()])
+
+
 def same_look(a: Column, b: Column) -> Column:
     """Two looks (structs mode, darkness, clean, brightness, contrast) that give the same picture."""
-    bw = a["mode"] == "BlackWhite"
-    return ((a["mode"] == b["mode"]) & (~bw | (a["darkness"] == b["darkness"]))
-            & ((a["mode"] == "Color") | (a["clean"] == b["clean"]))
-            & (a["brightness"] == b["brightness"]) & (bw | (a["contrast"] == b["contrast"])))
+    return _visible_look(a).eqNullSafe(_visible_look(b))
 
 
 def needs_detection(quad: Column, manual: Column, version: Column) -> Column:
@@ -34,33 +38,41 @@ def no_bends(b: Column) -> Column:
     return b.isNull() | F.forall(b, lambda v: v == 0)
 
 
-def same_bends(a: Column, b: Column) -> Column:
-    return F.when(no_bends(a), no_bends(b)).otherwise(b.isNotNull() & a.eqNullSafe(b))
+# What the picture of a page depends on besides its look: name -> normal form of the value.
+_GEOMETRY = {"rotation": lambda v: v, "turn": lambda v: v, "free": lambda v: v, "quad": lambda v: v, "bend": lambda v: F.when(~no_bends(v), v)}
+_STAMPS = {"stamps": lambda v: F.when(F.size(v) > 0, v)}
+
+
+def _inputs(p, fields: dict, prefix: str = "") -> Column:
+    """The inputs of a picture as one comparable struct: as wished, or (``r_``) as the render was made with."""
+    values = {name: p[f"{prefix}{name}"] for name in fields}
+    if "quad" in values:  # without an outline the page takes whatever the render used
+        values["quad"] = F.when(p["quad"].isNotNull(), values["quad"])
+    return F.struct(*[form(values[name]).alias(name) for name, form in fields.items()])
 
 
-def same_stamps(a: Column, b: Column) -> Column:
-    empty_a, empty_b = F.coalesce(F.size(a) <= 0, F.lit(True)), F.coalesce(F.size(b) <= 0, F.lit(True))
-    return F.when(empty_a, empty_b).otherwise(b.isNotNull() & a.eqNullSafe(b))
+def _made_with(p, fields: dict) -> Column:
+    return _inputs(p, fields).eqNullSafe(_inputs(p, fields, "r_"))
 
 
 def render_is_outdated(p) -> Column:
-    return (p["revision"] > 0) & ((p["geometry"] < GEOMETRY_VERSION)
-                                  | ((p["r_look"]["mode"] == "BlackWhite") & (p["bw_version"] < BLACK_WHITE_VERSION)))
+    """Made by an older version of the geometry or of the black-and-white filter."""
+    oldest = F.when(p["r_look"]["mode"] == "BlackWhite", F.least(p["geometry"] - GEOMETRY_VERSION, p["bw_version"] - BLACK_WHITE_VERSION))
+    return (p["revision"] > 0) & (F.coalesce(oldest, p["geometry"] - GEOMETRY_VERSION) < 0)
 
 
 def needs_render(p) -> Column:
-    """No render yet, or outline, turns, shape, bends, stamps or look differ from what it was made with."""
-    return ((p["revision"] == 0) | (p["r_rotation"] != p["rotation"]) | (p["r_turn"] != p["turn"]) | (p["r_free"] != p["free"])
-            | render_is_outdated(p) | (p["quad"].isNotNull() & ~p["quad"].eqNullSafe(p["r_quad"]))
-            | ~same_bends(p["bend"], p["r_bend"]) | ~same_stamps(p["stamps"], p["r_stamps"]) | ~same_look(p["look"], p["r_look"]))
+    """No current render, or one that was made with other inputs than the page now wishes."""
+    current = (p["revision"] != 0) & ~render_is_outdated(p)
+    return ~(current & _made_with(p, _GEOMETRY | _STAMPS) & same_look(p["look"], p["r_look"]))
 
 
 def has_plain_color_render(p) -> Column:
-    r = p["r_look"]
-    return ((p["revision"] > 0) & (r["mode"] == "Color") & (r["brightness"] == 0) & (r["contrast"] == 0)
-            & (p["r_rotation"] == p["rotation"]) & (p["r_turn"] == p["turn"]) & (p["r_free"] == p["free"])
-            & p["quad"].isNotNull() & p["quad"].eqNullSafe(p["r_quad"]) & same_bends(p["bend"], p["r_bend"])
-            & F.coalesce(F.size(p["r_stamps"]) <= 0, F.lit(True)) & ~render_is_outdated(p))
+    """A current colour render of the page's own geometry with nothing added to it."""
+    look = p["r_look"]
+    plain = F.struct(look["mode"], look["brightness"], look["contrast"]).eqNullSafe(F.struct(F.lit("Color"), F.lit(0), F.lit(0)))
+    bare = _STAMPS["stamps"](p["r_stamps"]).isNull() & p["quad"].isNotNull()
+    return (p["revision"] > 0) & ~render_is_outdated(p) & _made_with(p, _GEOMETRY) & plain & bare
 
 
 def is_raw_jpeg(is_pdf: Column, identity: Column, ext: Column) -> Column:
