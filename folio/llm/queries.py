@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontam, exact, htmltext, langid, licenses, lmscore, mixing, simhash, toxicity, warc
+from folio.llm import decontam, exact, htmltext, langid, licenses, lmexact, mixing, simhash, toxicity, warc
 from folio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,7 +133,7 @@ def op6(spark, sf_dir):
 
 @query("op8_lm_score")
 def op8(spark, sf_dir):
-    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return lmexact.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query("op10_license_scan")
