@@ -8,7 +8,9 @@ element is kept: a dynamic programme from the leaves up, then one pass down.
 Fitting needs no labels by hand. From a bounded sample of pages (``SAMPLE``, those with the
 smallest hash of the id) whatever lies in an ``article`` or ``main`` element is text and
 whatever lies outside is not; the same texts are set again in other page layouts (``LAYOUTS``
-of each page), which mark their parts, so that the trees learn more than one tag.
+of each page), which mark their parts, so that the trees learn more than one tag. A page with
+neither element says nothing about its own parts: its nodes stay unlabelled, and its longer
+blocks only serve as text for other layouts, so a table without such elements is read as well.
 
 Defined results: null and empty html give an empty text; a page without any kept block gives
 an empty text; broken and unclosed markup is read as far as it goes; repeated pages repeat.
@@ -34,6 +36,8 @@ SAMPLE, LAYOUTS = 240, 2
 TOGETHER = 64
 #: Weight of an element without text of its own in decoding.
 LIGHT = 0.25
+#: Words of a block, at least, that serves as text for other layouts where a page is unlabelled.
+LONG = 8
 
 
 # ---- pages that mark their parts
@@ -80,11 +84,11 @@ def relaid(blocks: list[str], spare: list[str], rng: np.random.Generator) -> str
 
 
 def taught(page: Page) -> tuple[np.ndarray, np.ndarray]:
-    """Which nodes are labelled and how: by the nearest mark, or by ``article`` and ``main`` where a page has no marks.
-    Elements around marked text count as text, because decoding has to pass through them."""
+    """Which nodes are labelled and how: by the nearest mark, or by ``article`` and ``main`` where a page has no marks;
+    no node where it has neither. Elements around marked text count as text, because decoding has to pass through them."""
     nodes = page.nodes
     marked = any(x.marked for x in nodes)
-    label = np.full(len(nodes), -1 if marked else 0)
+    label = np.full(len(nodes), 0 if not marked and any(x.tag in ("article", "main") for x in nodes) else -1)
     for i, x in enumerate(nodes):
         own = {"main": 1, "off": 0}.get(x.marked or "") if marked else (1 if x.tag in ("article", "main") else None)
         label[i] = own if own is not None else label[x.parent] if i else label[0]
@@ -110,6 +114,8 @@ def fit(sources: list[str], layouts: int = LAYOUTS, seed: int = 11) -> boost.Tre
 
 def _others(page: Page, label: np.ndarray, layouts: int, rng: np.random.Generator) -> list[Page]:
     text = [t for i, t in page.blocks if label[i] == 1]
+    if not (label >= 0).any():
+        text = [t for _, t in page.blocks if len(t.split()) >= LONG] or [t for _, t in page.blocks]
     spare = [w for i, t in page.blocks for w in t.split()[:40] if label[i] != 1] + [w for t in text[:3] for w in t.split()[:40]]
     escape = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
     return [Page(relaid([escape(t) for t in text], [escape(w) for w in spare], rng)) for _ in range(layouts if text and spare else 0)]
