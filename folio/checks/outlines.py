@@ -105,6 +105,11 @@ def strong(spark, sf):
     return d.filter(Q("mag") >= E.EDGE_FLOOR)
 
 
+def linked(spark, sf):
+    """All edge pixels, weak ones that hang on strong ones too."""
+    return E.linked_edges(E.thin(E.gradients(epx(spark, sf))))
+
+
 @query("join_16_edge_by_theta", "evotes", "SELECT image_id, CAST(t AS INTEGER) AS t, CAST(sum(n) AS BIGINT) AS pixels, CAST(sum(votes) AS BIGINT) AS weight FROM evotes GROUP BY image_id, t")
 def _(spark, sf):
     return E.by_theta(strong(spark, sf)).groupBy("image_id", "t").agg(F.count(F.lit(1)).alias("pixels"), F.sum("weight").alias("weight"))
@@ -115,21 +120,33 @@ def _(spark, sf):
     return E.hough_votes(strong(spark, sf)).select("image_id", "t", "rho", "votes")
 
 
+@query("join_16_linked_edge_by_theta")
+def _(spark, sf):
+    """Votes by direction of all linked edges; checked against a flood fill in the tests. The query with SQL reads strong pixels only."""
+    return E.by_theta(linked(spark, sf)).groupBy("image_id", "t").agg(F.count(F.lit(1)).alias("pixels"), F.sum("weight").alias("weight"))
+
+
+@query("agg_13_linked_hough_votes")
+def _(spark, sf):
+    """Votes of all linked edges; checked against a flood fill in the tests. The query with SQL reads strong pixels only."""
+    return E.hough_votes(linked(spark, sf)).select("image_id", "t", "rho", "votes")
+
+
 @query("img_07_edge_map")
 def _(spark, sf):
     """Edge pixels after linking; checked against a flood fill in the tests."""
-    d = E.linked_edges(E.thin(E.gradients(epx(spark, sf))))
+    d = linked(spark, sf)
     return d.select("image_id", "y", "x", F.round("theta", 6).alias("theta"), F.round("mag", 6).alias("mag"))
 
 
 @query("top_03_hough_peaks")
 def _(spark, sf):
-    return E.hough_peaks(E.hough_votes(strong(spark, sf))).select("image_id", "rank", "t", "rho", "votes")
+    return E.hough_peaks(E.hough_votes(linked(spark, sf))).select("image_id", "rank", "t", "rho", "votes")
 
 
 @query("agg_14_line_refit")
 def _(spark, sf):
-    e = checkpointed(strong(spark, sf))  # read once per refit round
+    e = checkpointed(linked(spark, sf))  # read once per refit round
     d = E.refit_lines(E.hough_peaks(E.hough_votes(e)), e)
     return d.select("image_id", "rank", F.round("theta", 6).alias("theta"), F.round("rho", 4).alias("rho"), "votes", F.round("strength", 4).alias("strength"))
 
