@@ -61,3 +61,18 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
 }
+
+#: What tells a license from its neighbours: of these phrases (words in lower case) those that a template holds have to match.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("mit",),
+    "Apache-2.0": ("apache", "2 0"),
+    "GPL-3.0": ("gnu general public", "3"),
+    "GPL-2.0": ("gnu general public", "2"),
+    "AGPL-3.0": ("gnu affero general public", "3"),
+    "LGPL-3.0": ("gnu lesser general public", "3"),
+    "MPL-2.0": ("mozilla public", "2 0"),
+    "Unlicense": ("unencumbered", "public domain"),
+    "CC-BY-NC-4.0": ("cc by nc 4 0", "attribution noncommercial 4 0"),
+    "CC-BY-4.0": ("cc by 4 0", "attribution 4 0"),
+    "CC-BY-SA-4.0": ("cc by sa 4 0", "attribution sharealike 4 0"),
+}
