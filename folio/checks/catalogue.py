@@ -166,6 +166,13 @@ def _(spark, sf):
     return C.latest(log, "file_id", ["ts", "page_id"], Q("ts") < F.lit("2000-01-01").cast("timestamp")).select("file_id", "page_id", "state")
 
 
+@query("win_14_latest_page_of_all", "f10", """
+    SELECT CAST(l_partkey AS BIGINT) AS file_id, page_id, state FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY ts DESC, page_id DESC) AS rk FROM f10) WHERE rk = 1""")
+def _(spark, sf):
+    log = T.pages(spark, sf).select(Q("l_partkey").alias("file_id"), "page_id", "state", "ts")
+    return C.latest(log, "file_id", ["ts", "page_id"]).select("file_id", "page_id", "state")
+
+
 view("b_pages", "SELECT batch_id AS doc_id, page_id, row_number() OVER (PARTITION BY batch_id ORDER BY pos) - 1 AS index, count(*) OVER (PARTITION BY batch_id) AS n FROM f3", ("f3",))
 
 
