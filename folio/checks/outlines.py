@@ -346,6 +346,13 @@ def _(spark, sf):
 
 @query("img_08_detect_outline")
 def _(spark, sf):
-    """The sheet in every mosaic picture with the settings of the live camera; photos are checked on drawn sheets in the tests."""
+    """The sheet in every mosaic picture as in a photo: all lines, all candidates and the borders of the frame."""
+    d = SU.detect_outline(epx(spark, sf))
+    return d.select("image_id", F.transform("quad", lambda v: F.round(v, 6)).alias("quad"), F.round("confidence", 6).alias("confidence"), "found")
+
+
+@query("img_08_live_outline")
+def _(spark, sf):
+    """The sheet in every mosaic picture with the settings of the live camera."""
     d = SU.detect_outline(epx(spark, sf), frame_borders=False, edge=320, most_lines=40, most_scored=200)
     return d.select("image_id", F.transform("quad", lambda v: F.round(v, 6)).alias("quad"), F.round("confidence", 6).alias("confidence"), "found")
