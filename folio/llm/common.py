@@ -88,3 +88,25 @@ def ranked(df: DataFrame, group: list[str], by: list[str], name: str = "__rank")
 
 def empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(ddl))
+
+
+def tiles(batch, at: int, rows: int, most_bytes: int):
+    """An Arrow batch in slices of at most ``rows`` rows and about ``most_bytes`` in column ``at`` (a longer value is a slice of its own)."""
+    import pyarrow.compute as pc
+
+    begin = held = 0
+    for row, n in enumerate(pc.binary_length(batch.column(at)).to_pylist()):
+        if row > begin and (held + (n or 0) > most_bytes or row - begin >= rows):
+            yield batch.slice(begin, row - begin)
+            begin, held = row, 0
+        held += n or 0
+    if batch.num_rows > begin:
+        yield batch.slice(begin)
+
+
+def best(df: DataFrame, group: list[str], order: list[Column], k: int, salts: int = 64) -> DataFrame:
+    """The first ``k`` rows of each group and their ``rank`` (from 1), taken first within salted parts, so that no task meets all rows of a group."""
+    place = F.row_number().over(Window.partitionBy(*group, "__salt").orderBy(*order))
+    few = df.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts))).withColumn("__place", place).filter(F.col("__place") <= k)
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return few.drop("__salt", "__place").withColumn("rank", rank).filter(F.col("rank") <= k)

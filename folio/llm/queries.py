@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontam, exact, htmltext, langid, licenses, lmexact, mixing, simhash, toxicity, warc
+from folio.llm import decontam, exact, htmltext, langid, licenses, lmexact, mixing, ranking, simhash, toxicity, warc
 from folio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,27 @@ def op8(spark, sf_dir):
 @query("op10_license_scan")
 def op10(spark, sf_dir):
     return licenses.licensed(table(spark, sf_dir, "documents"))
+
+
+RANK_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+item AS (
+  SELECT item_id, row_number() OVER () AS u, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+total AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM doc WHERE len(ws) > 0),
+asked AS (SELECT u, item_id, t, count(*) AS qtf FROM (SELECT u, item_id, unnest(ws) AS t FROM item) GROUP BY ALL),
+held AS (
+  SELECT d, doc_id, n, t, count(*) AS tf FROM (SELECT d, doc_id, CAST(len(ws) AS BIGINT) AS n, unnest(ws) AS t FROM doc)
+  WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weight AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM held, total GROUP BY t, n_docs),
+scored AS (
+  SELECT u, item_id, d, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN weight USING (t) JOIN held USING (t), total GROUP BY u, item_id, d, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 20"""
+
+
+@query("op13_ranked_search", RANK_SQL)
+def op13(spark, sf_dir):
+    return ranking.ranking(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
