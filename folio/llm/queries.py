@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontam, exact, htmltext, langid, licenses, lmexact, mixing, ranking, simhash, toxicity, warc
+from folio.llm import decontam, exact, htmltext, langid, licenses, lmexact, maxscore, mixing, ranking, simhash, toxicity, warc
 from folio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,19 @@ FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, doc_id NU
 @query("op13_ranked_search", RANK_SQL)
 def op13(spark, sf_dir):
     return ranking.ranking(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TOP_SQL = """
+WITH vec AS (
+  SELECT vec_id, row_number() OVER () AS u, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.u, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM vec q JOIN vec c ON q.vec_id IS DISTINCT FROM c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored) WHERE rank <= 20"""
+
+
+@query("op11_exact_top_k", TOP_SQL)
+def op11(spark, sf_dir):
+    return maxscore.top(table(spark, sf_dir, "embeddings"))
