@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontam, exact, htmltext, langid, licenses, lmexact, maxscore, mixing, ranking, simhash, toxicity, warc
+from folio.llm import decontam, exact, htmltext, langid, licenses, lmexact, maxscore, mixing, ranking, simhash, toxicity, trie, warc
 from folio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,39 @@ FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, vec_id NU
 @query("op11_exact_top_k", TOP_SQL)
 def op11(spark, sf_dir):
     return maxscore.top(table(spark, sf_dir, "embeddings"))
+
+
+TRIE_SQL = r"""
+WITH turn AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (  -- crc32 of the decimal id, bit by bit
+  SELECT c, c - c % 20 AS first, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT c FROM turn)),
+again AS (
+  SELECT conv.c, 0 AS own, place, role, text FROM conv JOIN turn ON turn.c = first AND place <= h
+  UNION ALL SELECT conv.c, 1, place, role, text FROM conv JOIN turn ON turn.c = conv.c AND place > h),
+seq AS (
+  SELECT conv.c, coalesce(list(ROW(role, text) ORDER BY own, place) FILTER (WHERE place IS NOT NULL), []) AS ts
+  FROM conv LEFT JOIN again ON again.c = conv.c GROUP BY conv.c),
+prefix AS (SELECT c, d, ts[:d] AS p, len(ts) = d AS last FROM (SELECT c, ts, unnest(range(len(ts) + 1)) AS d FROM seq)),
+node AS (
+  SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256
+  FROM prefix GROUP BY d, p),
+child AS (SELECT d - 1 AS d, p[:d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+valued AS (
+  SELECT node.d, node.p, node.conv_id, n_convs, ends_sha256, coalesce(n_children, 0) AS n_children,
+         CASE WHEN node.d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(node.p[node.d][2], '[^\x20\x09-\x0D]+')) END AS saved
+  FROM node LEFT JOIN child ON child.d = node.d AND child.p = node.p),
+total AS (
+  SELECT a AS d, p[:a] AS p, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT p, saved, n_children, unnest(range(d + 1)) AS a FROM valued) GROUP BY 1, 2)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, v.n_convs, CAST(v.n_children AS BIGINT) AS n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM valued v JOIN total ON total.d = v.d AND total.p = v.p LEFT JOIN node up ON up.d = v.d - 1 AND up.p = v.p[:v.d - 1]"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
