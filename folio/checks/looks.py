@@ -12,6 +12,7 @@ from folio.functions import tone as TN
 from folio.operators import projection as PR
 from folio.operators import raster as R
 from folio.operators import resample as RS
+from folio.operators import scanlines as SL
 from folio.plans import looks as LK
 from folio.sources import tables as T
 
@@ -118,7 +119,7 @@ GRID = [(d, b) for d in (20, 50, 80) for b in (0, 25)]
     SELECT image_id, count(*) AS n, {d} AS darkness, {b} AS brightness, count(*) FILTER (WHERE v <= (mean + CAST({b * 1.28!r} AS DOUBLE)) * (1 + CAST({S.k_for(d)!r} AS DOUBLE) * (sqrt(variance) / 128 - 1)) - CAST({b * 1.28!r} AS DOUBLE)) AS ink
     FROM f1_stats GROUP BY image_id""" for d, b in GRID))
 def _(spark, sf):
-    return LK.look_grid(R.local_stats(T.text_pixels(spark, sf), WINDOW), GRID)
+    return SL.look_grid(T.text_pages(spark, sf), WINDOW, GRID)
 
 
 @query("join_13_truth", "f1_stats", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folio.checks.base import query, view
 from folio.functions import settings as S
 from folio.operators import raster as R
+from folio.operators import scanlines as SL
 from folio.plans import analyze as A
 from folio.sources import tables as T
 
@@ -22,7 +23,7 @@ def by(df, *cols):
 
 @query("agg_01_histogram", "f1_hist", "SELECT image_id, v, n FROM f1_hist")
 def _(spark, sf):
-    return R.histogram(T.text_pixels(spark, sf))
+    return SL.histogram(T.text_pages(spark, sf))
 
 
 OTSU = """
@@ -39,7 +40,7 @@ OTSU = """
 
 @query("agg_02_otsu", "f1_hist", OTSU.format(hist="f1_hist"))
 def _(spark, sf):
-    return R.otsu(R.histogram(T.text_pixels(spark, sf)))
+    return R.otsu(SL.histogram(T.text_pages(spark, sf)))
 
 
 @query("agg_03_percentile_level", "f1_hist", """
@@ -47,14 +48,15 @@ def _(spark, sf):
     FROM (SELECT image_id, v, sum(n) OVER (PARTITION BY image_id ORDER BY v) AS acc, sum(n) OVER (PARTITION BY image_id) AS total
           FROM f1_hist) GROUP BY image_id""")
 def _(spark, sf):
-    return R.percentile_level(R.histogram(T.text_pixels(spark, sf)), 0.90)
+    d = T.text_pages(spark, sf).filter("h > 0")
+    return d.select("image_id", SL.of(SL.percentile_of, 0.90).alias("level"))
 
 
 @query("agg_04_box_downscale", "f1", f"""
     SELECT image_id, {DIGEST} FROM (SELECT image_id, y // 3 AS y, x // 3 AS x, sum(v) // 9 AS v FROM f1
       WHERE y // 3 < h // 3 AND x // 3 < w // 3 GROUP BY image_id, y // 3, x // 3) GROUP BY image_id""")
 def _(spark, sf):
-    return by(R.box_downscale(T.text_pixels(spark, sf), 3))
+    return SL.digest(SL.shrink(T.text_pages(spark, sf), 3))
 
 
 view("blank_inner", """
@@ -81,14 +83,14 @@ view("ink_share", """
 
 @query("agg_05_ink_percent", "ink_share", "SELECT image_id, round(ink_percent, 6) AS ink_percent FROM ink_share")
 def _(spark, sf):
-    d = A.ink_percent(T.text_images(spark, sf), T.text_pixels(spark, sf))
+    d = A.page_ink_percent(T.text_pages(spark, sf))
     return d.select("image_id", F.round("ink_percent", 6).alias("ink_percent"))
 
 
 @query("agg_06_is_blank", "ink_share",
        "SELECT image_id, round(ink_percent, 6) AS ink_percent, ink_percent < CAST(0.03 AS DOUBLE) AS is_blank FROM ink_share")
 def _(spark, sf):
-    d = A.ink_percent(T.text_images(spark, sf), T.text_pixels(spark, sf))
+    d = A.page_ink_percent(T.text_pages(spark, sf))
     return d.select("image_id", F.round("ink_percent", 6).alias("ink_percent"), A.is_blank(F.col("ink_percent")).alias("is_blank"))
 
 
@@ -128,7 +130,14 @@ view("bounds", """
 
 @query("agg_08_content_bounds", "bounds", "SELECT image_id, x0, y0, x1, y1 FROM bounds")
 def _(spark, sf):
-    return A.content_bounds(T.text_pixels(spark, sf))
+    return A.page_content_bounds(T.text_pages(spark, sf))
+
+
+def inked(spark, sf, area: int):
+    """``image_id, ink, specks`` of pages with ink at or under their own threshold."""
+    pages = T.text_pages(spark, sf).filter("h > 0")
+    d = pages.join(R.otsu(SL.histogram(pages)), "image_id")
+    return d.select("image_id", SL.of(SL.ink_of, F.col("threshold"), area).alias("d")).select("image_id", "d.*").filter("ink > 0 OR specks > 0")
 
 
 @query("agg_26_despeckle_count", "f1_hist", f"""
@@ -139,10 +148,8 @@ def _(spark, sf):
           AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND (b.y <> a.y OR b.x <> a.x)
           GROUP BY a.image_id, a.y, a.x) GROUP BY image_id""")
 def _(spark, sf):
-    px = T.text_pixels(spark, sf)
-    ink = px.join(R.otsu(R.histogram(px)), "image_id").filter(F.col("v") <= F.col("threshold"))
     area = S.area_for(100)
-    d = R.ink_after_specks(ink, area)
+    d = inked(spark, sf, area)
     # specks of one pixel at this resolution: the ink that was there before
     return d.select("image_id", (F.col("ink") + F.col("specks") * area).alias("ink"), "specks")
 
@@ -153,9 +160,7 @@ SPECK_AREA = 4
 @query("img_06_despeckle")
 def _(spark, sf):
     """Ink left and pieces removed at 200 dpi (at most four pixels); checked by flood fill in the tests."""
-    px = T.text_pixels(spark, sf)
-    ink = px.join(R.otsu(R.histogram(px)), "image_id").filter(F.col("v") <= F.col("threshold"))
-    return R.ink_after_specks(ink, SPECK_AREA)
+    return inked(spark, sf, SPECK_AREA)
 
 
 # --- windows -----------------------------------------------------------------------
@@ -179,16 +184,16 @@ view("f1_stats", stats_sql(WINDOW), ("f1",))
     SELECT image_id, count(*) AS n, CAST(sum(CAST(floor(mean * 1000) AS BIGINT)) AS BIGINT) AS mean_k,
            CAST(sum(CAST(floor(sqrt(variance) * 1000) AS BIGINT)) AS BIGINT) AS dev_k FROM f1_stats GROUP BY image_id""")
 def _(spark, sf):
-    d = R.local_stats(T.text_pixels(spark, sf), WINDOW)
-    return d.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("mean") * 1000)).alias("mean_k"),
-                                     F.sum(F.floor(F.sqrt("variance") * 1000)).alias("dev_k"))
+    d = SL.local_stats(T.text_pages(spark, sf).filter("h > 0"), WINDOW)
+    thousandths = lambda c, f: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + F.floor(f(x) * 1000))
+    return d.select("image_id", F.size("mean").cast("bigint").alias("n"), thousandths("mean", lambda x: x).alias("mean_k"), thousandths("variance", F.sqrt).alias("dev_k"))
 
 
 @query("win_02_sauvola", "f1_stats", f"""
     SELECT image_id, {DIGEST} FROM (SELECT image_id, y, x, CASE WHEN v <= mean * (1 + CAST(0.34 AS DOUBLE) * (sqrt(variance) / 128 - 1))
       THEN 0 ELSE 255 END AS v FROM f1_stats) GROUP BY image_id""")
 def _(spark, sf):
-    return by(R.sauvola(T.text_pixels(spark, sf), WINDOW, S.SAUVOLA_K))
+    return SL.digest(SL.sauvola(T.text_pages(spark, sf), WINDOW, S.SAUVOLA_K))
 
 
 def window_pair(fn: str, r: int, table: str, div: bool = False) -> str:

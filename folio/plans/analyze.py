@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import settings as S
 from folio.operators import raster as R
+from folio.operators import scanlines as SL
 
 
 def ink_percent(images: DataFrame, px: DataFrame, dpi: int = 100, max_speck: int = 2) -> DataFrame:
@@ -34,6 +35,19 @@ def ink_percent(images: DataFrame, px: DataFrame, dpi: int = 100, max_speck: int
         .otherwise(F.coalesce("ink", F.lit(0)) * F.lit(100.0) / (F.col("cw") * F.col("ch"))).alias("ink_percent"))
 
 
+def page_ink_percent(pages: DataFrame, dpi: int = 100, max_speck: int = 2) -> DataFrame:
+    """:func:`ink_percent` on pages of one row each (``image_id, w, h, vals``): no exchange, no row per pixel."""
+    w, h = F.col("w"), F.col("h")
+    mx, my = F.floor(w / 20), F.floor(h / 20)
+    small = SL.shrink(pages, S.factor_for(dpi)).withColumn("_fits", (w - 2 * mx >= 8) & (h - 2 * my >= 8))
+    inner = SL.cut(small, F.when(F.col("_fits"), mx).otherwise(0), F.when(F.col("_fits"), my).otherwise(0),
+                   F.when(F.col("_fits"), w - mx).otherwise(0), F.when(F.col("_fits"), h - my).otherwise(0))
+    inner = inner.withColumn("_paper", SL.of(SL.percentile_of, 0.90))
+    level = F.least(F.col("_paper") - 50, F.floor(F.col("_paper") * F.lit(0.7)).cast("int"))
+    inner = inner.withColumn("_ink", SL.of(SL.ink_of, level, max_speck)["ink"])
+    return inner.select("image_id", F.when(~F.col("_fits"), 100.0).otherwise(F.col("_ink") * F.lit(100.0) / (w * h)).alias("ink_percent"))
+
+
 def is_blank(ink: Column, max_percent: float = S.BLANK_INK_PERCENT) -> Column:
     return ink < F.lit(max_percent)
 
@@ -81,7 +95,32 @@ def content_bounds(px: DataFrame, dpi: int = 100) -> DataFrame:
     lr = lr.withColumns({
         "left": F.least(F.coalesce("first_light", lim_x), lim_x).cast("int"),
         "right": F.greatest(F.coalesce(F.col("last_light") + 1, F.col("w") - lim_x), F.col("w") - lim_x).cast("int")})
-    d = lr.join(full, "image_id")
+    return _full_size(lr.join(full, "image_id"), f)
+
+
+def page_content_bounds(pages: DataFrame, dpi: int = 100) -> DataFrame:
+    """:func:`content_bounds` on pages of one row each: dark pixels are counted along rows, then along columns between the kept rows."""
+    f = S.factor_for(dpi)
+    s = SL.shrink(pages.filter("h > 0").withColumns({"fw": F.col("w"), "fh": F.col("h")}), f).filter("w > 0 AND h > 0")
+    s = s.withColumn("_level", F.greatest(F.lit(40), F.floor(SL.of(SL.percentile_of, 0.90) / 2).cast("int")))
+    s = s.withColumn("_dark", SL.of(SL.dark_rows_of, F.col("_level")))
+    s = s.withColumns(_kept(F.col("_dark"), F.col("w"), F.col("h"), "top", "bottom"))
+    s = s.withColumn("_dark", SL.of(SL.dark_columns_of, F.col("_level"), F.struct("top", "bottom")))
+    s = s.withColumns(_kept(F.col("_dark"), F.col("bottom") - F.col("top"), F.col("w"), "left", "right"))
+    return _full_size(s, f)
+
+
+def _kept(dark: Column, across: Column, n: Column, first: str, last: str) -> dict[str, Column]:
+    """First and last light line by counts of dark pixels; never more than a quarter from either end."""
+    light = F.transform(dark, lambda c: c <= across * F.lit(0.6))
+    quarter = F.floor(n / 4).cast("int")
+    head, tail = F.array_position(light, True).cast("int") - 1, n - F.array_position(F.reverse(light), True).cast("int") + 1
+    return {first: F.least(F.when(head >= 0, head).otherwise(quarter), quarter).cast("int"),
+            last: F.greatest(F.when(tail <= n, tail).otherwise(n - quarter), n - quarter).cast("int")}
+
+
+def _full_size(d: DataFrame, f: int) -> DataFrame:
+    """Kept rows and columns of the shrunk page (``w, h``) in pixels of the full one (``fw, fh``)."""
     none = (F.col("top") == 0) & (F.col("left") == 0) & (F.col("bottom") == F.col("h")) & (F.col("right") == F.col("w"))
     one = lambda c: F.when(F.col(c) > 0, (F.col(c) + 1) * f).otherwise(0)
     x0, y0 = F.least(F.col("fw") - 1, one("left")), F.least(F.col("fh") - 1, one("top"))

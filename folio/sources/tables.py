@@ -6,6 +6,8 @@ native expressions only. No row is dropped and no text is cut.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,21 @@ def text_pixels(spark: SparkSession, sf: str) -> DataFrame:
                      F.col("i").bitwiseAND(63).alias("x"), v.cast("int").alias("v"))
 
 
+def text_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """``image_id, w, h, vals``: the text rasters, one row per page with all its levels."""
+    def drawn(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            cp = np.frombuffer((t.as_py() or "").encode("utf-32-le"), np.uint32)
+            cp = np.pad(cp, (0, -len(cp) % WIDTH), constant_values=32)
+            out.append(np.where(cp <= 32, 255, np.where(cp < 97, 20 + cp % 60, 215 + cp % 30)).astype(np.uint8).tobytes())
+        return pa.array(out, pa.binary())
+
+    d = by_image(read(spark, sf, "documents").select(F.col("doc_id").alias("image_id"), "text").filter("text IS NOT NULL"))
+    return d.select("image_id", F.lit(WIDTH).alias("w"), F.ceil(F.length("text") / WIDTH).cast("int").alias("h"),
+                    F.arrow_udf(drawn, returnType="binary")("text").alias("vals"))
+
+
 # --- F2: 8x8 tiles -----------------------------------------------------------------
 
 def tile_pixels(spark: SparkSession, sf: str) -> DataFrame:
