@@ -1,11 +1,11 @@
 """Exact top-k inner products by MaxScore over shards of signed postings.
 
-A vector of integers is a document whose terms are its components with their signs: term
-(j, +) holds the vectors with a positive component j, term (j, -) those with a negative one,
-each with the size of the component as its impact. A query's terms are its own signed
-components; what it meets with the other sign can only lower a score. Vectors are dealt to
-shards of bounded size, each with its postings and the largest impact of every term, so that
-a query's term adds at most ``bound = |q| * largest impact`` within a shard.
+A vector of integers is a document whose terms are its components: term j holds the vectors
+with a component j that is not zero, with the component as its impact, which may be negative.
+Vectors are dealt to shards of bounded size, each with its postings and the largest and
+smallest impact of every term, so that a query's term adds at most ``bound = max(q * largest,
+q * smallest, 0)`` within a shard. A list that holds a good part of the shard is kept as a
+whole column.
 
 For each query and shard: terms are ordered by their bounds; those at the end whose bounds
 together stay below the query's k-th best score so far are non-essential, because a vector
@@ -48,6 +48,8 @@ SHARD, BLOCK, ROWS = 1 << 18, 1 << 16, 1 << 14
 GROUP, GROUPS = 4, 256
 #: Rows scored in full before there is a k-th best score, and terms probed between two looks at the candidates.
 SEED, PROBE = 256, 8
+#: A list with more than one in so many rows of its shard is a whole column.
+SPARSE = 8
 
 PACKED = "block int, n int, dim int, uids binary, ids binary, none binary, matrix binary, width int"
 
@@ -104,49 +106,51 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 class Shard:
-    """Signed postings of a shard with the largest impact of each term; the rows themselves are kept for probing."""
+    """Postings of a shard with the extreme impacts of each term; dense lists as whole columns."""
 
     def __init__(self, ids: np.ndarray, none: np.ndarray, matrix: np.ndarray):
-        self.ids, self.none, self.matrix = ids, none, matrix
-        self.postings: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
-        self.most = np.zeros((matrix.shape[1], 2), np.int64)
-        for j in range(matrix.shape[1]):
-            for positive in (False, True):
-                impact = matrix[:, j] if positive else -matrix[:, j]
-                rows = np.flatnonzero(impact > 0)
-                self.postings[j, positive] = rows, impact[rows]
-                self.most[j, int(positive)] = impact[rows].max(initial=0)
+        self.ids, self.none = ids, none
         self.scale = float(np.abs(matrix.astype(float)).max(initial=0))
+        self.columns = np.ascontiguousarray(matrix.T)  # read by row when vectors are probed
+        self.low, self.high = (f(self.columns, axis=1, initial=0) for f in (np.min, np.max))
+        self.postings: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for c in self.columns:
+            rows = np.flatnonzero(c)
+            self.postings.append(None if SPARSE * len(rows) > len(c) else (rows, c[rows]))
 
-    def scored(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return self.matrix[rows] @ q
+    def fitted(self, q: np.ndarray) -> np.ndarray:
+        """The query with as many components as the shard has."""
+        dim = len(self.columns)
+        return np.concatenate([q[:dim], np.zeros(max(0, dim - len(q)), np.int64)])
+
+    def scored(self, q: np.ndarray, rows: slice) -> np.ndarray:
+        return q @ self.columns[:, rows] if len(q) else np.zeros(len(self.ids[rows]), np.int64)
 
     def reaching(self, q: np.ndarray, least: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Rows whose score may be ``least`` or more and their scores, by MaxScore; all rows without ``least``."""
-        dim = self.matrix.shape[1]
-        q = np.concatenate([q[:dim], np.zeros(max(0, dim - len(q)), np.int64)])
-        everything = np.arange(len(self.ids))
-        if least is None or least <= 0 or float(np.abs(q.astype(float)).max(initial=0)) * self.scale * max(1, dim) >= 2**62:
-            return everything, self.scored(q, everything)  # a vector in no list at all may be among the best
-        bound = np.abs(q) * self.most[np.arange(dim), (q > 0).astype(int)]
+        q = self.fitted(q)
+        most = float(np.abs(q.astype(float)).max(initial=0)) * self.scale * max(1, len(q))
+        if least is None or least <= 0 or most >= 2**62:
+            return np.arange(len(self.ids)), self.scored(q, slice(None))  # a vector in no list at all may be among the best
+        bound = np.maximum(np.maximum(q * self.low, q * self.high), 0)
         order = np.argsort(-bound, kind="stable")
         order = order[q[order] != 0]
         left = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])  # what the terms from here on can add
         essential = int(np.argmax(left < least))
-        total = np.zeros(len(self.ids), np.int64)
+        total, seen = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), bool)
         for j in order[:essential]:
-            rows, impact = self.postings[j, bool(q[j] > 0)]
-            total[rows] += abs(q[j]) * impact
-        rows = np.flatnonzero((total > 0) & (total + left[essential] >= least))
+            if self.postings[j] is None:
+                total += q[j] * self.columns[j]
+                seen |= self.columns[j] != 0
+            else:
+                rows, impact = self.postings[j]
+                total[rows] += q[j] * impact
+                seen[rows] = True
+        rows = np.flatnonzero(seen & (total + left[essential] >= least))
         total = total[rows]
-        for at in range(0, essential, PROBE):  # the other sign in the essential terms
-            js = order[at:min(at + PROBE, essential)]
-            total += np.minimum(self.matrix[np.ix_(rows, js)] * np.sign(q[js]), 0) @ np.abs(q[js])
-            going = total + left[essential] >= least
-            rows, total = rows[going], total[going]
         for at in range(essential, len(order), PROBE):
-            js = order[at:at + PROBE]
-            total += self.matrix[np.ix_(rows, js)] @ q[js]
+            for j in order[at:at + PROBE]:
+                total += q[j] * self.columns[j][rows]
             going = total + left[min(at + PROBE, len(order))] >= least
             rows, total = rows[going], total[going]
         return rows, total
@@ -182,8 +186,7 @@ def search(shard: Shard, q: np.ndarray, own: int, found: Best) -> None:
     begin = 0
     if found.least is None:
         begin = min(SEED, len(shard.ids))
-        q0 = np.concatenate([q[:shard.matrix.shape[1]], np.zeros(max(0, shard.matrix.shape[1] - len(q)), np.int64)])
-        add(np.arange(begin), shard.scored(q0, np.arange(begin)))
+        add(np.arange(begin), shard.scored(shard.fitted(q), slice(begin)))
     rows, scores = shard.reaching(q, found.least)
     add(rows[rows >= begin], scores[rows >= begin])
 
@@ -245,7 +248,7 @@ def top(vectors: DataFrame, k: int = TOP, every: int = EVERY, id_col: str = "vec
     shards = _packed(rows, n_shards, "shards").withColumn("query", F.lit(False)).withColumn("meets", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     queries = queries.withColumn("cell", F.col("block").cast("long") * n_groups + F.col("meets"))
     shards = shards.withColumn("cell", F.col("meets").cast("long") * n_groups + F.floor(F.col("block") / group))
-    cells = queries.unionByName(shards).repartition(min(2 * n_blocks * n_groups, 50_000), "cell").sortWithinPartitions("cell", F.col("query").desc())
+    cells = queries.unionByName(shards).repartitionByRange(min(n_blocks * n_groups, 50_000), "cell").sortWithinPartitions("cell", F.col("query").desc())
     found = cells.mapInArrow(_searcher(k), "uid long, query_id long, vec_id long, score long")
     order = [F.col("score").desc(), F.col("vec_id").asc_nulls_last()]
     return best(found, ["uid"], order, k).select("query_id", "rank", "vec_id", "score")
