@@ -45,7 +45,7 @@ from folio.llm.common import SPACE, column, ranked, staged
 #: Conversations of a group, and the largest number of turns taken from the group's first one.
 GROUP, SHARED = 20, 3
 #: Nodes of a component that a task decomposes to the end; turns of a chunk of running sums; ids of a string.
-LOCAL, STEP, CHUNK = 400, 4096, 8192
+LOCAL, STEP, CHUNK = 200, 4096, 8192
 #: A round at least halves what it starts from.
 MOST_ROUNDS = 64
 
@@ -271,14 +271,15 @@ def rollup(nodes: DataFrame, path: DataFrame, local: int = LOCAL) -> DataFrame:
     going = nodes.select(*_NODE, "up1", "up2", "conv", (F.col("n_children") == 0).cast("long").alias("leaves"), ((F.col("n_convs") - 1) * F.col("words")).alias("saved"),
                          "size", zero.alias("more_leaves"), zero.alias("more_saved"), zero.alias("top1"), zero.alias("top2"), zero.alias("topd"))
     done, small = [], []
+    going = staged(going.withColumn("held", F.lit(nodes.count())), "pieces")  # one component
     for _ in range(MOST_ROUNDS):
-        count = going.groupBy(*_PIECE).agg(F.count(F.lit(1)).alias("held"))
-        going = staged(going.join(count, _PIECE), "pieces")
         small.append(going.filter(F.col("held") <= local).drop("held"))
         going = going.filter(F.col("held") > local).drop("held")
         if not going.take(1):
             break
         going, cut = _round(going, path)
+        count = going.groupBy(*_PIECE).agg(F.count(F.lit(1)).alias("held"))
+        going = staged(going.join(count, _PIECE), "pieces")
         done.append(cut)
     else:
         raise RuntimeError("sizes do not halve")
