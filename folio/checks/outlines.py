@@ -11,6 +11,7 @@ from folio.functions import geometry as G
 from folio.operators import edges as E
 from folio.operators import outline as OL
 from folio.operators import raster as R
+from folio.operators import sides as SD
 from folio.operators import support as SU
 from folio.session import checkpointed
 from folio.sources import tables as T
@@ -356,3 +357,32 @@ def _(spark, sf):
     """The sheet in every mosaic picture with the settings of the live camera."""
     d = SU.detect_outline(epx(spark, sf), frame_borders=False, edge=320, most_lines=40, most_scored=200)
     return d.select("image_id", F.transform("quad", lambda v: F.round(v, 6)).alias("quad"), F.round("confidence", 6).alias("confidence"), "found")
+
+
+# --- refining an outline -----------------------------------------------------------
+
+# one sheet per supplier: true corners t0..t7 and the rough ones c0..c7
+_SHEET = ["72 + k % 9", "58 + n % 7", "568 - b % 11", "62 + k % 5", "562 + n % 6", "424 - b % 8", "78 - k % 7", "418 + b % 6"]
+view("sheet", f"""
+    SELECT k AS image_id, {', '.join(f"{q} AS t{i}, {q} + 6 * ((k + {i}) % 3 - 1) AS c{i}" for i, q in enumerate(_SHEET))}, {', '.join(f"(n + {i}) % 3 - 1 AS bend{i // 2}" for i in (0, 2, 4, 6))}
+    FROM (SELECT s_suppkey AS k, s_nationkey AS n, CAST(floor(abs(s_acctbal)) AS BIGINT) AS b FROM supplier)""")
+
+
+def corner_gap(a, b):
+    return F.greatest(*[G.dist(p, q) for p, q in zip(G.corners(a), G.corners(b))])
+
+
+@query("img_09_refine_outline", "sheet", f"""
+    SELECT image_id, round(greatest({', '.join(f"sqrt((t{i} - c{i}) * (t{i} - c{i}) + (t{i + 1} - c{i + 1}) * (t{i + 1} - c{i + 1}))" for i in (0, 2, 4, 6))}) / 800, 6) AS rough,
+           true AS within, true AS better, 4 AS refined, CAST(abs(bend0) + abs(bend1) + abs(bend2) + abs(bend3) AS INTEGER) AS bent_sides, true AS bends_near FROM sheet""")
+def _(spark, sf):
+    """Sheets of known outline from rough ones: corners within 1 % of the diagonal and better than before, bulges found where they are."""
+    pages = T.sheet_pages(spark, sf)
+    found = SD.refine_outline(pages.withColumn("quad", Q("coarse"))).select("image_id", Q("quad").alias("found"), Q("bends").alias("fb"), "refined")
+    d = found.join(T.sheet_outlines(spark, sf), "image_id")
+    diagonal = G.diagonal(Q("w"), Q("h"))
+    rough, now = corner_gap(Q("coarse"), Q("quad")) / diagonal, corner_gap(Q("found"), Q("quad")) / diagonal
+    bulge = lambda b, i: F.coalesce(b[2 * i] + b[2 * i + 1] / 2, F.lit(0.0))  # noqa: E731  four times the offset in the middle
+    bent = sum((F.abs(bulge(Q("fb"), i)) > 0.015).cast("int") for i in range(4))
+    near = F.greatest(*[F.abs(bulge(Q("fb"), i) - bulge(Q("bends"), i)) for i in range(4)]) <= 0.02
+    return d.select("image_id", F.round(rough, 6).alias("rough"), (now <= 0.01).alias("within"), (now < rough).alias("better"), "refined", bent.alias("bent_sides"), near.alias("bends_near"))

@@ -66,6 +66,17 @@ def per_page(kernel: Callable, kind: T.DataType, planes: int = 1) -> Callable[..
     return call
 
 
+def per_row(kernel: Callable, kind: T.DataType) -> Callable[..., Column]:
+    """A column function that gives ``kernel(*values)`` for each row of narrow columns; null where the first is null."""
+    arrow = to_arrow_type(kind)
+
+    def run(args: pa.Array) -> pa.Array:
+        rows = [list(a.values()) for a in args.to_pylist()]
+        return pa.array([None if r[0] is None else kernel(*r) for r in rows], arrow)
+
+    return lambda *cols: F.arrow_udf(run, returnType=kind)(F.struct(*[c.alias(f"a{i}") for i, c in enumerate(cols)]))
+
+
 def of(f: Callable[..., Column], *more, vals: str = "vals", w: str | Column = "w", h: str | Column = "h") -> Column:
     """``f`` on the page columns, plain numbers as literals."""
     col = lambda c: F.col(c) if isinstance(c, str) else c

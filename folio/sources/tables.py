@@ -113,6 +113,50 @@ def mosaic_pixels(spark: SparkSession, sf: str) -> DataFrame:
                     F.coalesce("v", F.lit(255)).alias("v")))
 
 
+# --- sheets of known outline -------------------------------------------------------
+
+SHEET_W, SHEET_H = 640, 480
+
+
+def sheet_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """``image_id, w, h, quad, bends, coarse``: one sheet per supplier, its true outline and a rough one some pixels off."""
+    k, n, b = F.col("s_suppkey"), F.col("s_nationkey"), F.floor(F.abs("s_acctbal")).cast("bigint")
+    quad = [72 + k % 9, 58 + n % 7, 568 - b % 11, 62 + k % 5, 562 + n % 6, 424 - b % 8, 78 - k % 7, 418 + b % 6]
+    off = [(k + i) % 3 - 1 for i in range(8)]  # up to six pixels
+    bend = [(n + i) % 3 - 1 if i % 2 == 0 else F.lit(0) for i in range(8)]
+    d = lambda c, by=1.0: (c * by).cast("double")
+    return read(spark, sf, "supplier").select(
+        k.alias("image_id"), F.lit(SHEET_W).alias("w"), F.lit(SHEET_H).alias("h"), F.array(*[d(q) for q in quad]).alias("quad"),
+        F.array(*[d(x, 0.03) for x in bend]).alias("bends"), F.array(*[d(q + 6 * o) for q, o in zip(quad, off)]).alias("coarse"))
+
+
+def _draw_sheet(image_id: int, w: int, h: int, quad: list[float], bends: list[float]) -> bytes:
+    """A pale sheet with lines of text on a darker table, soft at its border; sides bulge by ``bends``."""
+    q = np.array(quad).reshape(4, 2)
+    y, x = np.mgrid[0:h, 0:w] + 0.5
+    depth = np.full((h, w), np.inf)
+    for i in range(4):
+        a, side = q[i], q[(i + 1) % 4] - q[i]
+        n = np.hypot(*side)
+        t = np.clip(((x - a[0]) * side[0] + (y - a[1]) * side[1]) / n**2, 0, 1)
+        outward = ((x - a[0]) * side[1] - (y - a[1]) * side[0]) / n
+        depth = np.minimum(depth, t * (1 - t) * (bends[2 * i] + bends[2 * i + 1] * t) * n - outward)
+    rng = np.random.default_rng(image_id)
+    table, paper = np.array([70, 62, 50]) + image_id % 40, np.array([236, 232, 224]) - image_id % 12
+    img = table + np.clip(0.5 + depth / 3, 0, 1)[..., None] * (paper - table)
+    img[(depth > 14) & (y.astype(int) % 9 < 2) & (x.astype(int) % 13 < 9)] = (70, 70, 74)
+    return np.clip(img + rng.normal(0, 2, img.shape), 0, 255).astype(np.uint8).tobytes()
+
+
+def sheet_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The sheets of :func:`sheet_outlines` drawn: adds ``vals``, three bytes a pixel."""
+    def draw(rows: pa.Array) -> pa.Array:
+        return pa.array([_draw_sheet(**r) for r in rows.to_pylist()], pa.binary())
+
+    d = by_image(sheet_outlines(spark, sf))
+    return d.withColumn("vals", F.arrow_udf(draw, returnType="binary")(F.struct("image_id", "w", "h", "quad", "bends")))
+
+
 # --- F3: page batches --------------------------------------------------------------
 
 def batch_pages(spark: SparkSession, sf: str) -> DataFrame:
