@@ -169,11 +169,15 @@ def ad(a: str, b: str) -> str:
     return f"least(CASE WHEN abs({a} - {b}) >= pi() THEN abs({a} - {b}) - pi() ELSE abs({a} - {b}) END, pi() - CASE WHEN abs({a} - {b}) >= pi() THEN abs({a} - {b}) - pi() ELSE abs({a} - {b}) END)"
 
 
+# pairs come from each picture's own list of lines, so there is no join to plan
+view("ol_two", """
+    SELECT image_id, ls[i] AS a, ls[j] AS b FROM (SELECT image_id, ls, i, unnest(range(i + 1, len(ls) + 1)) AS j
+      FROM (SELECT image_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT image_id, list(l ORDER BY line_id) AS ls FROM ol_line l GROUP BY image_id)))""", ("ol_line",))
 view("ol_pair", f"""
-    SELECT a.image_id, a.line_id AS a_id, b.line_id AS b_id, a.theta AS ath, b.theta AS bth, a.rho AS ar, b.rho AS br, a.votes AS av, b.votes AS bv, a.strength AS ast, b.strength AS bst, a.is_border AS ab, b.is_border AS bb
-    FROM ol_line a JOIN ol_line b ON a.image_id = b.image_id AND a.line_id < b.line_id AND NOT (a.is_border AND b.is_border)
-    WHERE {ad('a.theta', 'b.theta')} <= radians(50.0::DOUBLE) AND abs((cos(a.theta) * 239.5 + sin(a.theta) * 179.5 - a.rho)
-      - (CASE WHEN cos(a.theta) * cos(b.theta) + sin(a.theta) * sin(b.theta) >= 0 THEN 1 ELSE -1 END) * (cos(b.theta) * 239.5 + sin(b.theta) * 179.5 - b.rho)) >= 0.15 * 360""", ("ol_line",))
+    SELECT image_id, a.line_id AS a_id, b.line_id AS b_id, a.theta AS ath, b.theta AS bth, a.rho AS ar, b.rho AS br, a.votes AS av, b.votes AS bv, a.strength AS ast, b.strength AS bst, a.is_border AS ab, b.is_border AS bb
+    FROM ol_two WHERE NOT (a.is_border AND b.is_border)
+      AND {ad('a.theta', 'b.theta')} <= radians(50.0::DOUBLE) AND abs((cos(a.theta) * 239.5 + sin(a.theta) * 179.5 - a.rho)
+      - (CASE WHEN cos(a.theta) * cos(b.theta) + sin(a.theta) * sin(b.theta) >= 0 THEN 1 ELSE -1 END) * (cos(b.theta) * 239.5 + sin(b.theta) * 179.5 - b.rho)) >= 0.15 * 360""", ("ol_two",))
 
 
 def ol_lines(spark, sf):

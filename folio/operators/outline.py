@@ -62,7 +62,7 @@ def line_pairs(lines: DataFrame) -> DataFrame:
     ``lines``: ``image_id, w, h, line_id, theta (radians), rho, votes, is_border, strength``.
     The join is on the picture, whose line count is capped by the line search.
     """
-    cols = ["line_id", "theta", "rho", "votes", "is_border", "strength"]
+    cols = ["line_id", "theta", "rho", "votes", "is_border", "strength", *(c for c in ("cover",) if c in lines.columns)]
     a = lines.select("image_id", "w", "h", F.struct(*cols).alias("a"))
     b = lines.select(F.col("image_id").alias("_i"), F.struct(*cols).alias("b"))
     cx, cy = (F.col("w") - 1) / 2.0, (F.col("h") - 1) / 2.0
@@ -118,12 +118,17 @@ def best_ranked(cands: DataFrame, most: int | None = None) -> DataFrame:
     return d if most is None else d.filter(F.col("rank") <= most)
 
 
-def quad_score(quad: Column, visible: Column, w: Column, h: Column, mean: Column, least: Column) -> Column:
-    """Final score from side supports: mean^1.5, weakest side, size, angles, share outside; 0 when a side has no edge."""
+def quad_shape(quad: Column, visible: Column, w: Column, h: Column) -> Column:
+    """What size, angles and the share outside the frame leave of a score."""
     area = visible / (w.cast("double") * h)
     outside = 1 - visible / F.greatest(F.lit(1.0), G.quad_area(quad))
     angle = 1 - clamp((F.degrees(G.max_angle_deviation(quad)) - 15) / 45, 0.0, 0.6)
-    shape = (0.35 + 0.65 * F.sqrt(area)) * angle * (1 - 0.3 * outside)
+    return (0.35 + 0.65 * F.sqrt(area)) * angle * (1 - 0.3 * outside)
+
+
+def quad_score(quad: Column, visible: Column, w: Column, h: Column, mean: Column, least: Column) -> Column:
+    """Final score from side supports: mean^1.5, weakest side, size, angles, share outside; 0 when a side has no edge."""
+    shape = quad_shape(quad, visible, w, h)
     return F.when(least < 0.15, 0.0).otherwise(F.pow(mean, F.lit(1.5)) * (0.5 + 0.5 * least) * shape)
 
 
