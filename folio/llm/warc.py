@@ -237,8 +237,8 @@ def _row(fields: dict[str, str], block: bytes) -> tuple:
             _page(fields["warc-refers-to"]) if revisit else None, fields["warc-target-uri"])
 
 
-#: Rows of a result batch.
-BATCH = 4096
+#: Rows of a result batch, and tasks that read packages at most.
+BATCH, TASKS = 4096, 50_000
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +258,13 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """A row for each record of the packages that ``manifest`` names; a package is one task's work."""
-    packages = manifest.select("package").repartition("package")
-    return packages.mapInArrow(_reader, ROW)
+    """A row for each record of the packages that ``manifest`` names, in a task for each package up to ``TASKS``.
+
+    The number is given, so adaptive execution, which sees only the few bytes of the names,
+    does not merge the tasks.
+    """
+    packages = manifest.select("package")
+    return packages.repartition(max(1, min(packages.count(), TASKS))).mapInArrow(_reader, ROW)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:

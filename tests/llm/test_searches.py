@@ -252,3 +252,16 @@ def test_query_equals_sql(spark, sf, name):
     from harness import compare, duck
     result, _, _ = compare(spark, duck(sf), name, Q.QUERIES[name], Q.ORACLES[name], sf)
     assert result.startswith("ok"), result
+
+
+# ---- reading packages
+
+
+def test_packages_are_read_in_more_than_one_task(spark, monkeypatch):
+    from folio.llm import warc
+    pages = spark.range(200).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), "id").alias("url"), F.concat(F.lit("text "), "id").alias("html"))
+    manifest = warc.write(pages.repartition(40))
+    assert manifest.count() >= 20
+    read = warc.read(spark, manifest).withColumn("task", F.spark_partition_id())
+    assert read.count() == 200 and read.select("page_id").distinct().count() == 200
+    assert read.select("task").distinct().count() >= 10
