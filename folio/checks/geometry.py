@@ -271,6 +271,18 @@ def side_point_sql(side: int, t: str) -> tuple[str, str]:
     return (f"(x{i}+{dx}*({t})+{inward}*(-{dy})*{off})", f"(y{i}+{dy}*({t})+{inward}*{dx}*{off})")
 
 
+_ON = [side_point_sql(s, f"({i} / 16.0::DOUBLE)") for s in range(4) for i in range(17)]
+view("f7_bent_plan", PLAN.replace("FROM SOURCE", f"""FROM (SELECT *, least({', '.join(p[0] for p in _ON)}) AS px_lo, least({', '.join(p[1] for p in _ON)}) AS py_lo,
+    greatest({', '.join(p[0] for p in _ON)}) AS px_hi, greatest({', '.join(p[1] for p in _ON)}) AS py_hi FROM (SELECT *, d * 2 - 0.1 AS ba, t * 3 AS bb FROM f7_size))"""), ("f7_size",))
+
+
+@query("sca_18_bent_crop_plan", "f7_bent_plan", f"""SELECT {K}, rx0 AS region_x, ry0 AS region_y, rw AS region_w, rh AS region_h, sample, out_w, out_h FROM f7_bent_plan""")
+def _(spark, sf):
+    d = cases(spark, sf).withColumn("bends", F.array(*([Q("d") * 2 - 0.1, Q("t") * 3] * 4)))
+    d = G.with_crop_plan(d, bends="bends")
+    return d.select(*KEYS, "region_x", "region_y", "region_w", "region_h", "sample", "out_w", "out_h")
+
+
 @query("sca_19_bends", "f7", f"""
     SELECT {K}, round(t * (1 - t) * (ba + bb * t), 6) AS off, {', '.join(f"round({side_point_sql(s, 'q/51')[0]}, 3) AS px{s}, round({side_point_sql(s, 'q/51')[1]}, 3) AS py{s}" for s in range(4))},
            round(bb, 6) AS turned FROM (SELECT *, d * 2 - 0.1 AS ba, t * 3 AS bb FROM f7)""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.checks.base import query, view
+from folio.checks.base import VIEWS, query, view
 from folio.checks.raster import DIGEST, OTSU, WINDOW, by, window_pair
 from folio.functions import geometry as G
 from folio.functions import settings as S
@@ -12,6 +12,7 @@ from folio.functions import tone as TN
 from folio.operators import projection as PR
 from folio.operators import raster as R
 from folio.operators import resample as RS
+from folio.operators import sampling as SM
 from folio.operators import scanlines as SL
 from folio.plans import looks as LK
 from folio.sources import tables as T
@@ -157,8 +158,7 @@ def bilinear_sql(src: str, w: str, h: str) -> str:
             FROM (SELECT DISTINCT image_id FROM f2_mosaic) CROSS JOIN (SELECT unnest(range(28)) AS ox) CROSS JOIN (SELECT unnest(range(20)) AS oy))
     SELECT image_id, {DIGEST} FROM (SELECT image_id, y, x, CAST(floor(level + 0.5) AS INTEGER) AS v FROM ({bilinear_sql('small', '32', '32')})) GROUP BY image_id""")
 def _(spark, sf):
-    px, images = mosaic(spark, sf)
-    return by(RS.resize(px, images, F.lit(28), F.lit(20)))
+    return SL.digest(SM.resize(T.mosaic_pages(spark, sf), F.lit(28), F.lit(20)))
 
 
 @query("img_14_thumbs", "f1 f1_image", f"""
@@ -169,7 +169,8 @@ def _(spark, sf):
             FROM (SELECT *, unnest(range(ow)) AS ox FROM (SELECT *, unnest(range(oh)) AS oy FROM sf)))
     SELECT image_id, {DIGEST} FROM (SELECT image_id, y, x, CAST(floor(level + 0.5) AS INTEGER) AS v FROM ({bilinear_sql('small', 'p0.sw', 'p0.sh').replace('p0.sw', 'sw').replace('p0.sh', 'sh')})) GROUP BY image_id""")
 def _(spark, sf):
-    return by(LK.thumbs(T.text_pixels(spark, sf), T.text_images(spark, sf).filter("h > 0"), 48))
+    pages = T.text_pages(spark, sf).filter("h > 0")
+    return SL.digest(SM.resize(pages, *G.fit_long_edge(Q("w"), Q("h"), 48)))
 
 
 WQ = ["5.0 + image_id % 3", "4.0", "60.0", "2.0 + image_id % 5", "66.0", "61.5", "3.0", "58.0 - image_id % 4"]
@@ -188,9 +189,45 @@ view("warp_pos", f"""
     , pos AS (SELECT * FROM warp_pos)
     SELECT image_id, {DIGEST} FROM (SELECT image_id, y, x, CAST(floor(avg(CASE WHEN inside THEN level ELSE 255 END) + 0.5) AS INTEGER) AS v FROM ({bilinear_sql('f2_mosaic', '64', '64')}) GROUP BY image_id, y, x) GROUP BY image_id""")
 def _(spark, sf):
-    px, images = mosaic(spark, sf)
-    quad = F.array(*[F.expr(w).cast("double") for w in WQ])
-    return by(RS.warp(px, images, quad, F.lit(40), F.lit(44)))
+    return SL.digest(SM.warp(T.mosaic_pages(spark, sf), warp_quad(), F.lit(40), F.lit(44)))
+
+
+def warp_quad():
+    return F.array(*[F.expr(w).cast("double") for w in WQ])
+
+
+# bulges of the sides: outward, inward and flat ones
+BEND = ["(image_id % 5 - 2) * 0.05", "0.02", "0.06", "-0.04", "(image_id % 3 - 1) * 0.07", "0.0", "-0.05", "(image_id % 2) * 0.08"]
+
+
+def shift_sql(side: int, axis: str) -> str:
+    """Displacement of the point of a side that the border point (bx, by) of the result comes from."""
+    i, j = side, (side + 1) % 4
+    bx, by = {0: ("ox + 0.5::DOUBLE", "0"), 2: ("ox + 0.5::DOUBLE", "44"), 3: ("0", "oy + 0.5::DOUBLE"), 1: ("40", "oy + 0.5::DOUBLE")}[side]
+    at = lambda u, v, c: f"(({u} * ({bx}) + {v} * ({by}) + {c}0) / (g * ({bx}) + k * ({by}) + 1))"
+    dx, dy = f"(x{j} - x{i})", f"(y{j} - y{i})"
+    t = f"least(greatest((({at('a', 'b', 'x')} - x{i}) * {dx} + ({at('d', 'e', 'y')} - y{i}) * {dy}) / ({dx} * {dx} + {dy} * {dy}), 0), 1)"
+    sign = f"(CASE WHEN -{dy} * ((x0+x1+x2+x3)/4 - x{i}) + {dx} * ((y0+y1+y2+y3)/4 - y{i}) > 0 THEN -1 ELSE 1 END)"
+    return f"({sign} * {f'(-{dy})' if axis == 'x' else dx} * {t} * (1 - {t}) * (ba{side} + bb{side} * {t}))"
+
+
+def blend_sql(axis: str) -> str:
+    u, v = "((ox + 0.5::DOUBLE) / 40)", "((oy + 0.5::DOUBLE) / 44)"
+    return f"((1 - {v}) * {shift_sql(0, axis)} + {v} * {shift_sql(2, axis)} + (1 - {u}) * {shift_sql(3, axis)} + {u} * {shift_sql(1, axis)})"
+
+
+_FLAT = VIEWS["warp_pos"][1]
+view("bent_pos", "SELECT image_id, oy, ox, sub, sx, sy, sx >= -0.5 AND sy >= -0.5 AND sx <= 63.5 AND sy <= 63.5 AS inside FROM ("
+     + f"SELECT image_id, oy, ox, sub, (a * px + b * py + x0) / (g * px + k * py + 1) - 0.5 + {blend_sql('x')} AS sx, (d * px + e * py + y0) / (g * px + k * py + 1) - 0.5 + {blend_sql('y')} AS sy FROM ("
+     + f"SELECT *, {', '.join(f'CAST({b} AS DOUBLE) AS b{chr(97 + i % 2)}{i // 2}' for i, b in enumerate(BEND))} FROM (" + _FLAT[_FLAT.index("SELECT *, (x1 - x0 + gg"):].rstrip()[:-1] + "))", ("f2_mosaic",))
+
+
+@query("join_09_curved_warp", "bent_pos", f"""
+    , pos AS (SELECT * FROM bent_pos)
+    SELECT image_id, {DIGEST} FROM (SELECT image_id, y, x, CAST(floor(avg(CASE WHEN inside THEN level ELSE 255 END) + 0.5) AS INTEGER) AS v FROM ({bilinear_sql('f2_mosaic', '64', '64')}) GROUP BY image_id, y, x) GROUP BY image_id""")
+def _(spark, sf):
+    bends = F.array(*[F.expr(b).cast("double") for b in BEND])
+    return SL.digest(SM.warp(T.mosaic_pages(spark, sf), warp_quad(), F.lit(40), F.lit(44), bends))
 
 
 @query("img_05_apply_ops", "f2_mosaic", f"""

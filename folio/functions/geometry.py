@@ -348,10 +348,22 @@ def with_crop_plan(df: DataFrame, quad: str = "quad", w: str = "w", h: str = "h"
     if bends is None:
         xs, ys = [p[0] for p in corners(q)], [p[1] for p in corners(q)]
     else:
-        pts = [point_on_side(q, F.col(bends), s, F.lit(i / 16.0)) for s in range(4) for i in range(17)]
         flat = F.forall(bends, lambda v: v == 0) | F.col(bends).isNull()
-        d = d.withColumns({"_xs": F.when(~flat, F.array(*[p[0] for p in pts])).otherwise(F.array(*[p[0] for p in corners(q)])),
-                           "_ys": F.when(~flat, F.array(*[p[1] for p in pts])).otherwise(F.array(*[p[1] for p in corners(q)]))})
+        places, along = F.array(*[F.lit(i / 16.0) for i in range(17)]), {}
+        for s, (a, b) in enumerate(sides(q)):
+            n = outward_normal(q, s)
+            for k in (0, 1):
+                along[f"_s{s}{k}"] = F.struct(a[k].alias("a"), (b[k] - a[k]).alias("d"), (n[k] * n[2]).alias("n"))
+        d = d.withColumns(along)
+
+        def on(k: int) -> Column:
+            def of(s: int) -> Column:
+                part = F.col(f"_s{s}{k}")
+                return F.transform(places, lambda t: part["a"] + part["d"] * t + part["n"] * bend_offset(F.col(bends)[2 * s], F.col(bends)[2 * s + 1], t))
+
+            return F.concat(*[of(s) for s in range(4)])
+
+        d = d.withColumns({name: F.when(~flat, on(k)).otherwise(F.array(*[p[k] for p in corners(q)])) for name, k in (("_xs", 0), ("_ys", 1))}).drop(*along)
     lo = (lambda c: F.least(*c)) if bends is None else F.array_min
     hi = (lambda c: F.greatest(*c)) if bends is None else F.array_max
     xs, ys = (xs, ys) if bends is None else (F.col("_xs"), F.col("_ys"))

@@ -113,6 +113,26 @@ def mosaic_pixels(spark: SparkSession, sf: str) -> DataFrame:
                     F.coalesce("v", F.lit(255)).alias("v")))
 
 
+def mosaic_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The mosaics of :func:`mosaic_pixels`, one row per picture; tiles are put in place from at most 64 rows a picture."""
+    level = lambda e: F.least(F.greatest(F.floor(128 + 200 * e.cast("double")), F.lit(0)), F.lit(255)).cast("int")
+    e = read(spark, sf, "embeddings").select(
+        F.floor(F.col("vec_id") / 64).alias("image_id"), (F.col("vec_id") % 64).cast("int").alias("k"), F.transform("embedding", level).alias("tile"))
+    tiles = by_image(e).groupBy("image_id").agg(F.collect_list(F.struct("k", "tile")).alias("tiles"))
+
+    def placed(rows: pa.Array) -> pa.Array:
+        out = []
+        for tiles in rows.to_pylist():
+            img = np.full((64, 64), 255, np.uint8)
+            for t in tiles:
+                y, x = t["k"] // 8 * 8, t["k"] % 8 * 8
+                img[y:y + 8, x:x + 8] = np.array(t["tile"]).reshape(8, 8)
+            out.append(img.tobytes())
+        return pa.array(out, pa.binary())
+
+    return tiles.select("image_id", F.lit(64).alias("w"), F.lit(64).alias("h"), F.arrow_udf(placed, returnType="binary")("tiles").alias("vals"))
+
+
 # --- sheets of known outline -------------------------------------------------------
 
 SHEET_W, SHEET_H = 640, 480
