@@ -133,7 +133,7 @@ def with_views(needs: str, body: str) -> str:
         visit(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order) + "\n" + body
 
 
 def query(name: str, needs: str = "", sql: str | None = None):

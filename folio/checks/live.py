@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.checks.base import query
+from folio.checks.base import query, view
 from folio.checks.naming import full_pages, record
 from folio.functions import pages as P
 from folio.operators import ordered as O
@@ -34,7 +34,31 @@ def _(spark, sf):
     return f.select("session_id", "event_id", F.round("t", 6).alias("t"), Q("quad").isNotNull().alias("seen"), F.round("confidence", 6).alias("confidence"))
 
 
-@query("str_01_capture_cues")
+# outlines of a session only shift by s along both axes; u is what the frame means to the session's state
+view("cue_frame", """
+    SELECT session_id, event_id, t, seen, s, row_number() OVER (PARTITION BY session_id ORDER BY t) AS k, NOT seen OR confidence < 0.5 AS barred,
+           list_transform(embedding, lambda x: CAST(least(greatest(floor(128 + 200 * CAST(x AS DOUBLE)), 0), 255) AS BIGINT)) AS sig
+    FROM f4 LEFT JOIN embeddings ON vec_id = event_id % (SELECT max(vec_id) + 1 FROM embeddings)""", ("f4",))
+_EVENT = """
+      SELECT f.*, p.mode, p.rs, p.rsig, p.since, p.gone, (f.t - p.since) / 0.9 AS share, CASE
+        WHEN NOT f.seen THEN CASE WHEN p.mode = 'taken' AND f.t - p.gone >= 0.5 THEN 'away' ELSE 'empty' END
+        WHEN p.mode = 'taken' AND sqrt(CAST(2 AS DOUBLE)) * abs(f.s - p.rs) <= 0.08
+          AND coalesce(CAST(list_sum(list_transform(list_zip(f.sig, p.rsig), lambda z: abs(z[1] - z[2]))) AS DOUBLE) / len(f.sig), 0) <= 14 THEN 'same'
+        WHEN f.barred THEN 'barred' WHEN p.mode = 'holding' AND sqrt(CAST(2 AS DOUBLE)) * abs(f.s - p.rs) <= 0.025 THEN CASE WHEN (f.t - p.since) / 0.9 >= 1 THEN 'ripe' ELSE 'still' END
+        ELSE 'fresh' END AS u
+      FROM cue_frame f JOIN PREVIOUS p ON p.session_id = f.session_id AND p.k + 1 = f.k"""
+_AFTER = """
+    SELECT session_id, event_id, k, u, CASE WHEN u IN ('fresh', 'still') THEN 'holding' WHEN u IN ('ripe', 'same') OR (u = 'empty' AND mode = 'taken') THEN 'taken' ELSE 'idle' END AS mode,
+           CASE WHEN u IN ('fresh', 'ripe') THEN s ELSE rs END AS rs, CASE WHEN u IN ('fresh', 'ripe') THEN sig ELSE rsig END AS rsig, CASE WHEN u IN ('fresh', 'ripe') THEN t ELSE since END AS since,
+           CASE WHEN NOT seen THEN coalesce(gone, t) END AS gone, CASE u WHEN 'ripe' THEN 1 WHEN 'still' THEN greatest(share, 0) ELSE 0 END AS progress, mode AS was FROM"""
+view("cue_run", f"""
+    SELECT session_id, NULL::BIGINT AS event_id, 0::BIGINT AS k, '' AS u, 'idle' AS mode, NULL::DOUBLE AS rs, NULL::BIGINT[] AS rsig, 0::DOUBLE AS since, NULL::DOUBLE AS gone, 0::DOUBLE AS progress, 'idle' AS was
+    FROM (SELECT DISTINCT session_id FROM cue_frame) UNION ALL {_AFTER} ({_EVENT.replace('PREVIOUS', 'cue_run')})""", ("cue_frame",))
+
+
+@query("str_01_capture_cues", "cue_run", """
+    SELECT session_id, event_id, CASE u WHEN 'ripe' THEN 'Capture' WHEN 'same' THEN 'Captured' WHEN 'empty' THEN CASE WHEN was = 'taken' THEN 'Captured' ELSE 'Searching' END
+      WHEN 'fresh' THEN 'Holding' WHEN 'still' THEN 'Holding' ELSE 'Searching' END AS cue, round(progress, 6) AS progress FROM cue_run WHERE k > 0""")
 def _(spark, sf):
     return CP.capture_cues(frames(spark, sf)).select("session_id", "event_id", "cue", F.round("progress", 6).alias("progress"))
 

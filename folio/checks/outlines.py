@@ -92,18 +92,19 @@ def _(spark, sf):
     return E.window_means(epx(spark, sf)).select("image_id", "y", "x", *[F.round(c, 6).alias(c) for c in "rgb"])
 
 
-view("estrong", """
-    SELECT *, CASE WHEN a >= pi() THEN a - pi() ELSE a END AS theta FROM (SELECT *, sqrt(CAST(m2 AS DOUBLE)) / 1024 AS mag, CASE WHEN atan2(gy, gx) < 0 THEN atan2(gy, gx) + pi() ELSE atan2(gy, gx) END AS a FROM ethin) WHERE mag >= 6""", ("ethin",))
+view("eall", """
+    SELECT *, greatest(6, min(mag) OVER (PARTITION BY image_id)) AS high, image_id * 10000000000 + y * 100000 + x AS key FROM (
+      SELECT *, sqrt(CAST(m2 AS DOUBLE)) / 1024 AS mag, CASE WHEN a >= pi() THEN a - pi() ELSE a END AS theta FROM (
+        SELECT *, CASE WHEN atan2(gy, gx) < 0 THEN atan2(gy, gx) + pi() ELSE atan2(gy, gx) END AS a FROM ethin))""", ("ethin",))
+# weak pixels that hang on strong ones, however far: a flood over neighbours
+view("eflood", f"""
+    SELECT key FROM eall WHERE mag >= high
+    UNION SELECT n.key FROM (SELECT key + dy * 100000 + dx AS near FROM eflood CROSS JOIN {NINE}) f JOIN eall n ON n.key = f.near WHERE n.mag >= greatest(3, 0.4::DOUBLE * n.high)""", ("eall",))
+view("elinked", "SELECT * FROM eall WHERE key IN (SELECT key FROM eflood)", ("eflood",))
 view("evotes", """
     SELECT image_id, t, CAST(round_even(x * cos(radians(t)) + y * sin(radians(t)), 0) AS INTEGER) AS rho, CAST(sum(wt) AS BIGINT) AS votes, count(*) AS n FROM (
       SELECT image_id, x, y, (CAST(round_even(theta * 180 / pi(), 0) AS INTEGER) % 180 + d + 180) % 180 AS t, 1 + CAST(floor(least(mag, 48)) AS INTEGER) // 4 AS wt
-      FROM estrong CROSS JOIN (SELECT unnest(range(-3, 4)) AS d)) GROUP BY 1, 2, 3""", ("estrong",))
-
-
-def strong(spark, sf):
-    d = E.thin(E.gradients(epx(spark, sf)))
-    d = d.withColumns({"theta": E.orientation(Q("gx"), Q("gy")), "mag": E.strength(Q("m2"))})
-    return d.filter(Q("mag") >= E.EDGE_FLOOR)
+      FROM elinked CROSS JOIN (SELECT unnest(range(-3, 4)) AS d)) GROUP BY 1, 2, 3""", ("elinked",))
 
 
 def linked(spark, sf):
@@ -113,29 +114,29 @@ def linked(spark, sf):
 
 @query("join_16_edge_by_theta", "evotes", "SELECT image_id, CAST(t AS INTEGER) AS t, CAST(sum(n) AS BIGINT) AS pixels, CAST(sum(votes) AS BIGINT) AS weight FROM evotes GROUP BY image_id, t")
 def _(spark, sf):
-    return E.by_theta(strong(spark, sf)).groupBy("image_id", "t").agg(F.count(F.lit(1)).alias("pixels"), F.sum("weight").alias("weight"))
+    return E.by_theta(linked(spark, sf)).groupBy("image_id", "t").agg(F.count(F.lit(1)).alias("pixels"), F.sum("weight").alias("weight"))
 
 
 @query("agg_13_hough_votes", "evotes", "SELECT image_id, CAST(t AS INTEGER) AS t, rho, votes FROM evotes")
 def _(spark, sf):
-    return E.hough_votes(strong(spark, sf)).select("image_id", "t", "rho", "votes")
+    return E.hough_votes(linked(spark, sf)).select("image_id", "t", "rho", "votes")
 
 
-@query("join_16_linked_edge_by_theta")
+@query("join_16_linked_edge_by_theta", "evotes", "SELECT image_id, CAST(t AS INTEGER) AS t, CAST(sum(n) AS BIGINT) AS pixels, CAST(sum(votes) AS BIGINT) AS weight FROM evotes GROUP BY image_id, t")
 def _(spark, sf):
-    """Votes by direction of all linked edges; checked against a flood fill in the tests. The query with SQL reads strong pixels only."""
+    """The same votes, kept under its own name."""
     return E.by_theta(linked(spark, sf)).groupBy("image_id", "t").agg(F.count(F.lit(1)).alias("pixels"), F.sum("weight").alias("weight"))
 
 
-@query("agg_13_linked_hough_votes")
+@query("agg_13_linked_hough_votes", "evotes", "SELECT image_id, CAST(t AS INTEGER) AS t, rho, votes FROM evotes")
 def _(spark, sf):
-    """Votes of all linked edges; checked against a flood fill in the tests. The query with SQL reads strong pixels only."""
+    """The same votes, kept under its own name."""
     return E.hough_votes(linked(spark, sf)).select("image_id", "t", "rho", "votes")
 
 
-@query("img_07_edge_map")
+@query("img_07_edge_map", "elinked", "SELECT image_id, y, x, round(theta, 6) AS theta, round(mag, 6) AS mag FROM elinked")
 def _(spark, sf):
-    """Edge pixels after linking; checked against a flood fill in the tests."""
+    """Edge pixels after linking."""
     d = linked(spark, sf)
     return d.select("image_id", "y", "x", F.round("theta", 6).alias("theta"), F.round("mag", 6).alias("mag"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +23,6 @@ RELEASE_MOVE = 0.08
 RELEASE_LOST = 0.5
 RELEASE_CHANGE = 14.0
 
-INIT = {"anchor": None, "since": 0.0, "locked": False, "lock_quad": None, "lock_sig": None, "lost": None}
-
-
 def touches_frame(q: Column) -> Column:
     return F.exists(q, lambda v: (v <= FRAME_MARGIN) | (v >= 1 - FRAME_MARGIN))
 
@@ -39,37 +37,65 @@ def with_gates(frames: DataFrame) -> DataFrame:
     return frames.withColumn("gate", gate_cue(F.col("quad"), F.col("confidence")))
 
 
-def _moved(a, b) -> float:
-    return max(math.hypot(a[i] - b[i], a[i + 1] - b[i + 1]) for i in range(0, 8, 2))
+# --- one session as a table of transitions -----------------------------------------
 
+#: ``(mode, event) -> (next mode, cue)``; a mode of None keeps the mode, a cue of None is the frame's own gate.
+#: ``idle``: nothing to hold on to; ``holding``: waiting for the frame remembered to stay still; ``taken``: the picture of it was taken.
+IDLE, HOLDING, TAKEN = "idle", "holding", "taken"
+TRANSITIONS = {
+    (IDLE, "empty"): (IDLE, "Searching"),
+    (IDLE, "barred"): (IDLE, None),
+    (IDLE, "fresh"): (HOLDING, "Holding"),
+    (HOLDING, "empty"): (IDLE, "Searching"),
+    (HOLDING, "barred"): (IDLE, None),
+    (HOLDING, "fresh"): (HOLDING, "Holding"),
+    (HOLDING, "still"): (HOLDING, "Holding"),
+    (HOLDING, "ripe"): (TAKEN, "Capture"),
+    (TAKEN, "empty"): (TAKEN, "Captured"),
+    (TAKEN, "same"): (TAKEN, "Captured"),
+    (TAKEN, "away"): (IDLE, "Searching"),
+    (TAKEN, "barred"): (IDLE, None),
+    (TAKEN, "fresh"): (HOLDING, "Holding"),
+}
+#: Events at which the frame itself is remembered.
+REMEMBERED = {"fresh", "ripe"}
+INIT = {"mode": IDLE, "quad": None, "sig": None, "at": 0.0, "gone": None}
 
-def step(s: dict, r) -> tuple[dict, tuple]:
-    """One frame (``t, quad, gate, sig``): the cue shown, and how far the hold has come."""
-    free = {"locked": False, "lock_quad": None, "lock_sig": None}
+
+def _apart(a, b) -> float:
+    """Largest move of a corner."""
+    return float(np.hypot(*(np.reshape(a, (4, 2)) - np.reshape(b, (4, 2))).T).max())
+
+
+def _unlike(a, b) -> float:
+    """Mean difference of two signatures; none where one is missing."""
+    return 0.0 if a is None or b is None else float(np.abs(np.subtract(a, b)).mean())
+
+
+def event(s: dict, r) -> tuple[str, float]:
+    """What a frame (``t, quad, gate, sig``) means to a session, and how far a hold has come."""
     if r.quad is None:
-        lost = r.t if s["lost"] is None else s["lost"]
-        s = s | {"anchor": None, "lost": lost}
-        if s["locked"] and r.t - lost >= RELEASE_LOST:
-            s = s | free
-        return s, ("Captured" if s["locked"] else "Searching", 0.0)
-    q = [float(v) for v in r.quad]
-    sig = None if r.sig is None else [int(v) for v in r.sig]
-    s = s | {"lost": None}
-    if s["locked"]:
-        moved = s["lock_quad"] is not None and _moved(q, s["lock_quad"]) > RELEASE_MOVE
-        known = sig is not None and s["lock_sig"] is not None
-        changed = known and sum(abs(a - b) for a, b in zip(sig, s["lock_sig"])) / len(sig) > RELEASE_CHANGE
-        if not moved and not changed:
-            return s, ("Captured", 0.0)
-        s = s | free
+        waited = s["mode"] == TAKEN and s["gone"] is not None and r.t - s["gone"] >= RELEASE_LOST
+        return ("away" if waited else "empty"), 0.0
+    apart = _apart(r.quad, s["quad"]) if s["mode"] != IDLE else math.inf
+    if s["mode"] == TAKEN and apart <= RELEASE_MOVE and _unlike(r.sig, s["sig"]) <= RELEASE_CHANGE:
+        return "same", 0.0
     if r.gate is not None:
-        return s | {"anchor": None}, (r.gate, 0.0)
-    if s["anchor"] is None or _moved(q, s["anchor"]) > STILL:
-        return s | {"anchor": q, "since": r.t}, ("Holding", 0.0)
-    progress = (r.t - s["since"]) / HOLD_SECONDS
-    if progress >= 1:  # the picture is taken at once: locked until the next page
-        return s | {"anchor": None, "locked": True, "lock_quad": q, "lock_sig": sig}, ("Capture", 1.0)
-    return s, ("Holding", max(0.0, progress))
+        return "barred", 0.0
+    if s["mode"] == HOLDING and apart <= STILL:
+        share = (r.t - s["at"]) / HOLD_SECONDS
+        return ("ripe", 1.0) if share >= 1 else ("still", max(0.0, share))
+    return "fresh", 0.0
+
+
+def step(s: dict, r) -> tuple[dict, tuple]:
+    """One frame: the state after it, the cue shown and the progress of the hold."""
+    what, share = event(s, r)
+    mode, cue = TRANSITIONS[s["mode"], what]
+    after = s | {"mode": mode, "gone": (r.t if s["gone"] is None else s["gone"]) if r.quad is None else None}
+    if what in REMEMBERED:
+        after |= {"quad": [float(v) for v in r.quad], "sig": None if r.sig is None else [int(v) for v in r.sig], "at": r.t}
+    return after, (cue or r.gate, share)
 
 
 OUT = "session_id long, event_id long, cue string, progress double"
@@ -94,9 +120,7 @@ CHANGE_OUT = "session_id long, event_id long, change double"
 
 
 def _change_step(s: dict, r) -> tuple[dict, tuple]:
-    sig = [int(v) for v in r.sig]
-    gap = None if s["sig"] is None else sum(abs(a - b) for a, b in zip(sig, s["sig"])) / len(sig)
-    return {"sig": sig}, (gap,)
+    return {"sig": [int(v) for v in r.sig]}, (None if s["sig"] is None else _unlike(r.sig, s["sig"]),)
 
 
 def frame_change_stream(frames: DataFrame) -> DataFrame:

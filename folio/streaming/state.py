@@ -19,14 +19,23 @@ from folio.session import shuffle_partitions
 Step = Callable[[dict, object], tuple[dict, tuple]]
 
 
-def stream(df: DataFrame, key: str, order: str, keep: list[str], step: Step, init: dict, out: str, columns: list[str]) -> DataFrame:
+#: A key without rows for so long (processing time) starts anew; its state is dropped.
+IDLE_MS = 30 * 60 * 1000
+
+
+def stream(df: DataFrame, key: str, order: str, keep: list[str], step: Step, init: dict, out: str, columns: list[str], idle_ms: int = IDLE_MS) -> DataFrame:
     """``key``, ``keep`` and the step's ``columns`` (schema ``out``) for each row of a stream.
 
     Rows of one micro-batch are put in order before they are stepped; keys are independent.
+    The state of a key that has been idle for ``idle_ms`` is removed, so the store holds live
+    keys only.
     """
     names = [key, *keep, *columns]
 
     def run(group, batches: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         s = json.loads(state.get[0]) if state.exists else dict(init)
         rows = pd.concat(list(batches)).sort_values(order)  # one micro-batch of one key
         res = []
@@ -34,9 +43,10 @@ def stream(df: DataFrame, key: str, order: str, keep: list[str], step: Step, ini
             s, o = step(s, r)
             res.append((group[0], *[getattr(r, c) for c in keep], *o))
         state.update((json.dumps(s),))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(res, columns=names)
 
-    return df.groupBy(key).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(key).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def batch(df: DataFrame, key: str, order: str, keep: list[str], step: Step, init: dict, out: str, columns: list[str]) -> DataFrame:

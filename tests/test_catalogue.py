@@ -228,3 +228,29 @@ def test_folders_signatures_and_renders(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     newest = C.latest(back.select("image_id", "revision").distinct(), "image_id", ["revision"]).first()
     assert back.count() == 6 and newest.revision == 2
+
+
+def test_state_of_idle_keys_is_dropped(spark, tmp_path):
+    import time
+
+    from folio.streaming import state as ST
+    schema = "k long, n long"
+    put = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "idle" / name))
+    put("a", [(1, 1), (2, 1)])
+    src = spark.readStream.schema(schema).parquet(str(tmp_path / "idle" / "*"))
+    step = lambda s, r: ({"seen": s["seen"] + 1}, (s["seen"] + 1,))
+    out = ST.stream(src, "k", "n", ["n"], step, {"seen": 0}, "k long, n long, seen long", ["seen"], idle_ms=1500)
+    q = out.writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp_idle")).trigger(processingTime="1 second").start()
+    try:
+        q.processAllAvailable()
+        for _ in range(40):  # both keys are idle until their time is up
+            time.sleep(1)
+            held = [op["numRowsTotal"] for op in q.lastProgress["stateOperators"]]
+            if held == [0]:
+                break
+        assert held == [0]
+        put("b", [(1, 2)])
+        q.processAllAvailable()
+        assert sorted((r.k, r.n, r.seen) for r in spark.table("idle").collect()) == [(1, 1, 1), (1, 2, 1), (2, 1, 1)]
+    finally:
+        q.stop()
