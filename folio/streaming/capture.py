@@ -101,11 +101,14 @@ def step(s: dict, r) -> tuple[dict, tuple]:
 OUT = "session_id long, event_id long, cue string, progress double"
 
 
-def capture_cues(frames: DataFrame, live: bool = False) -> DataFrame:
-    """``session_id, event_id, cue, progress`` for frames ``session_id, event_id, t, quad, confidence, sig``."""
+def capture_cues(frames: DataFrame, live: bool = False, idle_ms: int | None = None) -> DataFrame:
+    """``session_id, event_id, cue, progress`` for frames ``session_id, event_id, t, quad, confidence, sig``.
+
+    Live, ``idle_ms`` drops the state of sessions without frames for so long.
+    """
     f = with_gates(frames).select("session_id", "event_id", "t", "quad", "gate", "sig")
-    run = ST.stream if live else ST.batch
-    return run(f, "session_id", "t", ["event_id"], step, INIT, OUT, ["cue", "progress"])
+    args = f, "session_id", "t", ["event_id"], step, INIT, OUT, ["cue", "progress"]
+    return ST.stream(*args, idle_ms=idle_ms) if live else ST.batch(*args)
 
 
 def frame_change(frames: DataFrame) -> DataFrame:

@@ -19,16 +19,13 @@ from folio.session import shuffle_partitions
 Step = Callable[[dict, object], tuple[dict, tuple]]
 
 
-#: A key without rows for so long (processing time) starts anew; its state is dropped.
-IDLE_MS = 30 * 60 * 1000
-
-
-def stream(df: DataFrame, key: str, order: str, keep: list[str], step: Step, init: dict, out: str, columns: list[str], idle_ms: int = IDLE_MS) -> DataFrame:
+def stream(df: DataFrame, key: str, order: str, keep: list[str], step: Step, init: dict, out: str, columns: list[str], idle_ms: int | None = None) -> DataFrame:
     """``key``, ``keep`` and the step's ``columns`` (schema ``out``) for each row of a stream.
 
     Rows of one micro-batch are put in order before they are stepped; keys are independent.
-    The state of a key that has been idle for ``idle_ms`` is removed, so the store holds live
-    keys only.
+    With ``idle_ms`` the state of a key that has had no rows for so long (processing time) is
+    removed, so the store of a stream that runs on holds live keys only. Such a stream looks
+    for idle keys for ever and so suits a processing-time trigger, not ``availableNow``.
     """
     names = [key, *keep, *columns]
 
@@ -43,10 +40,11 @@ def stream(df: DataFrame, key: str, order: str, keep: list[str], step: Step, ini
             s, o = step(s, r)
             res.append((group[0], *[getattr(r, c) for c in keep], *o))
         state.update((json.dumps(s),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(res, columns=names)
 
-    return df.groupBy(key).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.groupBy(key).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def batch(df: DataFrame, key: str, order: str, keep: list[str], step: Step, init: dict, out: str, columns: list[str]) -> DataFrame:

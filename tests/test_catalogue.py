@@ -241,16 +241,19 @@ def test_state_of_idle_keys_is_dropped(spark, tmp_path):
     step = lambda s, r: ({"seen": s["seen"] + 1}, (s["seen"] + 1,))
     out = ST.stream(src, "k", "n", ["n"], step, {"seen": 0}, "k long, n long, seen long", ["seen"], idle_ms=1500)
     q = out.writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp_idle")).trigger(processingTime="1 second").start()
+    rows = lambda: sorted((r.k, r.n, r.seen) for r in spark.table("idle").collect())
+    held = lambda: [op["numRowsTotal"] for op in (q.lastProgress or {"stateOperators": []})["stateOperators"]]
+
+    def until(done):
+        for _ in range(60):
+            if done():
+                return True
+            time.sleep(0.5)
+
     try:
-        q.processAllAvailable()
-        for _ in range(40):  # both keys are idle until their time is up
-            time.sleep(1)
-            held = [op["numRowsTotal"] for op in q.lastProgress["stateOperators"]]
-            if held == [0]:
-                break
-        assert held == [0]
+        assert until(lambda: rows() == [(1, 1, 1), (2, 1, 1)])
+        assert until(lambda: held() == [0])  # both keys were idle until their time was up
         put("b", [(1, 2)])
-        q.processAllAvailable()
-        assert sorted((r.k, r.n, r.seen) for r in spark.table("idle").collect()) == [(1, 1, 1), (1, 2, 1), (2, 1, 1)]
+        assert until(lambda: rows() == [(1, 1, 1), (1, 2, 1), (2, 1, 1)])
     finally:
         q.stop()
