@@ -8,6 +8,7 @@ from folio.checks.base import query, view
 from folio.checks.naming import full_pages, record
 from folio.functions import pages as P
 from folio.operators import ordered as O
+from folio.plans import analyze as A
 from folio.sources import tables as T
 from folio.streaming import capture as CP
 from folio.streaming import progress as PG
@@ -124,3 +125,15 @@ def _(spark, sf):
     SELECT date_trunc('hour', ts) AS start_ts, name, CAST(sum(ms) AS BIGINT) AS total_ms, count(*) AS runs FROM f6_perf GROUP BY 1, 2""")
 def _(spark, sf):
     return PG.perf_windows(T.perf_rows(spark, sf))
+
+
+@query("str_05_incremental_ingest", "ink_share", """
+    SELECT image_id, CASE WHEN image_id % 23 = 5 AND h > 0 THEN 'Failed' ELSE 'Ready' END AS state, CASE WHEN image_id % 23 = 5 AND h > 0 THEN 'damaged' END AS error,
+           CASE WHEN NOT (image_id % 23 = 5 AND h > 0) THEN round(ink_percent, 6) END AS ink_percent FROM ink_share JOIN f1_image USING (image_id)""")
+def _(spark, sf):
+    """The batch twin: pages with every 23rd cut short; those stay as failed rows."""
+    pages = T.text_pages(spark, sf)
+    pages = pages.withColumn("vals", F.when(Q("image_id") % 23 == 5, F.substring("vals", 1, 7)).otherwise(Q("vals")))
+    fault = F.when(F.octet_length("vals") != Q("w") * Q("h"), "damaged")
+    d = PG.ingested(pages, A.page_ink_percent, fault)
+    return d.select("image_id", "state", "error", F.round("ink_percent", 6).alias("ink_percent"))

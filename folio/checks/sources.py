@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from folio.checks.base import query
+from folio.checks.base import query, view
 from folio.functions import pages as P
 from folio.sources import files as FS
 from folio.session import checkpoint_dir
@@ -92,3 +92,70 @@ def _(spark, sf):
     FS.write_pages(rows.filter("image_id % 3 = 0").withColumns({"vals": F.transform("vals", lambda v: 255 - v), "revision": F.lit(2)}), at, 8)
     total = F.aggregate("vals", F.lit(0).cast("bigint"), lambda a, v: a + v)
     return FS.read_pages(spark, at).select("doc_id", "image_id", "revision", "y", total.alias("total"))
+
+
+# --- files of JSON, from table rows as (file, value) -------------------------------
+
+view("c5", """
+    SELECT doc_id, source, n_chars, doc_id % 13 = 0 AS broken, doc_id % 17 = 0 AS elsewhere FROM documents""")
+
+
+def document_files(spark, sf):
+    """A document file per row of ``documents`` with two pages, the second one bare; some are cut off, some lie in another folder."""
+    d = T.read(spark, sf, "documents")
+    i, n = Q("doc_id"), Q("n_chars")
+    fields = {"id": F.concat(F.lit("p"), i), "state": F.when(i % 3 == 0, "Failed"), "rawWidth": (n % 3000).cast("int"), "userRotation": (i % 4 * 90).cast("int"), "cropManual": F.when(i % 5 == 0, True),
+              "cropQuad": F.when(i % 2 == 0, F.array(*[F.lit(x / 8) for x in range(8)])), "colorMode": F.when(i % 7 == 0, "Gray"), "croppedContrast": F.when(i % 11 == 0, 20), "originalExtension": F.when(i % 6 == 0, ".png")}
+    full = F.struct(*[c.alias(k) for k, c in fields.items()])
+    bare = F.struct(*[(F.concat(F.lit("q"), i) if k == "id" else F.lit(None).cast(FS.PAGE[k].dataType)).alias(k) for k in fields])
+    name = F.concat(F.lit("d"), i)
+    body = F.to_json(F.struct(name.alias("id"), Q("source").alias("name"), F.array(full, bare).alias("pages")))
+    return d.select(F.concat(F.lit("store/"), F.when(i % 17 == 0, "other").otherwise(name), F.lit("/doc.json")).alias("file"),
+                    F.when(i % 13 == 0, F.substring(body, 1, 40)).otherwise(body).alias("value"))
+
+
+@query("src_05_catalogue", "c5", """
+    SELECT 'd' || doc_id AS doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos = 0 THEN 'p' ELSE 'q' END || doc_id AS id, CASE WHEN pos = 0 AND doc_id % 3 = 0 THEN 'Failed' ELSE 'Ready' END AS state,
+           CAST(CASE WHEN pos = 0 THEN n_chars % 3000 ELSE 0 END AS INTEGER) AS "rawWidth", CAST(CASE WHEN pos = 0 THEN doc_id % 4 * 90 ELSE 0 END AS INTEGER) AS "userRotation", pos = 0 AND doc_id % 5 = 0 AS "cropManual",
+           CASE WHEN pos = 0 AND doc_id % 2 = 0 THEN 8 ELSE NULL END AS corners, CASE WHEN pos = 0 AND doc_id % 7 = 0 THEN 'Gray' ELSE 'Color' END AS "colorMode",
+           CASE WHEN pos = 0 AND doc_id % 11 = 0 THEN 20 ELSE 0 END AS "croppedContrast", CASE WHEN pos = 0 AND doc_id % 6 = 0 THEN '.png' ELSE '.jpg' END AS "originalExtension",
+           50 AS "bwDarkness", true AS "cleanBackground", 1 AS "exifOrientation", 40 AS fields
+    FROM c5 CROSS JOIN (VALUES (0), (1)) v(pos) WHERE NOT broken AND NOT elsewhere""")
+def _(spark, sf):
+    p = FS.catalogue_pages(FS.parse_catalogue(document_files(spark, sf)))
+    return p.select("doc_id", "pos", "id", "state", "rawWidth", "userRotation", "cropManual", F.when(Q("cropQuad").isNotNull(), F.size("cropQuad")).alias("corners"), "colorMode", "croppedContrast", "originalExtension",
+                    "bwDarkness", "cleanBackground", "exifOrientation", F.lit(len(p.columns) - 2).alias("fields"))
+
+
+def lists(d, key, fields, broken):
+    """``file, value``: a file for each ``key`` with a list of its rows; files with ``broken`` are cut off."""
+    body = F.to_json(F.collect_list(F.struct(*[c.alias(k) for k, c in fields.items()])))
+    g = d.groupBy(key.alias("k")).agg(body.alias("body"))
+    return g.select(F.concat(F.lit("cache/"), Q("k"), F.lit(".json")).alias("file"), F.when(broken(Q("k")), F.concat(F.lit("{"), F.substring("body", 1, 20))).otherwise(Q("body")).alias("value"))
+
+
+@query("src_06_folders", "", "SELECT 'f' || c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 50 <> 7 AND c_custkey % 9 <> 0")
+def _(spark, sf):
+    c = T.read(spark, sf, "customer")
+    i = Q("c_custkey")
+    files = lists(c, (i % 50).cast("string"), {"id": F.when(i % 9 != 0, F.concat(F.lit("f"), i)), "name": Q("c_name")}, lambda k: k == "7")
+    return FS.parse_folders(files).select("id", "name")
+
+
+@query("src_08_ocr_words", "f9", """
+    SELECT CAST(page_id AS VARCHAR) AS key, text, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h, CAST(baseline_y AS INTEGER) AS baseline_y, CAST(confidence AS DOUBLE) AS confidence
+    FROM f9 WHERE page_id % 19 <> 3""")
+def _(spark, sf):
+    o = T.words(spark, sf)
+    fields = {"Text": Q("text"), **{k: Q(c).cast("int") for k, c in (("X", "x"), ("Y", "y"), ("Width", "w"), ("Height", "h"), ("BaselineY", "baseline_y"))}, "Confidence": Q("confidence").cast("float")}
+    words = FS.parse_ocr_words(lists(o, Q("page_id").cast("string"), fields, lambda k: k.cast("long") % 19 == 3))
+    return words.withColumn("confidence", Q("confidence").cast("double"))
+
+
+@query("src_09_signatures", "f6_sig", """
+    SELECT 's' || signature_id AS id, CAST(color AS BIGINT) AS color, CAST(mask_w AS INTEGER) AS width, CAST(mask_h AS INTEGER) AS height FROM f6_sig WHERE signature_id % 40 <> 11""")
+def _(spark, sf):
+    g = T.signatures(spark, sf)
+    i = Q("signature_id")
+    files = lists(g, (i % 40).cast("string"), {"id": F.concat(F.lit("s"), i), "color": Q("color"), "width": Q("mask_w"), "height": Q("mask_h")}, lambda k: k == "11")
+    return FS.parse_signatures(files).select("id", "color", "width", "height")

@@ -91,10 +91,18 @@ def fan_out_frames(files: DataFrame) -> DataFrame:
 
 # --- catalogue files ---------------------------------------------------------------
 
-PAGE = T.StructType([T.StructField(n, t) for n, t in (
-    ("id", T.StringType()), ("state", T.StringType()), ("error", T.StringType()), ("rawWidth", T.IntegerType()), ("rawHeight", T.IntegerType()),
-    ("exifOrientation", T.IntegerType()), ("userRotation", T.IntegerType()), ("cropQuad", T.ArrayType(T.DoubleType())), ("colorMode", T.StringType()),
-    ("bwDarkness", T.IntegerType()), ("cleanBackground", T.BooleanType()), ("brightness", T.IntegerType()), ("contrast", T.IntegerType()))])
+#: Every stored field of a page: name, type and the value of a missing one (fixed values); null has no default.
+PAGE_FIELDS = (
+    ("id", "string", None), ("state", "string", "Ready"), ("error", "string", None), ("originalExtension", "string", ".jpg"), ("rawWidth", "int", 0), ("rawHeight", "int", 0),
+    ("exifOrientation", "int", 1), ("userRotation", "int", 0), ("proxyWidth", "int", 0), ("proxyHeight", "int", 0), ("cropQuad", "array<double>", None),
+    ("cropConfidence", "double", 0.0), ("cropManual", "boolean", False), ("cropDetected", "boolean", False), ("cropDetection", "int", 0), ("croppedRevision", "int", 0),
+    ("croppedWidth", "int", 0), ("croppedHeight", "int", 0), ("croppedQuad", "array<double>", None), ("croppedRotation", "int", 0), ("outputRotation", "int", 0),
+    ("croppedOutputRotation", "int", 0), ("freeAspect", "boolean", False), ("croppedFreeAspect", "boolean", False), ("renderError", "string", None),
+    ("colorMode", "string", "Color"), ("bwDarkness", "int", 50), ("cleanBackground", "boolean", True), ("brightness", "int", 0), ("contrast", "int", 0),
+    ("croppedColorMode", "string", "Color"), ("croppedBwDarkness", "int", 50), ("croppedCleanBackground", "boolean", True), ("croppedBrightness", "int", 0), ("croppedContrast", "int", 0),
+    ("croppedExtension", "string", ".jpg"), ("croppedGeometry", "int", 0), ("croppedBlackWhiteVersion", "int", 0), ("cropBend", "array<double>", None), ("croppedBend", "array<double>", None))
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<double>": T.ArrayType(T.DoubleType())}
+PAGE = T.StructType([T.StructField(n, _TYPES[t]) for n, t, _ in PAGE_FIELDS])
 DOCUMENT = T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("createdUtc", T.TimestampType()),
                          T.StructField("folderId", T.StringType()), T.StructField("pages", T.ArrayType(PAGE)), T.StructField("_corrupt_record", T.StringType())])
 FOLDER = T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("createdUtc", T.TimestampType()),
@@ -103,28 +111,43 @@ WORD = T.StructType([T.StructField(n, t) for n, t in (("Text", T.StringType()),
                                                      ("BaselineY", T.IntegerType()), ("Confidence", T.FloatType()), ("_corrupt_record", T.StringType()))])
 
 
-def _json(spark: SparkSession, path: str, schema) -> DataFrame:
-    d = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").json(path)
-    return d.withColumn("file", F.col("_metadata.file_path")).filter("_corrupt_record IS NULL").drop("_corrupt_record")
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``file, value``: whole text files."""
+    return spark.read.option("wholetext", True).option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def _parsed(files: DataFrame, schema: T.StructType, many: bool = True) -> DataFrame:
+    """Objects of JSON files (``file, value``), or of the lists in them; files that are no such JSON are skipped."""
+    kind = T.ArrayType(schema) if many else schema
+    got = F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    d = files.withColumn("_r", F.explode(got) if many else got).filter("_r IS NOT NULL AND _r._corrupt_record IS NULL")
+    return d.select("file", *[F.col(f"_r.{f.name}").alias(f.name) for f in schema if f.name != "_corrupt_record"])
+
+
+def parse_catalogue(files: DataFrame) -> DataFrame:
+    """Readable documents of ``file, value`` rows; those in a folder of another name than their id are skipped."""
+    own = F.regexp_extract("file", r"([^/]+)/doc\.json$", 1)
+    return _parsed(files, DOCUMENT, many=False).filter(F.col("id") == own).drop("file")
 
 
 def read_catalogue(spark: SparkSession, root: str) -> DataFrame:
     """Readable documents, newest first; unreadable ones and folders of another name are skipped."""
-    d = _json(spark, f"{root}/*/doc.json", DOCUMENT)
-    own = F.regexp_extract("file", r"([^/]+)/doc\.json$", 1)
-    return d.filter(F.col("id") == own).orderBy(F.desc("createdUtc")).drop("file")
+    return parse_catalogue(read_texts(spark, f"{root}/*/doc.json")).orderBy(F.desc("createdUtc"))
 
 
 def catalogue_pages(docs: DataFrame) -> DataFrame:
     """One row per page with the documented default of every missing field."""
-    defaults = {"state": "Ready", "colorMode": "Color", "bwDarkness": 50, "cleanBackground": True, "brightness": 0, "contrast": 0, "exifOrientation": 1, "userRotation": 0}
     p = docs.select(F.col("id").alias("doc_id"), F.posexplode("pages").alias("pos", "p")).select("doc_id", "pos", "p.*")
-    return p.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
+    return p.withColumns({n: F.coalesce(n, F.lit(v)) for n, _, v in PAGE_FIELDS if v is not None})
+
+
+def parse_folders(files: DataFrame) -> DataFrame:
+    return _parsed(files, FOLDER).drop("file").filter("id IS NOT NULL")
 
 
 def read_folders(spark: SparkSession, path: str) -> DataFrame:
     """Folder list; an unreadable file is an empty list."""
-    return _json(spark, path, FOLDER).drop("file").filter("id IS NOT NULL")
+    return parse_folders(read_texts(spark, path))
 
 
 def read_project(spark: SparkSession, path: str) -> DataFrame:
@@ -140,17 +163,28 @@ def read_project(spark: SparkSession, path: str) -> DataFrame:
                     F.coalesce("_Rotate", F.lit(0)).alias("rotate"), F.coalesce("_Deskew", F.lit(0.0)).alias("deskew"), N.parse_crop(F.col("_Crop")).alias("crop"))
 
 
-def read_ocr_words(spark: SparkSession, path: str) -> DataFrame:
+def parse_ocr_words(files: DataFrame) -> DataFrame:
     """Cached word rows by ``key`` (the file name); unreadable entries are ignored."""
-    d = _json(spark, path, WORD)
+    d = _parsed(files, WORD)
     return d.select(N.stem(F.col("file")).alias("key"), F.col("Text").alias("text"), F.col("X").alias("x"), F.col("Y").alias("y"), F.col("Width").alias("w"),
                     F.col("Height").alias("h"), F.col("BaselineY").alias("baseline_y"), F.col("Confidence").alias("confidence")).filter("text IS NOT NULL")
 
 
+def read_ocr_words(spark: SparkSession, path: str) -> DataFrame:
+    return parse_ocr_words(read_texts(spark, path))
+
+
+SIGNATURE = T.StructType([T.StructField("id", T.StringType()), T.StructField("color", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()),
+                          T.StructField("createdUtc", T.TimestampType()), T.StructField("_corrupt_record", T.StringType())])
+
+
+def parse_signatures(files: DataFrame) -> DataFrame:
+    return _parsed(files, SIGNATURE).drop("file").filter("id IS NOT NULL")
+
+
 def read_signatures(spark: SparkSession, path: str) -> DataFrame:
-    s = T.StructType([T.StructField("id", T.StringType()), T.StructField("color", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()),
-                      T.StructField("createdUtc", T.TimestampType()), T.StructField("_corrupt_record", T.StringType())])
-    return _json(spark, path, s).drop("file").filter("id IS NOT NULL").orderBy(F.desc("createdUtc"))
+    """Signatures of an index file, newest first."""
+    return parse_signatures(read_texts(spark, path)).orderBy(F.desc("createdUtc"))
 
 
 # --- logs and exports --------------------------------------------------------------

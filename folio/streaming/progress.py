@@ -133,13 +133,49 @@ def stream_split(pages: DataFrame, prefix: str = "", live: bool = False) -> Data
 
 # --- ingest ------------------------------------------------------------------------
 
-def incremental_ingest(pages: DataFrame, analyze, target: str, checkpoint: str):
+def ingested(pages: DataFrame, analyze, fault: Column, key: str = "image_id") -> DataFrame:
+    """Catalogue rows of new pages: what ``analyze`` makes of the sound ones (``Ready``), and the others as they are (``Failed``).
+
+    ``fault`` tells from a page's own columns what is wrong with it, null when nothing is; a
+    damaged page never reaches the analysis, so it can't fail those beside it.
+    """
+    d = pages.withColumn("error", fault)
+    ready = analyze(d.filter("error IS NULL").drop("error")).withColumns({"state": F.lit("Ready"), "error": F.lit(None).cast("string")})
+    return ready.unionByName(d.filter("error IS NOT NULL").select(key, F.lit("Failed").alias("state"), "error"), allowMissingColumns=True)
+
+
+def _isolated(batch: DataFrame, save, failed, key: str, depth: int = 0) -> None:
+    """``save`` the batch; where that raises, halve it until the rows that make it raise stand alone, and give those to ``failed``."""
+    try:
+        save(batch)
+    except Exception as e:  # whatever a page made the analysis raise
+        if depth >= 40 or batch.select(key).distinct().limit(2).count() < 2:
+            failed(batch, next((x.strip() for x in str(e).splitlines() if "Error" in x), type(e).__name__)[:200])
+            return
+        half = F.pmod(F.shiftright(F.xxhash64(key), depth), F.lit(2))
+        for k in (0, 1):
+            part = batch.filter(half == k)
+            if part.take(1):
+                _isolated(part, save, failed, key, depth + 1)
+
+
+def incremental_ingest(pages: DataFrame, analyze, target: str, checkpoint: str, key: str | None = None):
     """New page rows through ``analyze`` into a table, once per micro-batch.
 
-    The batch number names its folder and is overwritten on a retry, so a lost executor or a
-    restart never doubles rows.
+    The batch number names its folder, which is emptied before a retry, so a lost executor or a
+    restart never doubles rows. With ``key`` a page that makes the analysis raise is saved as a
+    ``Failed`` row with its message while the rest of its batch goes through: the batch is halved
+    around it, a number of jobs in proportion to the bad pages.
     """
     def write(batch: DataFrame, number: int) -> None:
-        analyze(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        at = f"{target}/batch={number}"
+        if key is None:
+            analyze(batch).write.mode("overwrite").parquet(at)
+            return
+        spark = batch.sparkSession
+        spark.createDataFrame([], "state string").write.mode("overwrite").parquet(at)  # of an attempt cut off
+        state = lambda d, s, e: d.withColumns({"state": F.lit(s), "error": F.lit(e).cast("string")})
+        _isolated(batch, lambda d: state(analyze(d), "Ready", None).write.mode("append").parquet(at),
+                  lambda d, said: state(d.select(key), "Failed", said).write.mode("append").parquet(at), key)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -6,6 +6,7 @@ import json
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +258,23 @@ def test_state_of_idle_keys_is_dropped(spark, tmp_path):
         assert until(lambda: rows() == [(1, 1, 1), (1, 2, 1), (2, 1, 1)])
     finally:
         q.stop()
+
+
+def test_a_bad_page_does_not_fail_its_batch(spark, tmp_path):
+    from folio.streaming import progress as PG
+
+    @F.arrow_udf("long")
+    def size(v: pa.Array) -> pa.Array:
+        out = v.to_pylist()
+        if any(x % 37 == 0 for x in out):
+            raise ValueError("a bad page")
+        return pa.array([x * 2 for x in out])
+
+    spark.range(1, 120, 1, 3).withColumnRenamed("id", "image_id").write.parquet(str(tmp_path / "new"))
+    src = spark.readStream.schema("image_id long").parquet(str(tmp_path / "new"))
+    q = PG.incremental_ingest(src, lambda b: b.withColumn("size", size("image_id")), str(tmp_path / "out"), str(tmp_path / "cp"), key="image_id").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = {r.image_id: r for r in spark.read.option("mergeSchema", True).parquet(str(tmp_path / "out")).collect()}
+    assert sorted(rows) == list(range(1, 120))
+    assert {i for i, r in rows.items() if r.state == "Failed"} == {37, 74, 111} and all(r.error for r in rows.values() if r.state == "Failed")
+    assert all(r.size == 2 * i for i, r in rows.items() if r.state == "Ready")
