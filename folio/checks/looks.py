@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.checks.base import VIEWS, query, view
-from folio.checks.raster import DIGEST, OTSU, WINDOW, by, window_pair
+from folio.checks.raster import DIGEST, OTSU, WINDOW, by, stats_sql, window_pair
 from folio.functions import geometry as G
 from folio.functions import settings as S
 from folio.functions import tone as TN
@@ -92,25 +92,45 @@ view("flat", """
 
 @query("join_10_background", "bg", f"SELECT image_id, {DIGEST} FROM bg GROUP BY image_id")
 def _(spark, sf):
-    return by(RS.background(T.text_pixels(spark, sf)))
+    return SL.digest(SL.background(T.text_pages(spark, sf).filter("h > 0")))
 
 
 @query("img_02_flatten_background", "flat", f"SELECT image_id, {DIGEST} FROM flat GROUP BY image_id")
 def _(spark, sf):
-    return by(RS.flatten_background(T.text_pixels(spark, sf)))
+    return SL.digest(SL.flatten_background(T.text_pages(spark, sf).filter("h > 0")))
 
 
 @query("img_03_look_gray", "flat", f"""
     SELECT image_id, {DIGEST} FROM (SELECT image_id, y, x, {lut_sql('v', 'sc', "CAST(CAST(CAST(128 AS FLOAT) * CAST(CAST(1 AS FLOAT) - sc AS FLOAT) AS FLOAT) + CAST(CAST(10 AS FLOAT) * CAST(1.28 AS FLOAT) AS FLOAT) AS FLOAT)")} AS v
       FROM (SELECT *, {SCALE.replace('contrast', '20')} AS sc FROM flat)) GROUP BY image_id""")
 def _(spark, sf):
-    return by(LK.apply_look(T.text_pixels(spark, sf), "Gray", brightness=10, contrast=20))
-
-
-@query("img_03_look_black_white")
+    flat = SL.flatten_background(T.text_pages(spark, sf).filter("h > 0"))
+    tone = TN.tone_lut(TN.tone_scale(F.lit(20)), TN.tone_offset(F.lit(10), F.lit(20)))
+    return SL.digest(SL.look_up(flat, tone))
+
+
+for step, (src, axis) in enumerate((("flat", "x"), ("lk_1", "y"), ("lk_2", "x"), ("lk_3", "y")), 1):
+    over = f"(PARTITION BY image_id, {'y' if axis == 'x' else 'x'} ORDER BY {axis})"
+    first = "v" if step == 1 else "v0"
+    view(f"lk_{step}", f"SELECT image_id, w, h, y, x, {first} AS v0, (coalesce(lag(v) OVER {over}, v) + v + coalesce(lead(v) OVER {over}, v) + 1) // 3 AS v FROM {src}", (src,))
+view("lk_sharp", """
+    SELECT image_id, w, h, y, x, CASE WHEN o <= 0 THEN 0 WHEN o >= 255 THEN 255 ELSE CAST(floor(CAST(o + CAST(0.5 AS FLOAT) AS FLOAT)) AS INTEGER) END AS v
+    FROM (SELECT *, CAST(CAST(v0 AS FLOAT) + CAST(CAST(0.8 AS FLOAT) * CAST(v0 - v AS FLOAT) AS FLOAT) AS FLOAT) AS o FROM lk_4)""", ("lk_4",))
+view("lk_stats", stats_sql(WINDOW, "lk_sharp"), ("lk_sharp",))
+view("lk_soft", f"""
+    SELECT image_id, y, x, CASE WHEN o <= 0 THEN 0 WHEN o >= 255 THEN 255 ELSE CAST(floor(o) AS INTEGER) END AS v
+    FROM (SELECT *, CAST(127.5 AS DOUBLE) + (v - mean * (1 + CAST({S.k_for(50)!r} AS DOUBLE) * (sqrt(variance) / 128 - 1))) * CAST(10.625 AS DOUBLE) AS o FROM lk_stats)""", ("lk_stats",))
+view("lk_lone", """
+    SELECT key FROM (SELECT a.key, count(*) AS n FROM (SELECT image_id * 10000000000 + y * 100000 + x AS key FROM lk_soft WHERE v < 128) a
+      CROSS JOIN (SELECT dy * 100000 + dx AS d FROM (VALUES (-1), (0), (1)) p(dy) CROSS JOIN (VALUES (-1), (0), (1)) q(dx)) k
+      JOIN (SELECT image_id * 10000000000 + y * 100000 + x AS key FROM lk_soft WHERE v < 128) b ON b.key = a.key + k.d GROUP BY a.key) WHERE n = 1""", ("lk_soft",))
+
+
+@query("img_03_look_black_white", "lk_lone", f"""
+    SELECT image_id, {DIGEST} FROM (SELECT image_id, y, x, CASE WHEN image_id * 10000000000 + y * 100000 + x IN (SELECT key FROM lk_lone) THEN 255 ELSE v END AS v FROM lk_soft) GROUP BY image_id""")
 def _(spark, sf):
-    """Even lighting, sharpening, soft threshold, specks removed; checked against numpy in the tests."""
-    return by(LK.apply_look(T.text_pixels(spark, sf), "BlackWhite"))
+    """Even lighting, sharpening, soft threshold, specks removed."""
+    return SL.digest(SL.black_white(T.text_pages(spark, sf).filter("h > 0")))
 
 
 GRID = [(d, b) for d in (20, 50, 80) for b in (0, 25)]

@@ -189,6 +189,118 @@ def look_grid(pages: DataFrame, window: int, settings: list[tuple[int, int]]) ->
     return rows.select("image_id", "n", pick(0).alias("darkness"), pick(1).alias("brightness"), "ink")
 
 
+# --- even lighting and sharpening --------------------------------------------------
+
+ESTIMATE_EDGE = 256  # longest side of the copy on which the paper's brightness is estimated
+
+
+def _axis_sums(a: np.ndarray, r: int, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """Clipped sliding sums along one axis, and how many cells each has."""
+    n = a.shape[axis]
+    run = np.concatenate([np.zeros_like(np.take(a, [0], axis)), np.cumsum(a, axis)], axis)
+    low, high = np.maximum(np.arange(n) - r, 0), np.minimum(np.arange(n) + r, n - 1) + 1
+    count = (high - low).reshape([-1 if k == axis else 1 for k in range(a.ndim)])
+    return np.take(run, high, axis) - np.take(run, low, axis), count
+
+
+def _largest(a: np.ndarray, r: int) -> np.ndarray:
+    """Square maximum of radius ``r``."""
+    for axis in (0, 1):
+        pad = np.pad(a, [(r, r) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+        a = np.maximum.reduce([np.take(pad, np.arange(i, i + a.shape[axis]), axis) for i in range(2 * r + 1)])
+    return a
+
+
+def _paper_light(p: np.ndarray) -> tuple[np.ndarray, int]:
+    """Paper brightness on a small copy (local maximum, blurred, not too dark) and the shrink factor."""
+    f = max(1, -(-max(p.shape) // ESTIMATE_EDGE))
+    small = _shrunk(p, f).astype(np.int64)
+    if not small.size:
+        return small, f
+    r, level = max(2, max(small.shape) // 40), _percentile(small, 0.95)
+    light = _largest(small, r)
+    for axis in (1, 0):
+        total, n = _axis_sums(light, r, axis)
+        light = total // n
+    return np.maximum(light, max(1, int(level * 0.3))), f
+
+
+def _flattened(p: np.ndarray) -> np.ndarray | None:
+    """Every pixel over the paper brightness at its place; None where the page is too narrow for an estimate."""
+    light, f = _paper_light(p)
+    if not light.size:
+        return None
+    b, part = light.astype(np.float32), []
+    for n, size in zip(light.shape, p.shape):
+        s = (np.arange(size) + 0.5) / f - 0.5
+        low = np.clip(np.floor(s), 0, n - 1).astype(int)
+        part.append((low, np.minimum(low + 1, n - 1), np.clip(s - low, 0, 1).astype(np.float32)))
+    (y0, y1, fy), (x0, x1, fx) = part
+    one, fy = np.float32(1), fy[:, None]
+    top = b[y0][:, x0] * (one - fx) + b[y0][:, x1] * fx
+    bottom = b[y1][:, x0] * (one - fx) + b[y1][:, x1] * fx
+    paper = np.maximum(one, top * (one - fy) + bottom * fy)
+    return np.minimum(255, np.floor(p.astype(np.float32) * np.float32(255) / paper + np.float32(0.5)))
+
+
+def flatten_background(pages: DataFrame) -> DataFrame:
+    """Even white paper, ink kept; a colour page has each plane divided by its own estimate."""
+    return pages.withColumn("vals", of(per_page(_flattened, BYTES))).filter("vals IS NOT NULL")
+
+
+def _flattened_planes(p: np.ndarray) -> np.ndarray | None:
+    planes = [_flattened(np.ascontiguousarray(p[..., c])) for c in range(3)]
+    return None if any(x is None for x in planes) else np.stack(planes, -1)
+
+
+def flatten_planes(pages: DataFrame) -> DataFrame:
+    """:func:`flatten_background` of colour pages, channel by channel, so a tinted light goes too."""
+    return pages.withColumn("vals", of(per_page(_flattened_planes, BYTES, planes=3))).filter("vals IS NOT NULL")
+
+
+def background(pages: DataFrame) -> DataFrame:
+    """The estimate itself as small pages, with ``f``, how much smaller."""
+    f = F.greatest(F.lit(1), F.ceil(F.greatest("w", "h") / ESTIMATE_EDGE)).cast("int")
+    d = pages.withColumn("vals", of(per_page(lambda p: _paper_light(p)[0], BYTES))).withColumn("f", f)
+    return d.withColumns({c: F.floor(F.col(c) / F.col("f")).cast("int") for c in "wh"})
+
+
+def _sharpened(p: np.ndarray, r: int, amount: float) -> np.ndarray:
+    v, n = p.astype(np.int64), 2 * r + 1
+    for axis in (1, 0, 1, 0):
+        pad = np.pad(v, [(r, r) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+        v = (sum(np.take(pad, np.arange(i, i + v.shape[axis]), axis) for i in range(n)) + n // 2) // n
+    out = p.astype(np.float32) + np.float32(amount) * (p.astype(np.int64) - v).astype(np.float32)
+    return np.where(out <= 0, 0, np.where(out >= 255, 255, np.floor(out + np.float32(0.5))))
+
+
+def unsharp(pages: DataFrame, r: int, amount: float = S.UNSHARP_AMOUNT) -> DataFrame:
+    return pages if r < 1 else pages.withColumn("vals", of(per_page(lambda p: _sharpened(p, r, amount), BYTES)))
+
+
+look_up_of = per_page(lambda p, table: np.array(table)[p], BYTES)
+
+
+def look_up(pages: DataFrame, table: Column) -> DataFrame:
+    """Levels replaced through a table of 256 (an array column)."""
+    return pages.withColumn("_t", table).withColumn("vals", of(look_up_of, F.col("_t"))).drop("_t")
+
+
+def despeckle(pages: DataFrame, most: int) -> DataFrame:
+    """Pieces of at most ``most`` pixels darker than 128 become paper."""
+    def kernel(p):
+        ink = p < 128
+        return np.where(_specks(ink, most)[0], 255, p) if ink.any() else p
+
+    return pages.withColumn("vals", of(per_page(kernel, BYTES)))
+
+
+def black_white(pages: DataFrame, dpi: int = 100, darkness: int = 50) -> DataFrame:
+    """Even lighting, sharpening, a soft adaptive threshold, specks removed."""
+    gray = unsharp(flatten_background(pages), S.radius_for(dpi))
+    return despeckle(sauvola(gray, S.window_for(dpi), S.k_for(darkness), 0.0, S.SMOOTH_RAMP), S.area_for(dpi))
+
+
 # --- connected ink -----------------------------------------------------------------
 
 def _around(a: np.ndarray, fn: Callable) -> np.ndarray:

@@ -43,6 +43,23 @@ def test_rules_of_both_forms_are_equal(spark, sf, pages):
     assert by_id(soft, "image_id", "n", "total", "placed") == by_id(R.sauvola(px, 31, 0.3, 25.6, 12.0).groupBy("image_id").agg(*R.digest()), "image_id", "n", "total", "placed")
 
 
+def test_looks_of_both_forms_are_equal(spark, sf, pages):
+    from folio.plans import looks as LK
+    px = T.text_pixels(spark, sf).filter("image_id < 40")
+    cols = ["image_id", "n", "total", "placed"]
+    rows = lambda d: by_id(d.groupBy("image_id").agg(*R.digest()), *cols)
+    assert by_id(SL.digest(SL.black_white(pages.filter("h > 0"))), *cols) == rows(LK.apply_look(px, "BlackWhite"))
+    assert by_id(SL.digest(SL.unsharp(pages.filter("h > 0"), 3)), *cols) == rows(R.unsharp(px, 3))
+
+
+def test_planes_are_evened_one_by_one():
+    rng = np.random.default_rng(3)
+    p = np.clip(np.array([230, 200, 150]) - 40 * (np.arange(90) / 90)[:, None, None] + rng.integers(-3, 4, (90, 70, 3)), 0, 255).astype(np.uint8)
+    got = SL._flattened_planes(p)
+    assert all((got[..., c] == SL._flattened(np.ascontiguousarray(p[..., c]))).all() for c in range(3)) and got.mean((0, 1)).min() > 240
+    assert SL._flattened(np.zeros((5000, 3), np.uint8)) is None  # too narrow for its length
+
+
 def test_empty_and_null_pages(spark):
     rows = [(1, 0, 0, b""), (2, 3, 2, bytes([0, 255, 9, 9, 255, 0])), (3, 3, 2, None)]
     d = spark.createDataFrame(rows, "image_id long, w int, h int, vals binary")
