@@ -304,11 +304,14 @@ def black_white(pages: DataFrame, dpi: int = 100, darkness: int = 50) -> DataFra
 # --- connected ink -----------------------------------------------------------------
 
 def _around(a: np.ndarray, fn: Callable) -> np.ndarray:
-    """``fn`` of each cell and its eight neighbours; the frame has the same value as the outermost cell."""
-    e = np.pad(a, 1, mode="edge")
-    out = fn.reduce([e[i:i + a.shape[0], 1:-1] for i in range(3)])
-    e = np.pad(out, ((0, 0), (1, 1)), mode="edge")
-    return fn.reduce([e[:, j:j + a.shape[1]] for j in range(3)])
+    """``fn`` (a minimum or maximum) of each cell and its eight neighbours."""
+    tall = a.copy()
+    tall[1:] = fn(a[1:], a[:-1])
+    tall[:-1] = fn(tall[:-1], a[1:])
+    out = tall.copy()
+    out[:, 1:] = fn(tall[:, 1:], tall[:, :-1])
+    out[:, :-1] = fn(out[:, :-1], tall[:, 1:])
+    return out
 
 
 def _specks(ink: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
