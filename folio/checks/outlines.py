@@ -254,11 +254,14 @@ def side_samples(spark, sf):
 
 
 @query("join_18_consensus_line", "ol_sample", """
-    SELECT side_id, round(max(sc), 4) AS score FROM (SELECT p.side_id, p.i, p.j, sum(CASE WHEN abs(k.e - (a + b * k.t)) <= 2.5 THEN sqrt(k.s) * (1 - 0.5 * abs(k.e - (a + b * k.t)) / 2.5) ELSE 0 END) AS sc FROM (
-      SELECT *, e1 - b * t1 AS a FROM (SELECT m.side_id, m.k AS i, n.k AS j, m.t AS t1, m.e AS e1, (n.e - m.e) / (n.t - m.t) AS b FROM ol_sample m JOIN ol_sample n ON n.side_id = m.side_id AND n.t - m.t >= 0.1)) p
-      JOIN ol_sample k ON k.side_id = p.side_id GROUP BY p.side_id, p.i, p.j) GROUP BY side_id""")
+    , scored AS (SELECT p.side_id, p.t1, p.t2, a, b, sum(CASE WHEN abs(k.e - (a + b * k.t)) <= 2.5 THEN sqrt(k.s) * (1 - 0.5 * abs(k.e - (a + b * k.t)) / 2.5) ELSE 0 END) AS sc FROM (
+      SELECT *, e1 - b * t1 AS a FROM (SELECT m.side_id, m.k AS i, n.k AS j, m.t AS t1, n.t AS t2, m.e AS e1, (n.e - m.e) / (n.t - m.t) AS b FROM ol_sample m JOIN ol_sample n ON n.side_id = m.side_id AND n.t - m.t >= 0.1)) p
+      JOIN ol_sample k ON k.side_id = p.side_id GROUP BY p.side_id, p.i, p.j, p.t1, p.t2, a, b)
+    SELECT side_id, round(a, 4) AS a, round(b, 4) AS b, round(sc, 4) AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY side_id ORDER BY round(sc, 9) DESC, t1, t2, a DESC, b DESC) AS place FROM scored) WHERE place = 1""")
 def _(spark, sf):
-    return OL.consensus_lines(side_samples(spark, sf), 2.5).select("side_id", F.round("score", 4).alias("score"))
+    d = OL.consensus_lines(side_samples(spark, sf), 2.5)
+    return d.select("side_id", *[F.round(c, 4).alias(c) for c in ("a", "b", "score")])
 
 
 @query("agg_18_robust_side_fit")
