@@ -29,6 +29,23 @@ def _(spark, sf):
     return CP.with_gates(T.frames(spark, sf)).select("session_id", "event_id", "gate")
 
 
+_U = [f"(x{i} / w * (0.25 + 0.15::DOUBLE * n) + d - 0.05)" for i in range(4)]
+_V = [f"(y{i} / h * (0.25 + 0.15::DOUBLE * n) + d - 0.05)" for i in range(4)]
+_TURN = " + ".join(f"({_U[i]} * {_V[(i + 1) % 4]} - {_U[(i + 1) % 4]} * {_V[i]})" for i in range(4))
+
+
+@query("fil_09_all_gates", "f7", f"""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN CAST(q AS INTEGER) % 9 = 0 THEN 'Searching'
+      WHEN {' OR '.join(f"{c} <= 0.008 OR {c} >= 0.992" for c in _U + _V)} THEN 'OutOfFrame' WHEN abs({_TURN}) / 2 < 0.12 THEN 'TooFar' WHEN t * 10 < 0.5 THEN 'Searching' END AS gate FROM f7""")
+def _(spark, sf):
+    """Outlines of many sizes and places, so that every gate occurs."""
+    d = T.quad_cases(spark, sf)
+    size = F.lit(0.25) + 0.15 * Q("n")
+    quad = F.transform("quad", lambda v, i: v / F.when(i % 2 == 0, Q("w")).otherwise(Q("h")) * size + Q("d") - 0.05)
+    gate = CP.gate_cue(F.when(Q("q").cast("int") % 9 != 0, quad), Q("t") * 10)
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", gate.alias("gate"))
+
+
 @query("src_14_frame_source", "f4", "SELECT session_id, event_id, round(t, 6) AS t, seen, round(confidence, 6) AS confidence FROM f4")
 def _(spark, sf):
     f = T.frames(spark, sf)
