@@ -7,7 +7,7 @@ A chunk sends each of its *different* words and pairs once, with its counts, to
 owns the range of hashes; the part adds up what all chunks sent and answers each chunk with the
 totals over all documents, in the order in which it was asked. So what is gathered grows with
 the corpus, nothing is broadcast or sent to the driver but three sums, and a task holds a chunk
-or a part, whose size does not depend on the corpus.
+or one part at a time, whose size depends neither on the corpus nor on the number of tasks.
 
 p(w|v) = (c(v, w) + A * p(w)) / (c(v) + A), p(w) = (c(w) + B / V) / (N + B), V the different words of all documents.
 
@@ -16,7 +16,6 @@ Defined results: as in ``lmscore``. Rows with the id of a target row are target
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +31,8 @@ from folio.llm.lmscore import A, B, CACHE, held_out, target_rows
 
 #: Words of a chunk, at least (a text is never cut); words of the corpus for one part; the least number of parts.
 CHUNK, PART, PARTS = 1 << 21, 1 << 21, 256
+#: Parts that a task answers one after the other.
+PARTS_A_TASK = 8
 WORDS, PAIRS = 0, 1
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -159,25 +160,35 @@ def _asker(parts: int):
 ASKED_TYPES = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
+def _answers(part: int, kind: int, rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    keys = [unpacked_keys(k) for _, k, _ in rows]
+    different, where = np.unique(np.concatenate(keys), return_inverse=True)
+    wide = 4 if kind == WORDS else 2
+    totals, at = np.zeros((wide, len(different)), np.int64), 0
+    for own, (_, _, counts) in zip(keys, rows):
+        totals[:, where[at:at + len(own)]] += unpacked(counts, np.int64).reshape(wide, -1)  # a chunk's keys are all different
+        at += len(own)
+    at, sums = 0, (int((different > 0).sum()), int(totals[0].sum()), int(totals[1].sum())) if kind == WORDS else (0, 0, 0)
+    for own, (chunk, _, _) in zip(keys, rows):
+        yield pa.RecordBatch.from_pylist([{"chunk": chunk, "part": part, "kind": kind, "counts": packed(totals[:, where[at:at + len(own)]].ravel()),
+                                           "words": sums[0], "n_all": sums[1], "n_target": sums[2]}], ANSWER_TYPES)
+        at, sums = at + len(own), (0, 0, 0)
+
+
 def _answerer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up what came to a part and answers every chunk with the totals; one row of a part has its sums."""
-    came = defaultdict(list)
+    """Adds up what came to a part and answers every chunk with the totals; one row of a part has its sums.
+
+    Rows come sorted by part and kind, and a part is answered when its last row is there: no more than one is held."""
+    now, came = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            came[row["part"], row["kind"]].append((row["chunk"], row["keys"], row["counts"]))
-    for (part, kind), rows in came.items():
-        keys = [unpacked_keys(k) for _, k, _ in rows]
-        different, where = np.unique(np.concatenate(keys), return_inverse=True)
-        wide = 4 if kind == WORDS else 2
-        totals, at = np.zeros((wide, len(different)), np.int64), 0
-        for own, (_, _, counts) in zip(keys, rows):
-            totals[:, where[at:at + len(own)]] += unpacked(counts, np.int64).reshape(wide, -1)  # a chunk's keys are all different
-            at += len(own)
-        at, sums = 0, (int((different > 0).sum()), int(totals[0].sum()), int(totals[1].sum())) if kind == WORDS else (0, 0, 0)
-        for own, (chunk, _, _) in zip(keys, rows):
-            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "part": part, "kind": kind, "counts": packed(totals[:, where[at:at + len(own)]].ravel()),
-                                               "words": sums[0], "n_all": sums[1], "n_target": sums[2]}], ANSWER_TYPES)
-            at, sums = at + len(own), (0, 0, 0)
+            if now != (row["part"], row["kind"]):
+                if came:
+                    yield from _answers(*now, came)
+                now, came = (row["part"], row["kind"]), []
+            came.append((row["chunk"], row["keys"], row["counts"]))
+    if came:
+        yield from _answers(*now, came)
 
 
 ANSWER_TYPES = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("kind", pa.int32()), ("counts", pa.binary()), ("words", pa.int64()), ("n_all", pa.int64()), ("n_target", pa.int64())])
@@ -217,8 +228,10 @@ def _scorer(v: int, n_all: int, n_target: int):
     return run
 
 
-def scored(docs: DataFrame, target: DataFrame, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_words, target_loss, background_loss, score``; ``target(id)`` has the ids of target rows, each once."""
+def scored(docs: DataFrame, target: DataFrame, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", tasks: int | None = None) -> DataFrame:
+    """One row per document: ``doc_id, n_words, target_loss, background_loss, score``; ``target(id)`` has the ids of target rows, each once.
+
+    ``tasks`` is the number of tasks that answer; by default it grows with the corpus."""
     rows = docs.select(column(docs, id_col, "long").alias("id"), column(docs, text_col, "string").cast("binary").alias("text"))
     chunks = staged(rows.mapInArrow(_chunker(chunk), CHUNKS), "chunks")
     parts = parts_for(chunks.agg(F.sum("n")).first()[0] or 0)
@@ -226,7 +239,8 @@ def scored(docs: DataFrame, target: DataFrame, chunk: int = CHUNK, id_col: str =
     ids = chunks.select("chunk", F.posexplode("ids").alias("at", "id"))
     marks = ids.join(target.select(F.col("id").alias("wanted")).hint("merge"), F.col("id") == F.col("wanted")).groupBy("chunk").agg(F.collect_list("at").alias("marks"))
     asked = chunks.join(marks.hint("merge"), "chunk", "left").mapInArrow(_asker(parts), ASKED)
-    answers = staged(asked.repartition("part").mapInArrow(_answerer, ANSWERS), "answers")
+    dealt = asked.repartition(tasks or parts // PARTS_A_TASK, "part").sortWithinPartitions("part", "kind")
+    answers = staged(dealt.mapInArrow(_answerer, ANSWERS), "answers")
     sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "n_all", "n_target")]).first()
     found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(*sums), SCORES)
     return found.withColumn("score", F.col("background_loss") - F.col("target_loss"))

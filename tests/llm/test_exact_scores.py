@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_operators import docs_of, none, odd  # noqa: F401
 
@@ -48,6 +49,30 @@ def test_scores_equal_a_plain_version(spark, odd, none, chunk):  # noqa: F811
     assert lmexact.scored(none, target, chunk).count() == 0
 
 
+def test_a_task_holds_one_part_at_a_time(spark, sf):
+    """One task and 64 give the same scores; with rows in order of their parts each is answered before the next one comes."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    target = docs.filter("doc_id % 3 = 0").select(docs["doc_id"].alias("id"))
+    one, many = (lmexact.scored(docs, target, 5_000, tasks=n).collect() for n in (1, 64))
+    alike(one, [(r.doc_id, r.n_words, r.target_loss, r.background_loss) for r in many])
+    chunks = [[{"part": p, "kind": kind, "chunk": c, "keys": lmexact.packed_keys(np.array([7 * p + 1, 7 * p + 2 + c], np.uint64)),
+                "counts": lmexact.packed(np.ones((4 if kind == lmexact.WORDS else 2) * 2, np.int64))} for c in range(5)]
+              for p in range(6) for kind in (lmexact.WORDS, lmexact.PAIRS)]
+    read = []
+
+    def batches():
+        for k, rows in enumerate(chunks):
+            read.append(k)
+            yield pa.RecordBatch.from_pylist(rows, lmexact.ASKED_TYPES)
+
+    for answer in lmexact._answerer(batches()):
+        row = answer.to_pylist()[0]
+        assert len(read) <= 2 * row["part"] + row["kind"] + 2, "later parts were read before this one was answered"
+        counts = lmexact.unpacked(row["counts"], np.int64).reshape(4 if row["kind"] == lmexact.WORDS else 2, -1)
+        assert counts[:, 0].tolist() == [5] * len(counts) and counts[:, 1].tolist() == [1] * len(counts)
+    assert len(read) == 12
+
+
 def test_query_keeps_words_apart_that_share_a_slot(spark, tmp_path):
     ids, first = lmscore.Ids(lmscore.VOCAB), {}
     for k in range(100_000):
