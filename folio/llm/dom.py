@@ -192,7 +192,7 @@ def features(page: Page) -> np.ndarray:
         for i in range(n - 1, 0, -1):
             total[parent[i]] += total[i]
     depth = np.array([x.depth for x in nodes], float)
-    group = np.array([_bits(x.words) for x in nodes], np.int64)
+    group = np.array([group_bits(x.words) for x in nodes], np.int64)
     tag = np.array([TAG_AT.get(x.tag, -1) for x in nodes])
     above, above_tag = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i in range(1, n):
@@ -230,7 +230,8 @@ def features(page: Page) -> np.ndarray:
     return np.hstack([one_hot, bits(group, N_GROUPS), bits(above, N_GROUPS), bits(above_tag, 9), rest])
 
 
-def _bits(words: frozenset[str]) -> int:
+def group_bits(words: frozenset[str]) -> int:
+    """The groups of a node's attribute words, a bit each."""
     out = 0
     for w in words:
         out |= WORD_GROUP.get(w, 0)
