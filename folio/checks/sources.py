@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from folio.checks.base import query, view
+from folio.checks.geometry import PAPER
 from folio.functions import pages as P
 from folio.sources import files as FS
 from folio.session import checkpoint_dir
@@ -23,6 +24,40 @@ def _(spark, sf):
     return p.select("path", FS.supported(Q("path")).alias("ok"), FS.photo_extension(Q("path")).alias("photo"))
 
 
+def picture_files(spark, sf):
+    """A picture file per row of ``part``: six kinds of headers, long segments before the density, and files cut off."""
+    i, z = Q("p_partkey"), Q("p_size")
+    w, h, d = 600 + z * 37, 800 + i * 13 % 2000, 100 + z * 7 % 500
+    be = lambda c, n: F.lpad(F.hex(F.lit(c).cast("long") if isinstance(c, int) else c.cast("long")), 2 * n, "0")
+    le = lambda c, n: F.concat(*[F.substring(be(c, n), 2 * k + 1, 2) for k in reversed(range(n))])
+    bytes_of = lambda *parts: F.unhex(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    fill = "00" * 6000
+    per_m = F.rint(d / 0.0254)
+    start = ("89504E470D0A1A0A", "0000000D49484452", be(w, 4), be(h, 4), "0800000000", "00000000")
+    png = bytes_of(*start, be(6000, 4), "74455874", fill, "00000000", "0000000970485973", be(per_m, 4), be(per_m, 4), "01", "00000000", "0000000049444154", "00000000")
+    jpeg = lambda unit, x: bytes_of("FFD8FFE000104A46494600", "0102", be(unit, 1), be(x, 2), be(x, 2), "0000", "FFE1", be(6002, 2), fill, "FFFFC2", "0011", "08", be(h, 2), be(w, 2), "03", "00" * 9)
+    bmp = bytes_of("424D", "00" * 8, le(54, 4), le(40, 4), le(w, 4), le(h, 4), "01001800", "00" * 8, le(per_m, 4), le(per_m, 4), "00" * 8)
+    gif = bytes_of("474946383961", le(w, 2), le(h, 2), "000000")
+    entry = lambda tag, kind, value: (be(tag, 2), be(kind, 2), "00000001", value)
+    tiff = bytes_of("4D4D002A", be(6024, 4), be(d, 4), "00000001", be(d * 10, 4), "0000000A", fill, "0005", *entry(256, 4, be(w, 4)), *entry(257, 4, be(h, 4)), *entry(282, 5, be(8, 4)),
+                    *entry(283, 5, be(16, 4)), *entry(296, 3, "00020000"), "00000000")
+    kinds = (png, jpeg(1, d), jpeg(2, 40 + z), bmp, gif, tiff)
+    body = F.substring(png, 1, 20)
+    for k, c in enumerate(kinds):
+        body = F.when(i % 7 == k, c).otherwise(body)
+    return T.read(spark, sf, "part").select(i.cast("string").alias("path"), body.alias("content"))
+
+
+@query("src_03_image_info", "", f"""
+    WITH p AS (SELECT p_partkey, p_partkey % 7 AS k, CAST(600 + p_size * 37 AS INTEGER) AS w, CAST(800 + p_partkey * 13 % 2000 AS INTEGER) AS h, 100 + p_size * 7 % 500 AS d, 40 + p_size AS cm FROM part),
+    est AS (SELECT p_partkey, arg_min(wi, (abs(wi / hi - w / CAST(h AS DOUBLE)), o)) AS wi FROM p CROSS JOIN {PAPER} WHERE k = 4 GROUP BY p_partkey),
+    r AS (SELECT p.*, CASE k WHEN 2 THEN round_even(cm * CAST(2.54 AS DOUBLE), 0) WHEN 4 THEN round_even(w / wi, 0) ELSE d END AS dpi FROM p LEFT JOIN est USING (p_partkey))
+    SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN k < 6 THEN w END AS w, CASE WHEN k < 6 THEN h END AS h, CASE WHEN k < 6 THEN CAST(dpi AS INTEGER) END AS dpi_x, CASE WHEN k < 6 THEN CAST(dpi AS INTEGER) END AS dpi_y,
+           CASE WHEN k < 6 THEN 'Ready' ELSE 'Failed' END AS state FROM r""")
+def _(spark, sf):
+    return FS.image_info(picture_files(spark, sf))
+
+
 @query("src_04_fan_out_frames", "", """
     SELECT p_partkey, CAST(k AS INTEGER) AS k, CASE WHEN pdf OR n > 1 THEN p_name || ' #' || k ELSE p_name END AS label
     FROM (SELECT p_partkey, p_name, 1 + p_size % 7 AS n, p_partkey % 3 = 0 AS pdf, unnest(range(1, 2 + p_size % 7)) AS k FROM part)""")

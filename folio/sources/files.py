@@ -14,6 +14,7 @@ from folio.functions import naming as N
 from folio.functions.geometry import resolve_dpi
 from folio.functions.pages import PAGE_EXTENSIONS, PHOTO_EXTENSIONS
 from folio.session import shuffle_partitions
+from folio.sources.headers import heads
 
 
 # --- page files and pictures -------------------------------------------------------
@@ -60,27 +61,15 @@ def image_states(spark: SparkSession, path: str) -> DataFrame:
                     F.when(ok, "Ready").otherwise("Failed").alias("state"))
 
 
-def _be(data: Column, start: int, size: int) -> Column:
-    return F.conv(F.hex(F.substring(data, start, size)), 16, 10).cast("int")
-
-
-def _le(data: Column, start: int, size: int) -> Column:
-    return F.conv(F.concat(*[F.lpad(F.hex(F.substring(data, start + i, 1)), 2, "0") for i in reversed(range(size))]), 16, 10).cast("int")
-
-
 def image_info(files: DataFrame) -> DataFrame:
-    """``path, w, h, dpi_x, dpi_y`` of PNG and BMP files from their first bytes; the tag is the file's density."""
-    c = F.col("content")
-    png = F.hex(F.substring(c, 1, 4)) == "89504E47"
-    bmp = F.substring(c, 1, 2).cast("string") == "BM"
-    head = F.hex(F.substring(c, 1, 4096))
-    at = (F.instr(head, "70485973") - 1) / 2  # density chunk, when present near the start
-    per_m = F.when(png & (at > 0), F.conv(F.substring(head, (at * 2 + 9).cast("int"), F.lit(8)), 16, 10).cast("double")).when(bmp, _le(c, 39, 4).cast("double"))
-    w = F.when(png, _be(c, 17, 4)).when(bmp, _le(c, 19, 4))
-    h = F.when(png, _be(c, 21, 4)).when(bmp, _le(c, 23, 4))
-    d = files.select("path", w.alias("w"), h.alias("h"), F.coalesce(per_m * 0.0254, F.lit(0.0)).alias("tag")).filter("w IS NOT NULL")
-    x, y = resolve_dpi(F.col("w"), F.col("h"), F.col("tag"), F.col("tag"))
-    return d.select("path", "w", "h", x.alias("dpi_x"), y.alias("dpi_y"))
+    """``path, w, h, dpi_x, dpi_y, state`` of PNG, JPEG, BMP, GIF and TIFF files from their headers alone.
+
+    Files whose header can't be read (cut off, of another kind, null) stay as ``Failed`` rows without a size.
+    """
+    d = heads(files)
+    x, y = resolve_dpi(F.col("w"), F.col("h"), F.col("tag_x"), F.col("tag_y"))
+    ok = F.col("w").isNotNull()
+    return d.select("path", "w", "h", F.when(ok, x).alias("dpi_x"), F.when(ok, y).alias("dpi_y"), F.when(ok, "Ready").otherwise("Failed").alias("state"))
 
 
 def fan_out_frames(files: DataFrame) -> DataFrame:
