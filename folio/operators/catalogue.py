@@ -96,33 +96,32 @@ def unique_names(names: DataFrame, taken: DataFrame | None, chunk: Column, order
 
 # --- order inside a document -------------------------------------------------------
 
-def _moved_once(pages: DataFrame, moves: DataFrame) -> DataFrame:
-    m = moves.select(F.col("doc_id").alias("_doc"), F.col("page_id").alias("_moved"), F.col("to").alias("_to"))
-    size = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    src = pages.join(m, (F.col("doc_id") == F.col("_doc")) & (F.col("page_id") == F.col("_moved"))).select(
-        "_doc", F.col("index").alias("_from"), "_to")
-    d = pages.join(size, "doc_id").join(src, F.col("doc_id") == F.col("_doc"), "left")
-    to = F.least(F.greatest(F.col("_to"), F.lit(0)), F.col("_n") - 1)
-    i, f = F.col("index"), F.col("_from")
-    new = (F.when(f.isNull(), i).when(i == f, to).when((f < to) & (i > f) & (i <= to), i - 1)
-           .when((to < f) & (i >= to) & (i < f), i + 1).otherwise(i))
-    return d.withColumn("new_index", new).drop("_n", "_doc", "_from", "_to")
+def _after(at: Column, step: Column) -> Column:
+    """Where a page at ``at`` stands after the page at ``step.f`` went to ``step.t``."""
+    f, t = step["f"], step["t"]
+    return (F.when(at == f, t).when((f < at) & (at <= t), at - 1).when((t <= at) & (at < f), at + 1).otherwise(at))
 
 
 def move_pages(pages: DataFrame, moves: DataFrame) -> DataFrame:
     """Adds ``new_index`` after moving pages to (clamped) indices, one move after the other.
 
     ``pages``: ``doc_id, page_id, index`` (0-based); ``moves``: ``doc_id, page_id, to`` and, where a
-    document has several, ``seq``, their order. The n-th moves of all documents are one round.
+    document has several, ``seq``, their order; moves of pages that are not there are left out.
+    The moves of a document, a list of user edits, fold into steps (from, to), and every page
+    folds its index over the steps of its document: one job, whatever the number of moves.
     """
-    if "seq" not in moves.columns:
-        return _moved_once(pages, moves)
-    m = checkpointed(numbered(moves, "doc_id", block("seq"), ["seq"], "_nth"))
-    rounds = m.agg(F.coalesce(F.max("_nth"), F.lit(0))).first()[0]
-    d = pages.withColumn("_old", F.col("index"))
-    for nth in range(1, rounds + 1):
-        d = checkpointed(_moved_once(d, m.filter(F.col("_nth") == nth)).withColumn("index", F.col("new_index")).drop("new_index"))
-    return d.withColumnsRenamed({"index": "new_index", "_old": "index"})
+    seq = F.col("seq") if "seq" in moves.columns else F.lit(0)
+    m = moves.select(F.col("doc_id").alias("_doc"), F.col("page_id").alias("_page"), F.col("to").cast("bigint").alias("_to"), seq.alias("_seq"))
+    size = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    begun = m.join(pages.select("doc_id", "page_id", F.col("index").cast("bigint").alias("_i")), (F.col("doc_id") == F.col("_doc")) & (F.col("page_id") == F.col("_page")))
+    begun = begun.select("_doc", "_seq", "_i", "_to").join(size, F.col("_doc") == F.col("doc_id"))
+    to = F.least(F.greatest(F.col("_to"), F.lit(0)), F.col("_n") - 1)
+    lists = begun.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct(F.col("_seq").alias("s"), F.col("_i").alias("i"), to.alias("t")))).alias("_moves"))
+    none = F.array().cast("array<struct<f:bigint,t:bigint>>")
+    steps = F.aggregate("_moves", none, lambda done, x: F.concat(done, F.array(F.struct(F.aggregate(done, x["i"], _after).alias("f"), x["t"].alias("t")))))
+    d = pages.join(lists.select("_doc", steps.alias("_steps")), F.col("doc_id") == F.col("_doc"), "left")
+    moved = F.aggregate(F.coalesce("_steps", none), F.col("index").cast("bigint"), _after)
+    return d.withColumn("new_index", moved).drop("_doc", "_steps")
 
 
 def insert_at(pages: DataFrame, inserts: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import struct
 import zlib
 
@@ -74,6 +75,16 @@ def test_several_moves_and_restores_of_a_document(spark):
         want[d].insert(max(0, min(to, 4)), p)
     got = C.move_pages(pages, spark.createDataFrame(moves, "doc_id long, page_id string, to long, seq long")).orderBy("doc_id", "new_index").collect()
     assert [r.page_id for r in got] == want[1] + want[2]
+    rng = random.Random(5)
+    many = [(1, f"p{rng.randrange(30)}", rng.randrange(-3, 40), k) for k in range(300)]
+    order = [f"p{i}" for i in range(29)]
+    book = spark.createDataFrame([(1, p, i) for i, p in enumerate(order)], "doc_id long, page_id string, index long")
+    for _, p, to, _ in many:
+        if p in order:  # there is no p29
+            order.remove(p)
+            order.insert(max(0, min(to, 28)), p)
+    got = C.move_pages(book, spark.createDataFrame(many, "doc_id long, page_id string, to long, seq long")).orderBy("new_index").collect()
+    assert [r.page_id for r in got] == order and [r.new_index for r in got] == list(range(29))
     left = pages.filter("page_id NOT IN ('1b', '1d', '1e', '2a')").withColumn("state", F.lit("Ready"))
     from pyspark.sql import Window
     left = left.withColumn("index", (F.row_number().over(Window.partitionBy("doc_id").orderBy("index")) - 1).cast("long"))
