@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from folio.functions import geometry as G
@@ -23,3 +25,10 @@ def test_overlap_is_counted_without_a_row_per_grid_point(spark):
     a, b = (G.quad_contains(F.col(c), F.col("x"), F.col("y")) for c in ("quad", "quad2"))
     want = grid.groupBy("case_id").agg(F.count_if(a & b).alias("inter"), F.count_if(a | b).alias("uni"))
     assert sorted(got.select("case_id", "inter", "uni").collect()) == sorted(want.collect())
+
+
+def test_corners_are_computed_once_per_candidate(spark):
+    line = "image_id bigint, w int, h int, line_id string, theta double, rho double, votes double, is_border boolean, strength double"
+    d = OL.outline_candidates(OL.line_pairs(spark.createDataFrame([(1, 480, 360, "a", 0.1, 40.0, 9.0, False, 20.0)], line)))
+    p = d._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bCOS\(", p)) <= 8  # where the lines are read, none in a rule on corners
