@@ -42,3 +42,20 @@ def test_sources_of_both_densities_agree_with_sql(spark, name):
     sf = "/root/testdata/sf0.1"  # from picture 11 on there are sources that are read at one position
     queries, oracles = checks.load()
     assert compare(spark, duck(sf), name, queries[name], oracles[name], sf)[0].startswith("ok 32")
+
+
+def test_a_batch_of_pages_holds_bytes_not_words(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+    from folio.operators import scanlines as SL
+    caught = []
+    monkeypatch.setattr(SL.F, "arrow_udf", lambda run, returnType: caught.append(run) or (lambda *cols: None))
+    monkeypatch.setattr(SL.F, "struct", lambda *cols: None)
+    SL.per_page(lambda p: p.astype("int64"), SL.BYTES)(*[F.lit(1)] * 3)
+    vals, args = pa.array([bytes(250_000)] * 64), pa.array([{"w": 500, "h": 500}] * 64)
+    tracemalloc.start()
+    caught[0](vals, args)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 64 * 250_000  # eight times as much where the kernel's words are kept
