@@ -59,3 +59,10 @@ def test_a_batch_of_pages_holds_bytes_not_words(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2 * 64 * 250_000  # eight times as much where the kernel's words are kept
+
+
+def test_listed_files_are_not_made_distinct_for_a_semi_join(spark):
+    from folio.operators.references import with_existing_source
+    a, b = (spark.createDataFrame([("A/1.jpg",), ("a/1.JPG",)], "path string") for _ in range(2))
+    got = with_existing_source(a, b)
+    assert "HashAggregate" not in plan(got) and got.count() == 2
