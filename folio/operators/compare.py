@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions.settings import luma_signature
+from folio.operators import scanlines as SL
 
 
 def mismatch(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -22,6 +25,21 @@ def mismatch(found: DataFrame, truth: DataFrame) -> DataFrame:
                     F.round(F.col("lost") / F.greatest(F.lit(1), F.col("ink")), 6).alias("lost_ink"))
 
 
+def _differing(found: np.ndarray, truth: bytes) -> dict:
+    f, t = found.ravel() == 0, np.frombuffer(truth, np.uint8) == 0
+    return {"n": t.size, "bad": int((f != t).sum()), "ink": int(t.sum()), "lost": int((t & ~f).sum())}
+
+
+differing_of = SL.per_page(_differing, SL.record(**{c: T.LongType() for c in ("n", "bad", "ink", "lost")}))
+
+
+def page_mismatch(pages: DataFrame) -> DataFrame:
+    """:func:`mismatch` of pages of one row each with a second picture ``truth`` of the same size beside ``vals``."""
+    n = pages.select("image_id", SL.of(differing_of, F.col("truth")).alias("n"))
+    return n.select("image_id", F.round(F.col("n.bad") / F.col("n.n"), 6).alias("mismatch"),
+                    F.round(F.col("n.lost") / F.greatest(F.lit(1), F.col("n.ink")), 6).alias("lost_ink"))
+
+
 def frame_signature(rgb: DataFrame, cells: int = 8) -> DataFrame:
     """``image_id, cy, cx, level``: mean gray of a coarse grid, every second pixel."""
     px = rgb.filter((F.col("y") % 2 == 0) & (F.col("x") % 2 == 0))

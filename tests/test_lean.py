@@ -56,7 +56,7 @@ def test_levelled_rows_of_both_forms_are_equal(spark, pages):
     assert rows(SL.pixels(LN.level_rows(pages, t)), *cols) == rows(RS.level_rows(SL.pixels(pages), d), *cols)
 
 
-@pytest.mark.parametrize("name", ["agg_09_projection_score", "join_15_ink_by_angle", "agg_10_detect_skew", "agg_11_band_angles", "agg_12_line_tilt", "img_10_level_text"])
+@pytest.mark.parametrize("name", ["agg_09_projection_score", "join_15_ink_by_angle", "agg_10_detect_skew", "agg_11_band_angles", "agg_12_line_tilt", "img_10_level_text", "join_13_truth"])
 def test_no_row_per_pixel(spark, sf, name, monkeypatch):
     monkeypatch.setattr(T, "text_pixels", lambda *a: pytest.fail("a row per pixel"))
     d = checks.load()[0][name](spark, sf)
