@@ -47,7 +47,7 @@ _cropped_views()
     LEFT JOIN (SELECT b.image_id, zero, CASE WHEN fs > bs THEN fa ELSE best END AS ang, greatest(fs, bs) AS s FROM cskew_best b
       JOIN (SELECT image_id, arg_max(a, (score, -a)) AS fa, max(score) AS fs FROM cskew_fine GROUP BY image_id) f USING (image_id)) z USING (image_id)""")
 def _(spark, sf):
-    d = A.analyze_pages(T.text_images(spark, sf), T.text_pixels(spark, sf))
+    d = A.analyze_page_rows(T.text_pages(spark, sf))
     return d.select("image_id", "is_blank", *[F.round(f"crop.{c}", 6).alias(f"crop_{c}") for c in "xywh"], F.round("skew", 6).alias("skew"))
 
 

@@ -11,6 +11,7 @@ from folio.operators import lean as LN
 from folio.operators import projection as PR
 from folio.operators import resample as RS
 from folio.operators import scanlines as SL
+from folio.plans import analyze as A
 from folio.sources import tables as T
 
 
@@ -56,7 +57,13 @@ def test_levelled_rows_of_both_forms_are_equal(spark, pages):
     assert rows(SL.pixels(LN.level_rows(pages, t)), *cols) == rows(RS.level_rows(SL.pixels(pages), d), *cols)
 
 
-@pytest.mark.parametrize("name", ["agg_09_projection_score", "join_15_ink_by_angle", "agg_10_detect_skew", "agg_11_band_angles", "agg_12_line_tilt", "img_10_level_text", "join_13_truth"])
+def test_analysis_of_both_forms_is_equal(pages):
+    some = pages.filter("h > 0")
+    cols = ["image_id", "is_blank", "crop", "skew", "summary"]
+    assert rows(A.analyze_page_rows(some), *cols) == rows(A.analyze_pages(some.select("image_id", "w", "h"), SL.pixels(some)), *cols)
+
+
+@pytest.mark.parametrize("name", ["agg_09_projection_score", "join_15_ink_by_angle", "agg_10_detect_skew", "agg_11_band_angles", "agg_12_line_tilt", "img_10_level_text", "join_13_truth", "img_01_analyze_pages"])
 def test_no_row_per_pixel(spark, sf, name, monkeypatch):
     monkeypatch.setattr(T, "text_pixels", lambda *a: pytest.fail("a row per pixel"))
     d = checks.load()[0][name](spark, sf)
