@@ -63,7 +63,8 @@ def test_analysis_of_both_forms_is_equal(pages):
     assert rows(A.analyze_page_rows(some), *cols) == rows(A.analyze_pages(some.select("image_id", "w", "h"), SL.pixels(some)), *cols)
 
 
-@pytest.mark.parametrize("name", ["agg_09_projection_score", "join_15_ink_by_angle", "agg_10_detect_skew", "agg_11_band_angles", "agg_12_line_tilt", "img_10_level_text", "join_13_truth", "img_01_analyze_pages"])
+@pytest.mark.parametrize("name", ["agg_09_projection_score", "join_15_ink_by_angle", "agg_10_detect_skew", "agg_11_band_angles", "agg_12_line_tilt",
+                                  "img_10_level_text", "img_01_analyze_pages", "join_13_truth", "fil_07_drop_blank"])
 def test_no_row_per_pixel(spark, sf, name, monkeypatch):
     monkeypatch.setattr(T, "text_pixels", lambda *a: pytest.fail("a row per pixel"))
     d = checks.load()[0][name](spark, sf)
