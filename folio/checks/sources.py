@@ -181,9 +181,9 @@ def _(spark, sf):
     SELECT CAST(page_id AS VARCHAR) AS key, text, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h, CAST(baseline_y AS INTEGER) AS baseline_y, CAST(confidence AS DOUBLE) AS confidence
     FROM f9 WHERE page_id % 19 <> 3""")
 def _(spark, sf):
-    o = T.words(spark, sf)
+    o = T.words(spark, sf, dealt=True)
     fields = {"Text": Q("text"), **{k: Q(c).cast("int") for k, c in (("X", "x"), ("Y", "y"), ("Width", "w"), ("Height", "h"), ("BaselineY", "baseline_y"))}, "Confidence": Q("confidence").cast("float")}
-    words = FS.parse_ocr_words(lists(o, Q("page_id").cast("string"), fields, lambda k: k.cast("long") % 19 == 3))
+    words = FS.parse_ocr_words(lists(o, Q("page_id"), fields, lambda k: k % 19 == 3))
     return words.withColumn("confidence", Q("confidence").cast("double"))
 
 

@@ -154,8 +154,8 @@ def read_project(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_ocr_words(files: DataFrame) -> DataFrame:
     """Cached word rows by ``key`` (the file name); unreadable entries are ignored."""
-    d = _parsed(files, WORD)
-    return d.select(N.stem(F.col("file")).alias("key"), F.col("Text").alias("text"), F.col("X").alias("x"), F.col("Y").alias("y"), F.col("Width").alias("w"),
+    d = _parsed(files.withColumn("file", N.stem(F.col("file"))), WORD)  # once a file, not once a word
+    return d.select(F.col("file").alias("key"), F.col("Text").alias("text"), F.col("X").alias("x"), F.col("Y").alias("y"), F.col("Width").alias("w"),
                     F.col("Height").alias("h"), F.col("BaselineY").alias("baseline_y"), F.col("Confidence").alias("confidence")).filter("text IS NOT NULL")
 
 
