@@ -127,7 +127,8 @@ def _(spark, sf):
 def _(spark, sf):
     w = T.words(spark, sf)
     spaced = F.concat(F.lit("  "), "text", F.lit("́ "))
-    return w.select("page_id", "line", "k", N.ocr_text_clean(spaced).alias("text")).filter("text IS NOT NULL")
+    # the words leave a generator: the filter on them can't be pushed below it, where it would compose them once more
+    return w.select("page_id", "line", "k", F.explode(F.array(N.ocr_text_clean(spaced))).alias("text")).filter("text IS NOT NULL")
 
 
 @query("sca_50_trial_state", "f5", """

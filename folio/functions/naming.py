@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -124,9 +124,14 @@ def valid_id(c: Column) -> Column:
     return F.coalesce(c.rlike("^[A-Za-z0-9]+$"), F.lit(False))
 
 
-@F.pandas_udf(StringType())
-def _compose(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFC")
+def _composed(s: pa.Array) -> pa.Array:
+    """Each different word of a batch is composed once (Arrow's own ``utf8_normalize`` leaves accents apart)."""
+    words = s.cast(pa.string()).dictionary_encode()
+    composed = pa.array([unicodedata.normalize("NFC", w) for w in words.dictionary.to_pylist()], pa.string())
+    return composed.take(words.indices)
+
+
+_compose = F.arrow_udf(_composed, returnType=StringType())
 
 
 def ocr_text_clean(c: Column) -> Column:
