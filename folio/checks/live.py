@@ -41,9 +41,9 @@ def _(spark, sf):
     """Outlines of many sizes and places, so that every gate occurs."""
     d = T.quad_cases(spark, sf)
     size = F.lit(0.25) + 0.15 * Q("n")
-    quad = F.transform("quad", lambda v, i: v / F.when(i % 2 == 0, Q("w")).otherwise(Q("h")) * size + Q("d") - 0.05)
-    gate = CP.gate_cue(F.when(Q("q").cast("int") % 9 != 0, quad), Q("t") * 10)
-    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", gate.alias("gate"))
+    quad = F.array(*[Q("quad")[i] / Q("w" if i % 2 == 0 else "h") * size + Q("d") - 0.05 for i in range(8)])
+    d = d.withColumn("quad", F.when(Q("q").cast("int") % 9 != 0, quad)).withColumn("confidence", Q("t") * 10)
+    return CP.with_gates(d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "gate")
 
 
 @query("src_14_frame_source", "f4", "SELECT session_id, event_id, round(t, 6) AS t, seen, round(confidence, 6) AS confidence FROM f4")

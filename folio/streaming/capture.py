@@ -34,7 +34,9 @@ def gate_cue(q: Column, confidence: Column) -> Column:
 
 
 def with_gates(frames: DataFrame) -> DataFrame:
-    return frames.withColumn("gate", gate_cue(F.col("quad"), F.col("confidence")))
+    """Frames with their ``gate``; the outline leaves a generator, so its many uses don't each compute it again."""
+    d = frames.withColumn("_q", F.explode(F.array("quad")))
+    return d.withColumn("gate", gate_cue(F.col("_q"), F.col("confidence"))).drop("_q")
 
 
 # --- one session as a table of transitions -----------------------------------------
