@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from folio.checks.base import query, view
@@ -11,6 +12,7 @@ from folio.functions import geometry as G
 from folio.operators import edges as E
 from folio.operators import outline as OL
 from folio.operators import raster as R
+from folio.operators import scanlines as SL
 from folio.operators import sides as SD
 from folio.operators import support as SU
 from folio.session import checkpointed
@@ -26,6 +28,12 @@ def epx(spark, sf):
     return px.select("image_id", "w", "h", "y", "x", Q("v").alias("r"), (Q("v") * 3 % 256).alias("g"), (255 - Q("v")).alias("b"))
 
 
+def epx_pages(spark, sf):
+    """The pictures of :func:`epx`, one row each."""
+    planes = SL.per_page(lambda p: np.stack([p, p * 3, 255 - p], -1), SL.BYTES)  # bytes wrap at 256
+    return T.mosaic_pages(spark, sf).withColumn("vals", SL.of(planes))
+
+
 def clamped(src: str, axis: str, cols: str) -> str:
     """Weighted 1-4-6-4-1 sum over clamped neighbours, by joining."""
     other = "y" if axis == "x" else "x"
@@ -356,14 +364,14 @@ def _(spark, sf):
 @query("img_08_detect_outline")
 def _(spark, sf):
     """The sheet in every mosaic picture as in a photo: all lines, all candidates and the borders of the frame."""
-    d = SU.detect_outline(epx(spark, sf))
+    d = SU.detect_outline(epx_pages(spark, sf))
     return d.select("image_id", F.transform("quad", lambda v: F.round(v, 6)).alias("quad"), F.round("confidence", 6).alias("confidence"), "found")
 
 
 @query("img_08_live_outline")
 def _(spark, sf):
     """The sheet in every mosaic picture with the settings of the live camera."""
-    d = SU.detect_outline(epx(spark, sf), frame_borders=False, edge=320, most_lines=40, most_scored=200)
+    d = SU.detect_outline(epx_pages(spark, sf), frame_borders=False, edge=320, most_lines=40, most_scored=200)
     return d.select("image_id", F.transform("quad", lambda v: F.round(v, 6)).alias("quad"), F.round("confidence", 6).alias("confidence"), "found")
 
 
