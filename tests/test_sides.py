@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -71,3 +72,26 @@ def test_sheets_are_refined_and_odd_pages_kept(spark, sf):
         assert err <= 8 and got[r.image_id].refined == 4, (r.image_id, err)
     assert got[10**6].refined == 0 and got[10**6].bends is None and got[10**6 + 1].refined == 0
     assert 10**6 + 2 not in got
+
+
+def test_a_sharp_border_is_found_between_pixels():
+    rng = np.random.default_rng(5)
+    y, x = np.mgrid[0:200, 0:200] + 0.5
+    for place in (100.0, 100.3, 101.75):
+        ramp = np.clip(0.5 + (place - x) / 3, 0, 1)[..., None] * 150 + 70  # paper left of a border three pixels soft
+        p = np.clip(ramp + rng.normal(0, 2, (200, 200, 3)), 0, 255).astype(np.uint8)
+        got = SD._side_points(p, np.array([100.0, 20]), np.array([100.0, 180]), np.array([1.0, 0]), 20.0, np.array([220.0] * 3))
+        assert len(got["e"]) == SD.PLACES and np.abs(got["e"] - (place - 100)).max() < 0.3
+    assert SD._middle(np.array([[np.nan, 9.0, 9, 2, 0, 0]]), np.array([1])).tolist() == [1]  # cut off on one side
+    assert SD._middle(np.array([[0.0, 9, 9, 9, 0, 0]]), np.array([1])).tolist() == pytest.approx([2])
+
+
+def test_bulges_of_soft_sheets_equal_the_sql(spark, tmp_path):
+    from folio import checks
+    from harness import compare
+    keys = "(838, 7, 6190.0), (886, 6, 7287.0)"  # a straight side was found bent, a bent one straight
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE supplier AS SELECT k::BIGINT AS s_suppkey, n::INTEGER AS s_nationkey, b::DOUBLE AS s_acctbal FROM (VALUES {keys}) v(k, n, b)")
+    con.execute(f"COPY supplier TO '{tmp_path}/supplier.parquet'")
+    name, (queries, oracles) = "img_09_refine_outline", checks.load()
+    assert compare(spark, con, name, queries[name], oracles[name], str(tmp_path))[0] == "ok 2"
