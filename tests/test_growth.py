@@ -66,3 +66,30 @@ def test_listed_files_are_not_made_distinct_for_a_semi_join(spark):
     a, b = (spark.createDataFrame([("A/1.jpg",), ("a/1.JPG",)], "path string") for _ in range(2))
     got = with_existing_source(a, b)
     assert "HashAggregate" not in plan(got) and got.count() == 2
+
+
+@pytest.mark.parametrize("name", ["join_03_unreferenced_files", "join_05_missing_sources"])
+def test_listed_files_are_not_shuffled(spark, sf, name):
+    from folio import checks
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(checks.load()[0][name](spark, sf))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = re.findall(r"Exchange hashpartitioning\((\w+)", p)
+    assert keys and not {"lower", "path", "_p"} & set(keys), keys
+
+
+def test_references_to_a_listing_equal_those_to_its_files(spark):
+    from folio.operators import references as R
+    names = spark.createDataFrame([("1.jpg", 1), ("1.JPG", 1), ("2.jpg", 2), ("2.jpg", 2), ("3.jpg", 1), ("3.jpg", 2), (None, 1), ("4.jpg", None), ("5.jpg", 1)], "name string, shelf long")
+    folders = spark.createDataFrame([("A/", 1), ("a/", 2), ("a/b/", 1), ("", 2), ("C/", None), (None, 1)], "folder string, shelf long")
+    paths = ["a/1.jpg", "A/2.JPG", "a/B/3.jpg", "a/B/3.jpg", "2.jpg", "a/4.jpg", "c/1.jpg", "gone/1.jpg", "a/b/", "", None]
+    a, b = (spark.createDataFrame([(i, p) for i, p in enumerate(x)], "page_id int, path string") for x in (paths[:5], paths))
+    files = R.listed(names, folders)
+    rows = lambda d: sorted(d.collect(), key=repr)
+    for versions in ([a], [a, b], [b.limit(0)]):
+        v = [x.select("path") for x in versions]
+        got = rows(R.unreferenced_listed(names, folders, v))
+        assert got and got == rows(R.unreferenced(files, v))
+    assert rows(R.with_listed_source(b, names, folders)) == rows(R.with_existing_source(b, files))
