@@ -34,7 +34,7 @@ def rasterize(points: DataFrame, pen: float, max_edge: int) -> DataFrame:
     d = points.withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w), "first": F.row_number().over(w) == 1})
     d = d.filter(F.col("nx").isNotNull() | F.col("first"))
     d = d.withColumns({"nx": F.coalesce("nx", "x"), "ny": F.coalesce("ny", "y")}).select("signature_id", "x", "y", "nx", "ny").distinct()
-    d = d.join(ink_boxes(points, pen, max_edge).select("signature_id", "x0", "y0", "scale", "w", "h"), "signature_id")
+    d = d.join(ink_boxes(points, pen, max_edge).select("signature_id", "x0", "y0", "scale", "w", "h").hint("merge"), "signature_id")
     d = d.select("signature_id", "w", "h", *[((F.col(c) - F.col(o)) * F.col("scale")).alias(n) for c, o, n in (("x", "x0", "ax"), ("y", "y0", "ay"), ("nx", "x0", "bx"), ("ny", "y0", "by"))],
                  (F.lit(pen) * F.col("scale") / 2).alias("r"))
     reach = F.col("r") + 1
@@ -103,7 +103,8 @@ def raster_masks(points: DataFrame, pen: float, max_edge: int) -> DataFrame:
     d = d.withColumns({"nx": F.coalesce("nx", "x"), "ny": F.coalesce("ny", "y"), "_c": F.floor(F.col("_k") / CHUNK)})
     d = d.groupBy("signature_id", "stroke", "_c").agg(F.collect_list(F.array("x", "y", "nx", "ny")).alias("seg"))
     box = ink_boxes(points, pen, max_edge).select("signature_id", "x0", "y0", "scale", "w", "h", F.ceil(F.col("points") / SPREAD).alias("_n"))
-    d = d.join(box, "signature_id").withColumn("_p", F.pmod(F.hash("stroke", "_c"), F.col("_n")))
+    # points come out of texts, so by the size of the files the optimizer takes their segments for a table to broadcast
+    d = d.join(box.hint("merge"), "signature_id").withColumn("_p", F.pmod(F.hash("stroke", "_c"), F.col("_n")))
     # drawing costs much more than its few bytes tell, so the number of tasks is given
     d = d.repartition(shuffle_partitions(points.sparkSession), "signature_id", "_p").sortWithinPartitions("signature_id")
     d = d.select("signature_id", "x0", "y0", "scale", "w", "h", "seg")

@@ -28,3 +28,9 @@ def test_masks_of_a_spread_signature_are_laid_over_each_other(spark, monkeypatch
     whole = I.raster_masks(pts, 3.0, 120).collect()
     monkeypatch.setattr(I, "SPREAD", 10)
     assert I.raster_masks(pts, 3.0, 120).collect() == whole and len(whole) == 1
+
+
+def test_segments_are_not_broadcast(spark, sf):
+    from folio import checks
+    p = checks.load()[0]["join_19_stroke_raster"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in p and "SortMergeJoin" in p
