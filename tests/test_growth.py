@@ -93,3 +93,33 @@ def test_references_to_a_listing_equal_those_to_its_files(spark):
         got = rows(R.unreferenced_listed(names, folders, v))
         assert got and got == rows(R.unreferenced(files, v))
     assert rows(R.with_listed_source(b, names, folders)) == rows(R.with_existing_source(b, files))
+
+
+def batches_of(d, batch):
+    """A stand-in for ``d``, and what the function it is mapped with sends for an Arrow batch: rows and bytes of each batch."""
+    caught = []
+
+    class Caught:
+        schema, columns = d.schema, d.columns
+
+        def mapInArrow(self, run, schema):
+            caught.append(run)
+
+    return Caught(), lambda: [(b.num_rows, b.nbytes) for b in caught[0](iter([batch]))]
+
+
+def test_sheets_drawn_leave_in_small_batches(spark, sf, monkeypatch):
+    import pyarrow as pa
+    from folio.sources import tables as T
+    d = T.sheet_outlines(spark, sf)
+    caught, sent = batches_of(d, pa.Table.from_pylist([r.asDict() for r in d.limit(1).collect()] * 40).combine_chunks().to_batches()[0])
+    monkeypatch.setattr(T, "by_image", lambda d: caught)
+    T.sheet_pages(spark, sf)
+    got = sent()
+    assert sum(n for n, _ in got) == 40 and max(b for _, b in got) < 20e6  # 37 MB together
+
+
+def test_an_outline_is_refined_in_one_worker_a_task(spark, sf):
+    from folio import checks
+    p = plan(checks.load()[0]["img_09_refine_outline"](spark, sf))
+    assert "ArrowEvalPython" not in p and len(re.findall(r"MapInArrow", p.split("Initial Plan")[0])) == 2  # drawn, refined
