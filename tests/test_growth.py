@@ -123,3 +123,19 @@ def test_an_outline_is_refined_in_one_worker_a_task(spark, sf):
     from folio import checks
     p = plan(checks.load()[0]["img_09_refine_outline"](spark, sf))
     assert "ArrowEvalPython" not in p and len(re.findall(r"MapInArrow", p.split("Initial Plan")[0])) == 2  # drawn, refined
+
+
+def test_local_statistics_leave_in_small_batches(spark):
+    import numpy as np
+    import pyarrow as pa
+    from folio.operators import scanlines as SL
+    rows = [(k, 500, 100, bytes(range(250)) * 200) for k in range(60)] + [(60, 500, 100, None), (61, 0, 0, b"")]
+    d = spark.createDataFrame(rows, "image_id long, w int, h int, vals binary").coalesce(1)
+    caught, sent = batches_of(d, pa.RecordBatch.from_pylist([dict(zip(d.columns, r)) for r in rows], schema=pa.schema([("image_id", pa.int64()), ("w", pa.int32()), ("h", pa.int32()), ("vals", pa.binary())])))
+    SL.local_stats(caught, 5)
+    got = sent()
+    assert [n for n, _ in got] == [21, 21, 20] and max(b for _, b in got) < 20e6  # 51 MB together
+    whole = {r.image_id: r for r in SL.local_stats(d, 5).collect()}
+    mean, variance = SL._stats(np.frombuffer(rows[0][3], np.uint8).reshape(100, 500), 5)
+    assert len(whole) == 62 and all(whole[k].mean == mean.ravel().tolist() and whole[k].variance == variance.ravel().tolist() for k in (0, 20, 21, 59))
+    assert whole[60].mean is None and whole[60].variance is None and whole[61].mean == []
