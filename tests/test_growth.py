@@ -139,3 +139,35 @@ def test_local_statistics_leave_in_small_batches(spark):
     mean, variance = SL._stats(np.frombuffer(rows[0][3], np.uint8).reshape(100, 500), 5)
     assert len(whole) == 62 and all(whole[k].mean == mean.ravel().tolist() and whole[k].variance == variance.ravel().tolist() for k in (0, 20, 21, 59))
     assert whole[60].mean is None and whole[60].variance is None and whole[61].mean == []
+
+
+def test_outlines_are_made_of_pairs_without_a_join(spark, sf):
+    from folio import checks
+    p = plan(checks.load()[0]["top_06_pick_outline"](spark, sf))
+    assert "Join" not in p
+
+
+def test_combined_pairs_equal_a_row_per_combination(spark, sf, monkeypatch):
+    from folio.checks import outlines as O
+    odd = [(10**9, 480, 360, n, t, r, 9.0, False, 20.0) for n, t, r in (("a", 0.0, 40.0), ("b", 0.0, 440.0), (None, 0.0, 300.0), ("b", 0.01, 400.0),
+           ("c", 1.6, 30.0), ("d", 1.5, 300.0), ("e", None, 9.0), ("f", 1.55, None), ("g", float("nan"), 5.0), ("h", 1.55, float("inf")))]
+    line = "image_id bigint, w int, h int, line_id string, theta double, rho double, votes double, is_border boolean, strength double"
+    pairs = OL.line_pairs(O.ol_lines(spark, sf).filter("image_id < 300").unionByName(spark.createDataFrame(odd + [(10**9, 480, 360, "i", 1.5, 200.0, 9.0, None, 20.0)], line))).localCheckpoint()
+    p, q = pairs.selectExpr("image_id", "w", "h", "a pa", "b pb"), pairs.selectExpr("image_id", "a qa", "b qb")
+    d = p.join(q, "image_id").filter("struct(pa.line_id, pb.line_id) < struct(qa.line_id, qb.line_id)")
+    for s, t in ((s, t) for s in ("pa", "pb") for t in ("qa", "qb")):
+        d = d.filter((G.angle_diff(F.col(f"{s}.theta"), F.col(f"{t}.theta")) >= OL.MIN_CROSSING) & (F.col(f"{s}.line_id") != F.col(f"{t}.line_id")))
+    d = d.filter("int(pa.is_border) + int(pb.is_border) + int(qa.is_border) + int(qb.is_border) <= 2")
+    corner = lambda s, t: list(G.crossing(*[F.col(f"{x}.{c}") for x in (s, t) for c in ("cos", "sin", "rho")]))
+    d = d.withColumn("quad", F.array(*corner("pa", "qa"), *corner("pa", "qb"), *corner("pb", "qb"), *corner("pb", "qa"))).localCheckpoint()
+    monkeypatch.setattr(OL, "COMBINED", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for margin in (OL.NEAR_MARGIN, 0.25):
+            reach = (F.least if margin > OL.NEAR_MARGIN else F.greatest)("w", "h") * margin
+            want = G.with_visible_area(d.filter(OL.plausible_outline(F.col("quad"), F.col("w"), F.col("h"), reach)), "quad", "w", "h", "visible")
+            want = sorted(want.selectExpr("image_id", "array(pa.line_id, qb.line_id, pb.line_id, qa.line_id) s", "quad", "visible").collect())
+            got = OL.outline_candidates(pairs, margin).selectExpr("image_id", "sides.line_id s", "quad", "visible").collect()
+            assert sorted(got) == want and 10**9 in {r.image_id for r in got} and len({r.image_id for r in got}) > 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
