@@ -247,7 +247,8 @@ def _(spark, sf):
 def _(spark, sf):
     """Best of the ranked candidates per picture, with the rival rule."""
     d = OL.outline_candidates(OL.line_pairs(ol_lines(spark, sf)))
-    d = OL.best_ranked(d).withColumns({"cand_id": Q("rank"), "score": Q("pre") / 4, "strength": (Q("sides")[0]["strength"] + Q("sides")[1]["strength"]) / 2})
+    d = d.select("image_id", "quad", "pre", ((Q("sides")[0]["strength"] + Q("sides")[1]["strength"]) / 2).alias("strength"))
+    d = OL.best_ranked(d).withColumns({"cand_id": Q("rank"), "score": Q("pre") / 4})
     return OL.pick_outline(d.select("image_id", "cand_id", "quad", "score", "strength"), 480, 360).select("image_id", "cand_id", F.round("score", 6).alias("score"))
 
 
